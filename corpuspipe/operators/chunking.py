@@ -21,9 +21,10 @@ DEFAULT_OVERLAP = 400
 SPLITTER_VERSION = "1"
 
 # Java's matcher recurses once per change between one- and two-unit characters while it looks for a
-# delimiter, so wide windows over texts that mix them use the boundary loop instead.
+# delimiter, so texts that mix them are measured on a one-unit copy when the window is wide.
 _DEEP_WINDOW = 2000
 _TWO_UNIT_CHARACTER = r"[\x{10000}-\x{10ffff}]"
+_ONE_UNIT = "\ue000"
 
 CHUNK_FIELDS = (
     "chunk_number",
@@ -68,6 +69,11 @@ class SettingColumns:
     def window(self) -> Column:
         return (self.chunk_size - self.head).cast("int")
 
+    @property
+    def shortest(self) -> Column:
+        """Least length of a chunk that is not the last one."""
+        return F.least(self.chunk_size, self.head + 1)
+
 
 def chunk_pattern(settings: SettingColumns) -> Column:
     """Regular expression whose successive matches are the chunks of a text."""
@@ -95,59 +101,47 @@ def chunk_pattern(settings: SettingColumns) -> Column:
     )
 
 
-def _loop_boundary(text: Column, position: Column, settings: SettingColumns) -> Column:
-    """End of the chunk that starts at ``position``, by searching the reversed window."""
-    low = position + settings.head
-    window = F.substring(text, low + 1, settings.window)
-    mirrored = F.reverse(window)
-    found = [
-        F.when(
-            F.locate(delimiter, mirrored) > 0,
-            low + F.length(window) - F.locate(delimiter, mirrored) + 1,
-        )
-        for delimiter in DELIMITERS
-    ]
-    cut = F.coalesce(*found, position + settings.chunk_size)
-    return F.when(
-        F.length(text) - position <= settings.chunk_size, F.length(text)
-    ).otherwise(cut).cast("int")
-
-
-def loop_chunks(text: Column, settings: SettingColumns) -> Column:
-    """Array of chunk texts by stepping from boundary to boundary; exact for every text."""
-    rounds = F.ceil(F.length(text) / (settings.head + 1)).cast("int") + 1
-    ends = F.aggregate(
-        F.sequence(F.lit(1), rounds),
+def _running_ends(lengths: Column) -> Column:
+    """0 and then the running sums of an array of lengths."""
+    return F.aggregate(
+        lengths,
         F.array(F.lit(0)),
-        lambda seen, _: F.when(F.element_at(seen, -1) >= F.length(text), seen).otherwise(
-            F.concat(seen, F.array(_loop_boundary(text, F.element_at(seen, -1), settings)))
-        ),
+        lambda ends, length: F.concat(ends, F.array((F.element_at(ends, -1) + length).cast("int"))),
     )
-    # The one-element transform binds ``ends`` to a name, so that it is worked out once per text.
+
+
+def _masked_chunks(text: Column, pattern: Column) -> Column:
+    """Chunks of a text with two-unit characters under a wide window.
+
+    The same pattern measures a copy in which each such character is one other non-delimiter, and the
+    text is then cut by those lengths.
+    """
+    measured = F.regexp_extract_all(F.regexp_replace(text, _TWO_UNIT_CHARACTER, _ONE_UNIT), pattern, F.lit(0))
+    lengths = F.transform(measured, lambda piece: F.char_length(piece))
+    # The one-element transform binds the ends to a name, so that they are worked out once per text.
     cut = F.transform(
-        F.array(ends),
-        lambda bounds: F.transform(
-            F.slice(bounds, 2, F.size(bounds)),
-            lambda end, i: F.substring(text, F.get(bounds, i) + 1, end - F.get(bounds, i)),
+        F.array(_running_ends(lengths)),
+        lambda ends: F.transform(
+            F.slice(ends, 2, F.size(ends)),
+            lambda end, i: F.substring(text, F.get(ends, i) + 1, end - F.get(ends, i)),
         ),
     )
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.get(cut, F.lit(0)))
+    return F.get(cut, F.lit(0))
 
 
 def chunk_texts(text: Column, settings: SettingColumns) -> Column:
     """Array of chunk texts; joined they are the text again."""
-    by_pattern = F.regexp_extract_all(text, chunk_pattern(settings), F.lit(0))
+    pattern = chunk_pattern(settings)
     return F.when(
-        (settings.window > _DEEP_WINDOW) & text.rlike(_TWO_UNIT_CHARACTER),
-        loop_chunks(text, settings),
-    ).otherwise(by_pattern)
+        (settings.window > _DEEP_WINDOW) & text.rlike(_TWO_UNIT_CHARACTER), _masked_chunks(text, pattern)
+    ).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
 
 
 def _overlap(chunks: Column, index: Column, settings: SettingColumns, neighbours: int | None) -> Column:
     """The last ``overlap_size`` characters before chunk ``index``.
 
-    Every chunk but the last is longer than the part before the window, so the overlap is always
-    inside a known number of preceding chunks and the whole text is not scanned again.
+    Every chunk but the last has a least length, so the overlap lies inside a known number of preceding
+    chunks and the whole text is not scanned again.
     """
     if neighbours == 0:
         return F.lit("")
@@ -157,7 +151,7 @@ def _overlap(chunks: Column, index: Column, settings: SettingColumns, neighbours
         reach = (
             F.lit(neighbours)
             if neighbours is not None
-            else F.ceil(settings.overlap_size / (settings.head + 1)).cast("int")
+            else F.ceil(settings.overlap_size / settings.shortest).cast("int")
         )
         before = F.array_join(
             F.transform(
@@ -186,8 +180,8 @@ def split_texts(
         columns, neighbours = SettingColumns.named(), None
     else:
         columns = settings.columns()
-        head = max(0, settings.chunk_size - settings.max_lookback_size)
-        neighbours = -(-settings.overlap_size // (head + 1))
+        shortest = min(settings.chunk_size, max(0, settings.chunk_size - settings.max_lookback_size) + 1)
+        neighbours = -(-settings.overlap_size // shortest)
     kept = [name for name in texts.columns if name != text_column]
     cut = texts.select(
         *kept,
@@ -201,13 +195,7 @@ def split_texts(
     chunks = F.col("_chunks")
     placed = cut.withColumn(
         "_ends",
-        F.aggregate(
-            chunks,
-            F.array(F.lit(0)),
-            lambda ends, piece: F.concat(
-                ends, F.array((F.element_at(ends, -1) + F.char_length(piece)).cast("int"))
-            ),
-        ),
+        _running_ends(F.transform(chunks, lambda piece: F.char_length(piece))),
     )
     rows = F.transform(
         chunks,
@@ -235,12 +223,9 @@ def chunk_counts(
 
 def next_split_index(text: Column, settings: Settings) -> Column:
     """Length of the first chunk of a text (0 for an empty text)."""
-    first = F.regexp_extract(text, rf"\A(?:{_literal_pattern(settings)})", 0)
-    deep = (settings.max_lookback_size > _DEEP_WINDOW) and text.rlike(_TWO_UNIT_CHARACTER)
-    by_pattern = F.char_length(first)
-    if deep is False:
-        return by_pattern.cast("int")
-    return F.when(deep, _loop_boundary(text, F.lit(0), settings.columns())).otherwise(by_pattern).cast("int")
+    masked = F.regexp_replace(text, _TWO_UNIT_CHARACTER, _ONE_UNIT) if settings.max_lookback_size > _DEEP_WINDOW else text
+    first = F.regexp_extract(masked, rf"\A(?:{_literal_pattern(settings)})", 0)
+    return F.char_length(first).cast("int")
 
 
 def _literal_pattern(settings: Settings) -> str:

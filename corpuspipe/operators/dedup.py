@@ -53,13 +53,20 @@ def duplicates_of_committed(staged: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def without_duplicates(staged: DataFrame, sources: DataFrame) -> DataFrame:
-    """The staged sources a skipping publish keeps: first in the batch and not yet published."""
-    refused = (
-        duplicates_in_batch(staged)
-        .select("world_id", "staging_entry_id")
-        .unionByName(duplicates_of_committed(staged, sources).select("world_id", "staging_entry_id"))
+    """The staged sources a skipping publish keeps: first in the batch and not yet published.
+
+    The first copy is taken as a whole row by the aggregate, so a group of copies of any size is reduced
+    before the shuffle and nothing is joined back.
+    """
+    order = ["source_order", "staging_entry_id"]
+    rest = [name for name in staged.columns if name not in (*order, "world_id", "source_hash")]
+    first = staged.groupBy("world_id", "source_hash").agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    known = sources.select("world_id", "source_hash").distinct()
+    return (
+        first.join(known, ["world_id", "source_hash"], "left_anti")
+        .select("world_id", "source_hash", "_first.*")
+        .select(*staged.columns)
     )
-    return staged.join(refused, ["world_id", "staging_entry_id"], "left_anti")
 
 
 def _conflicts(

@@ -17,22 +17,20 @@ HOT_ROWS = 1_000_000
 ORDER_BLOCK_BITS = 16
 
 
-def _set_checkpoint_folder(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; set here only for local runs."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuspipe-checkpoint-"))
-    else:
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpuspipe-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def pinned(df: DataFrame) -> DataFrame:
     """Write the rows out and read them back, so that a lost executor cannot change their layout."""
-    _set_checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ from corpuspipe.operators.scale import number_in_order, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import staging
+from corpuspipe.sources.tables import spread
 
 TYPED = f"SELECT *, {roles.TYPE_SQL} AS source_file_type FROM ({{}})"
 STAGED = TYPED.format(roles.STAGED_SQL)
@@ -720,17 +721,8 @@ def publish_new_world(spark, folder):
     blocked = (
         publish.batch_violations(parsed, settings, none, "skip").select("world_id").distinct()
     )
-    return _planned_chunks(parsed, none, settings, blocked)
-
-
-def _planned_chunks(parsed, published, settings, blocked) -> DataFrame:
-    staged = parsed.drop("parsed_text")
-    rows = publish.plan_sources(staged, published, blocked, F.to_timestamp(F.lit(_MOMENT)), "skip")
-    kept = dedup.without_duplicates(staged.join(blocked, "world_id", "left_anti"), published)
-    texts = parsed.join(
-        kept.select("world_id", "staging_entry_id"), ["world_id", "staging_entry_id"], "left_semi"
-    )
-    return publish.plan_chunks(texts, rows, settings)
+    numbered = publish.plan_sources(parsed.drop("parsed_text"), none, blocked, "skip")
+    return publish.plan_chunks(spread(parsed, "staging_entry_id"), numbered, settings)
 
 
 _APPENDED = f"""
@@ -750,6 +742,5 @@ def publish_append(spark, folder):
     )
     published = roles.published(spark, folder).drop("parsed_text")
     none = parsed.select("world_id").where(F.lit(False))
-    return publish.plan_sources(
-        parsed.drop("parsed_text"), published, none, F.to_timestamp(F.lit(_MOMENT)), "skip"
-    )
+    numbered = publish.plan_sources(parsed.drop("parsed_text"), published, none, "skip")
+    return publish.source_rows(numbered, F.to_timestamp(F.lit(_MOMENT)))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpuspipe import schemas
-from corpuspipe.functions import text
+from corpuspipe.functions import names, text
 from corpuspipe.operators import dedup, numbering, records, validation
 from corpuspipe.operators.chunking import SPLITTER_VERSION, split_texts
 
@@ -37,25 +37,18 @@ def _folder(root: str, table: str, batch_id: str) -> str:
     return f"{root}/{table}/batch_id={batch_id}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Does a folder hold data? Listing through the reader works on every file system Spark knows."""
-    try:
-        return bool(spark.read.format("text").load(path).inputFiles())
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
+def start_corpus(spark: SparkSession, root: str) -> None:
+    """Make the manifest folder of a new corpus; does nothing where there is one."""
+    _manifest_line(spark, None, None).write.mode("ignore").text(f"{root}/manifest/start")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/manifest"
-    if not _exists(spark, path + "/*"):
-        return spark.createDataFrame([], _MANIFEST)
-    return spark.read.schema(_MANIFEST).json(path + "/*")
+    rows = spark.read.schema(_MANIFEST).json(f"{root}/manifest/*")
+    return rows.where(F.col("batch_id").isNotNull())
 
 
 def is_published(spark: SparkSession, root: str, batch_id: str) -> bool:
-    return _exists(spark, f"{root}/manifest/{batch_id}")
+    return not read_manifest(spark, root).where(F.col("batch_id") == batch_id).isEmpty()
 
 
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -65,10 +58,11 @@ def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
     folders of other batches.
     """
     schema = _TABLES[table]
-    if not _exists(spark, f"{root}/manifest/*"):
+    manifest = read_manifest(spark, root)
+    if manifest.isEmpty():
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(_with_batch(schema)).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
-    return rows.join(read_manifest(spark, root).select("batch_id"), "batch_id", "left_semi").select(
+    rows = spark.read.schema(_with_batch(schema)).parquet(f"{root}/{table}")
+    return rows.join(manifest.select("batch_id"), "batch_id", "left_semi").select(
         *[field.name for field in schema]
     )
 
@@ -107,20 +101,25 @@ def _duplicate_violations(staged: DataFrame, sources: DataFrame, rule: str) -> D
 def batch_violations(
     parsed: DataFrame, settings: DataFrame, sources: DataFrame, on_duplicate: str
 ) -> DataFrame:
-    """Every broken rule that stops a world's batch before splitting."""
+    """Every broken rule that stops a world's batch before splitting; texts are read in one pass."""
+    kind = text.normalize_type(F.col("source_file_type"))
     found = (
-        validation.type_violations(parsed)
+        validation.violations(
+            parsed,
+            "source",
+            F.col("staging_entry_id"),
+            [
+                ("unsupported_type", "source type must be txt, epub or pdf", ~kind.isin(*names.SUPPORTED_TYPES)),
+                (
+                    "text_unusable",
+                    "parsed text must hold a visible character",
+                    ~text.is_usable(F.col("parsed_text")),
+                ),
+            ],
+            F.col("world_id"),
+        )
         .unionByName(validation.staged_id_violations(parsed))
         .unionByName(validation.settings_violations(settings))
-        .unionByName(
-            validation.violations(
-                parsed,
-                "source",
-                F.col("staging_entry_id"),
-                [("text_unusable", "parsed text must hold a visible character", ~text.is_usable(F.col("parsed_text")))],
-                F.col("world_id"),
-            )
-        )
     )
     if on_duplicate == "block":
         found = found.unionByName(_duplicate_violations(parsed, sources, "duplicate_source"))
@@ -128,34 +127,32 @@ def batch_violations(
 
 
 def plan_sources(
-    staged: DataFrame, sources: DataFrame, blocked: DataFrame, committed_at: Column, on_duplicate: str
+    staged: DataFrame, sources: DataFrame, blocked: DataFrame, on_duplicate: str
 ) -> DataFrame:
-    """Source rows of the batch: narrow columns only, numbered after the published ones."""
+    """The staged sources that are published, with id, stored path and number; narrow columns only."""
     live = staged.join(blocked, "world_id", "left_anti")
     if on_duplicate == "skip":
         live = dedup.without_duplicates(live, sources)
-    prepared = records.prepare_sources(live)
-    numbers = numbering.assign_book_numbers(
-        prepared.select("world_id", "staging_entry_id", "source_order"), sources
+    return numbering.assign_book_numbers(records.prepare_sources(live), sources)
+
+
+def source_rows(numbered: DataFrame, committed_at: Column) -> DataFrame:
+    return numbered.withColumn("committed_at", committed_at).select(
+        *[field.name for field in schemas.SOURCES]
     )
-    return records.source_records(prepared, numbers, committed_at)
 
 
-def plan_chunks(parsed: DataFrame, source_rows: DataFrame, settings: DataFrame) -> DataFrame:
+def plan_chunks(parsed: DataFrame, numbered: DataFrame, settings: DataFrame) -> DataFrame:
     """Chunk rows of the batch.
 
     Texts meet their ids and numbers before they are cut, so that the join moves each text once and
     never its chunks with their overlaps.
     """
-    owners = source_rows.select("world_id", "source_id", "book_number")
-    texts = parsed.select(
-        "world_id",
-        records.source_id(F.col("world_id"), F.col("source_hash")).alias("source_id"),
-        "parsed_text",
-    )
-    numbers = settings.select("world_id", "chunk_size", "max_lookback_size", "overlap_size")
-    cut = split_texts(texts.join(owners, ["world_id", "source_id"]).join(numbers, "world_id"))
-    return cut.select(
+    key = ["world_id", "staging_entry_id"]
+    owners = numbered.select(*key, "source_id", "book_number")
+    sizes = settings.select("world_id", "chunk_size", "max_lookback_size", "overlap_size")
+    texts = parsed.select(*key, "parsed_text").join(owners, key).drop("staging_entry_id")
+    return split_texts(texts.join(sizes, "world_id")).select(
         "world_id",
         records.chunk_id(F.col("source_id"), F.col("chunk_number")).alias("chunk_id"),
         "source_id",
@@ -168,6 +165,29 @@ def plan_chunks(parsed: DataFrame, source_rows: DataFrame, settings: DataFrame)
     )
 
 
+def _write_rows(
+    root: str,
+    batch_id: str,
+    parsed: DataFrame,
+    settings: DataFrame,
+    published: DataFrame,
+    found: DataFrame,
+    moment: Column,
+    on_duplicate: str,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Write source and chunk rows of the worlds without violations; also counts blank chunks."""
+    blocked = found.select("world_id").distinct()
+    plan = plan_sources(parsed.drop("parsed_text"), published, blocked, on_duplicate)
+    numbered = _write(plan, root, "numbered", batch_id)
+    _write(source_rows(numbered, moment), root, "sources", batch_id)
+    watch = Observation()
+    rows = plan_chunks(parsed, numbered, settings).observe(
+        watch, F.count_if(~text.is_usable(F.col("chunk_text"))).alias("blank")
+    )
+    chunks = _write(rows, root, "chunks", batch_id, by_world=True)
+    return numbered, chunks, watch.get["blank"]
+
+
 def _publish(
     spark: SparkSession,
     root: str,
@@ -190,47 +210,32 @@ def _publish(
 
     # The parsed texts feed the gates and the split, so they are written once, not parsed twice.
     parsed = _write(parsed, root, "staging", batch_id)
-    staged = parsed.drop("parsed_text")
     found = batch_violations(parsed, settings, published, on_duplicate)
     if extra_violations is not None:
         found = found.unionByName(extra_violations)
     found = _write(found, root, "violations", batch_id)
 
-    while True:
-        blocked = found.select("world_id").distinct()
-        sources = _write(
-            plan_sources(staged, published, blocked, moment, on_duplicate), root, "sources", batch_id
-        )
-        texts = parsed.join(blocked, "world_id", "left_anti")
-        if on_duplicate == "skip":
-            # Equal contents have one source id, so only one of the equal texts may be cut.
-            kept = dedup.without_duplicates(staged.join(blocked, "world_id", "left_anti"), published)
-            texts = texts.join(
-                kept.select("world_id", "staging_entry_id"), ["world_id", "staging_entry_id"], "left_semi"
-            )
-        watch = Observation()
-        chunks = plan_chunks(texts, sources, settings).observe(
-            watch, F.count_if(~text.is_usable(F.col("chunk_text"))).alias("blank")
-        )
-        chunks = _write(chunks, root, "chunks", batch_id, by_world=True)
-        if not watch.get["blank"]:
-            break
+    numbered, chunks, blank = _write_rows(root, batch_id, parsed, settings, published, found, moment, on_duplicate)
+    if blank:
         # A blank chunk stops its world. It was counted while writing, so only a batch that has one pays
-        # for finding it and writing again. The old rows are kept outside the folder being replaced.
-        blank = validation.chunk_violations(
-            chunks.where(~text.is_usable(F.col("chunk_text"))).select(*[f.name for f in schemas.CHUNKS])
+        # for finding it and for writing again without its world.
+        columns = [field.name for field in schemas.CHUNKS]
+        late = validation.chunk_violations(
+            chunks.where(~text.is_usable(F.col("chunk_text"))).select(*columns)
+        )
+        found = _write(found.unionByName(late), root, "violations_after_split", batch_id)
+        numbered, chunks, _ = _write_rows(
+            root, batch_id, parsed, settings, published, found, moment, on_duplicate
         )
-        blank = _write(blank, root, "blank_chunks", batch_id)
-        found = _write(found.unionByName(blank), root, "violations_after_split", batch_id)
 
-    if sources.isEmpty():
+    if numbered.isEmpty():
         raise BatchRefused("every world of the batch is blocked or holds no new source")
-    conflicts = dedup.source_conflicts(sources, published)
+    conflicts = dedup.source_conflicts(numbered, published)
     if not conflicts.isEmpty():
         raise BatchRefused("source ids or book numbers are already taken")
     if lock:
         locked = (
-            settings.join(sources.select("world_id").distinct(), "world_id", "left_semi")
+            settings.join(numbered.select("world_id").distinct(), "world_id", "left_semi")
             .withColumn("splitter_version", F.lit(SPLITTER_VERSION))
             .withColumn("is_locked", F.lit(True))
         )
@@ -243,11 +248,15 @@ def _write_manifest(
     spark: SparkSession, root: str, batch_id: str, published_at: datetime.datetime
 ) -> None:
     """One short file, renamed into place by Spark's committer: the visibility point."""
-    row = json.dumps({"batch_id": batch_id, "published_at": published_at.isoformat(sep=" ")})
-    line = spark.createDataFrame([(row,)], "value string").coalesce(1)
+    line = _manifest_line(spark, batch_id, published_at.isoformat(sep=" "))
     line.write.mode("overwrite").text(f"{root}/manifest/{batch_id}")
 
 
+def _manifest_line(spark: SparkSession, batch_id: str | None, published_at: str | None) -> DataFrame:
+    row = json.dumps({"batch_id": batch_id, "published_at": published_at})
+    return spark.range(1, numPartitions=1).select(F.lit(row).alias("value"))
+
+
 def batch_summary(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
     """Source and chunk counts per world of a batch; reads key columns only."""
     sources = spark.read.schema(schemas.SOURCES).parquet(_folder(root, "sources", batch_id))
@@ -284,6 +293,7 @@ def publish_new_worlds(
     ``parsed`` holds ``world_id, staging_entry_id, source_order, source_path, source_file_type, source_hash,
     parsed_text``. Settings are stored locked and with the current splitter version.
     """
+    start_corpus(spark, root)
     existing = read_published(spark, root, "splitter_settings").select("world_id").distinct()
     worlds = parsed.select("world_id").distinct()
     wrong = _world_violations(

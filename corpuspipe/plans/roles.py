@@ -20,7 +20,10 @@ SMALL = Settings(600, 200, 50)
 
 def documents(spark: SparkSession, folder: str, world: str = "lang") -> DataFrame:
     """Documents as sources of a world; the text column is only read where it is used."""
-    docs = read_table(spark, folder, "documents")
+    return as_sources(read_table(spark, folder, "documents"), world)
+
+
+def as_sources(docs: DataFrame, world: str) -> DataFrame:
     ending = (
         F.when(F.col("source") == "src7", ".docx")
         .when(F.col("source") == "src8", "")

@@ -140,6 +140,8 @@ class _BlockReader(HTMLParser):
         self._body, self._whole, self._cell = depth, None, None
         self.blocks.clear()
         self._run.clear()
+        self._starts = [0] * depth
+        self._split = [True] * depth
         self._pieces.clear()
         self._cells.clear()
 
