@@ -13,14 +13,20 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from corpuspipe import schemas
 from corpuspipe.functions import names, text
 from corpuspipe.operators import dedup, numbering, records, validation
 from corpuspipe.operators.chunking import SPLITTER_VERSION, split_texts
 
-_MANIFEST = StructType([StructField("batch_id", StringType()), StructField("published_at", StringType())])
+_MANIFEST = StructType(
+    [
+        StructField("batch_id", StringType()),
+        StructField("published_at", StringType()),
+        StructField("has_settings", BooleanType()),
+    ]
+)
 _TABLES = {
     "sources": schemas.SOURCES,
     "chunks": schemas.CHUNKS,
@@ -39,7 +45,7 @@ def _folder(root: str, table: str, batch_id: str) -> str:
 
 def start_corpus(spark: SparkSession, root: str) -> None:
     """Make the manifest folder of a new corpus; does nothing where there is one."""
-    _manifest_line(spark, None, None).write.mode("ignore").text(f"{root}/manifest/start")
+    _manifest_line(spark, None, None, False).write.mode("ignore").text(f"{root}/manifest/start")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -54,21 +60,18 @@ def is_published(spark: SparkSession, root: str, batch_id: str) -> bool:
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Rows of a table from published batches only.
 
-    The manifest has one short row per batch; joining on the partition column lets Spark skip the
-    folders of other batches.
+    Only the folders the manifest names are listed, so a batch that is being written, or died, is never
+    touched. The names are control data: one short row per batch.
     """
     schema = _TABLES[table]
     manifest = read_manifest(spark, root)
-    if manifest.isEmpty():
+    if table == "splitter_settings":
+        manifest = manifest.where("has_settings")
+    folders = [_folder(root, table, row.batch_id) for row in manifest.select("batch_id").collect()]
+    if not folders:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(_with_batch(schema)).parquet(f"{root}/{table}")
-    return rows.join(manifest.select("batch_id"), "batch_id", "left_semi").select(
-        *[field.name for field in schema]
-    )
-
-
-def _with_batch(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField("batch_id", StringType())])
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*folders)
+    return rows.select(*[field.name for field in schema])
 
 
 def _write(df: DataFrame, root: str, table: str, batch_id: str, by_world: bool = False) -> DataFrame:
@@ -179,6 +182,8 @@ def _write_rows(
     blocked = found.select("world_id").distinct()
     plan = plan_sources(parsed.drop("parsed_text"), published, blocked, on_duplicate)
     numbered = _write(plan, root, "numbered", batch_id)
+    if numbered.isEmpty():
+        raise BatchRefused("every world of the batch is blocked or holds no new source")
     _write(source_rows(numbered, moment), root, "sources", batch_id)
     watch = Observation()
     rows = plan_chunks(parsed, numbered, settings).observe(
@@ -228,8 +233,6 @@ def _publish(
             root, batch_id, parsed, settings, published, found, moment, on_duplicate
         )
 
-    if numbered.isEmpty():
-        raise BatchRefused("every world of the batch is blocked or holds no new source")
     conflicts = dedup.source_conflicts(numbered, published)
     if not conflicts.isEmpty():
         raise BatchRefused("source ids or book numbers are already taken")
@@ -240,20 +243,22 @@ def _publish(
             .withColumn("is_locked", F.lit(True))
         )
         _write(locked.select(*[f.name for f in schemas.SPLITTER_SETTINGS]), root, "splitter_settings", batch_id)
-    _write_manifest(spark, root, batch_id, committed_at)
+    _write_manifest(spark, root, batch_id, committed_at, lock)
     return batch_summary(spark, root, batch_id)
 
 
 def _write_manifest(
-    spark: SparkSession, root: str, batch_id: str, published_at: datetime.datetime
+    spark: SparkSession, root: str, batch_id: str, published_at: datetime.datetime, has_settings: bool
 ) -> None:
     """One short file, renamed into place by Spark's committer: the visibility point."""
-    line = _manifest_line(spark, batch_id, published_at.isoformat(sep=" "))
+    line = _manifest_line(spark, batch_id, published_at.isoformat(sep=" "), has_settings)
     line.write.mode("overwrite").text(f"{root}/manifest/{batch_id}")
 
 
-def _manifest_line(spark: SparkSession, batch_id: str | None, published_at: str | None) -> DataFrame:
-    row = json.dumps({"batch_id": batch_id, "published_at": published_at})
+def _manifest_line(
+    spark: SparkSession, batch_id: str | None, published_at: str | None, has_settings: bool
+) -> DataFrame:
+    row = json.dumps({"batch_id": batch_id, "published_at": published_at, "has_settings": has_settings})
     return spark.range(1, numPartitions=1).select(F.lit(row).alias("value"))
 
 
