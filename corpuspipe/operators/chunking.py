@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Split delimiters in priority order, and the default settings.
 DELIMITERS = ("\n\n", "\n", ".", "!", "?", " ")
+_REGEX = {"\n\n": r"\n\n", "\n": r"\n", ".": r"\.", "!": "!", "?": r"\?", " ": " "}
 DEFAULT_CHUNK_SIZE = 4000
 DEFAULT_MAX_LOOKBACK = 1000
 DEFAULT_OVERLAP = 400
@@ -23,7 +24,7 @@ SPLITTER_VERSION = "1"
 # Java's matcher recurses once per change between one- and two-unit characters while it looks for a
 # delimiter, so texts that mix them are measured on a one-unit copy when the window is wide.
 _DEEP_WINDOW = 2000
-_TWO_UNIT_CHARACTER = r"[\x{10000}-\x{10ffff}]"
+_TWO_UNIT = r"[\x{10000}-\x{10ffff}]"
 _ONE_UNIT = "\ue000"
 
 CHUNK_FIELDS = (
@@ -42,127 +43,92 @@ class Settings:
     overlap_size: int = DEFAULT_OVERLAP
     splitter_version: str = SPLITTER_VERSION
 
-    def columns(self) -> "SettingColumns":
-        return SettingColumns(
-            F.lit(self.chunk_size), F.lit(self.max_lookback_size), F.lit(self.overlap_size)
-        )
-
-
-@dataclass(frozen=True)
-class SettingColumns:
-    """The same settings as columns, so that every row may bring its own."""
-
-    chunk_size: Column
-    max_lookback_size: Column
-    overlap_size: Column
-
-    @classmethod
-    def named(cls) -> "SettingColumns":
-        return cls(F.col("chunk_size"), F.col("max_lookback_size"), F.col("overlap_size"))
-
     @property
-    def head(self) -> Column:
+    def head(self) -> int:
         """Characters before the look-back window."""
-        return F.greatest(F.lit(0), self.chunk_size - self.max_lookback_size).cast("int")
+        return max(0, self.chunk_size - self.max_lookback_size)
 
     @property
-    def window(self) -> Column:
-        return (self.chunk_size - self.head).cast("int")
+    def window(self) -> int:
+        return self.chunk_size - self.head
 
     @property
-    def shortest(self) -> Column:
-        """Least length of a chunk that is not the last one."""
-        return F.least(self.chunk_size, self.head + 1)
-
-
-def chunk_pattern(settings: SettingColumns) -> Column:
-    """Regular expression whose successive matches are the chunks of a text."""
-    window = settings.window
-    escaped = {"\n\n": r"\n\n", "\n": r"\n", ".": r"\.", "!": "!", "?": r"\?", " ": " "}
-    pieces = []
-    for delimiter in DELIMITERS:
-        room = (window - len(delimiter)).cast("string")
-        pieces.append(
-            F.when(
-                window >= len(delimiter),
-                F.concat(F.lit(".{0,"), room, F.lit("}" + escaped[delimiter] + "|")),
-            ).otherwise(F.lit(""))
+    def pattern(self) -> str:
+        """Regular expression whose successive matches are the chunks of a text."""
+        tail = "".join(
+            ".{0,%d}%s|" % (self.window - len(mark), _REGEX[mark])
+            for mark in DELIMITERS
+            if self.window >= len(mark)
         )
-    return F.concat(
-        F.lit("(?s).{1,"),
-        settings.chunk_size.cast("string"),
-        F.lit(r"}+\z|.{"),
-        settings.head.cast("string"),
-        F.lit("}(?:"),
-        *pieces,
-        F.lit(".{"),
-        window.cast("string"),
-        F.lit("})"),
+        return r"(?s).{1,%d}+\z|.{%d}(?:%s.{%d})" % (self.chunk_size, self.head, tail, self.window)
+
+
+# The same three values as SQL over the columns chunk_size and max_lookback_size.
+_HEAD = "greatest(0, chunk_size - max_lookback_size)"
+_WINDOW = f"(chunk_size - {_HEAD})"
+_PATTERN = (
+    r"concat(r'(?s).{1,', chunk_size, r'}+\z|.{', " + _HEAD + ", '}(?:', "
+    + ", ".join(
+        f"if({_WINDOW} >= {len(mark)}, concat('.{{0,', {_WINDOW} - {len(mark)}, r'}}{_REGEX[mark]}|'), '')"
+        for mark in DELIMITERS
     )
+    + ", '.{', " + _WINDOW + ", '})')"
+)
 
 
-def _running_ends(lengths: Column) -> Column:
+def _running_ends(lengths: str) -> str:
     """0 and then the running sums of an array of lengths."""
-    return F.aggregate(
-        lengths,
-        F.array(F.lit(0)),
-        lambda ends, length: F.concat(ends, F.array((F.element_at(ends, -1) + length).cast("int"))),
-    )
+    return f"aggregate({lengths}, array(0), (ends, size) -> concat(ends, array(element_at(ends, -1) + size)))"
 
 
-def _masked_chunks(text: Column, pattern: Column) -> Column:
-    """Chunks of a text with two-unit characters under a wide window.
+def _chunk_array(text: str, pattern: str, window: str) -> str:
+    """Array of chunk texts; joined they are the text again.
 
-    The same pattern measures a copy in which each such character is one other non-delimiter, and the
-    text is then cut by those lengths.
+    A text with two-unit characters under a wide window is measured on a copy in which each of them is
+    one other non-delimiter, and then cut by those lengths. The one-element transform binds the ends to
+    a name, so that they are worked out once per text.
     """
-    measured = F.regexp_extract_all(F.regexp_replace(text, _TWO_UNIT_CHARACTER, _ONE_UNIT), pattern, F.lit(0))
-    lengths = F.transform(measured, lambda piece: F.char_length(piece))
-    # The one-element transform binds the ends to a name, so that they are worked out once per text.
-    cut = F.transform(
-        F.array(_running_ends(lengths)),
-        lambda ends: F.transform(
-            F.slice(ends, 2, F.size(ends)),
-            lambda end, i: F.substring(text, F.get(ends, i) + 1, end - F.get(ends, i)),
-        ),
+    measured = f"regexp_extract_all(regexp_replace({text}, r'{_TWO_UNIT}', '{_ONE_UNIT}'), {pattern}, 0)"
+    cut_by_length = (
+        f"transform(array({_running_ends(f'transform({measured}, piece -> char_length(piece))')}), ends -> "
+        f"transform(slice(ends, 2, size(ends)), (stop, i) -> substring({text}, get(ends, i) + 1, stop - get(ends, i))))[0]"
+    )
+    return (
+        f"CASE WHEN {window} > {_DEEP_WINDOW} AND {text} RLIKE r'{_TWO_UNIT}' THEN {cut_by_length} "
+        f"ELSE regexp_extract_all({text}, {pattern}, 0) END"
     )
-    return F.get(cut, F.lit(0))
-
 
-def chunk_texts(text: Column, settings: SettingColumns) -> Column:
-    """Array of chunk texts; joined they are the text again."""
-    pattern = chunk_pattern(settings)
-    return F.when(
-        (settings.window > _DEEP_WINDOW) & text.rlike(_TWO_UNIT_CHARACTER), _masked_chunks(text, pattern)
-    ).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
 
+def _with_chunks(texts: DataFrame, settings: Settings | None, text_column: str) -> DataFrame:
+    """The other columns plus ``_chunks`` (and, with settings per row, ``_overlap`` and ``_reach``)."""
+    kept = [name for name in texts.columns if name != text_column]
+    if settings is None:
+        # Every chunk but the last has a least length, so an overlap lies inside that many chunks.
+        reach = f"cast(ceil(overlap_size / least(chunk_size, {_HEAD} + 1)) AS INT)"
+        return texts.select(
+            *kept,
+            F.col("overlap_size").alias("_overlap"),
+            F.expr(reach).alias("_reach"),
+            F.expr(_chunk_array(text_column, _PATTERN, _WINDOW)).alias("_chunks"),
+        )
+    pattern = f"r'{settings.pattern}'"
+    if settings.window > _DEEP_WINDOW:
+        chunks = _chunk_array(text_column, pattern, str(settings.window))
+    else:
+        chunks = f"regexp_extract_all({text_column}, {pattern}, 0)"
+    return texts.select(*kept, F.expr(chunks).alias("_chunks"))
 
-def _overlap(chunks: Column, index: Column, settings: SettingColumns, neighbours: int | None) -> Column:
-    """The last ``overlap_size`` characters before chunk ``index``.
 
-    Every chunk but the last has a least length, so the overlap lies inside a known number of preceding
-    chunks and the whole text is not scanned again.
-    """
-    if neighbours == 0:
-        return F.lit("")
-    if neighbours == 1:
-        before = F.get(chunks, index - 1)
+def _overlap(size: str, reach: str | int) -> str:
+    """The last ``size`` characters before chunk ``i``, taken from the ``reach`` chunks before it, so that
+    the whole text is not scanned again."""
+    if reach == 0:
+        return "''"
+    if reach == 1:
+        before = "get(_chunks, i - 1)"
     else:
-        reach = (
-            F.lit(neighbours)
-            if neighbours is not None
-            else F.ceil(settings.overlap_size / settings.shortest).cast("int")
-        )
-        before = F.array_join(
-            F.transform(
-                F.sequence(F.greatest(F.lit(0), index - reach), index - 1), lambda j: F.get(chunks, j)
-            ),
-            "",
-        )
-    tail = F.when(F.char_length(before) <= settings.overlap_size, before).otherwise(
-        F.right(before, settings.overlap_size)
-    )
-    return F.when((index == 0) | (settings.overlap_size <= 0), F.lit("")).otherwise(tail)
+        before = f"array_join(transform(sequence(greatest(0, i - {reach}), i - 1), j -> get(_chunks, j)), '')"
+    return f"CASE WHEN i = 0 OR {size} <= 0 THEN '' ELSE right({before}, {size}) END"
 
 
 def split_texts(
@@ -176,63 +142,34 @@ def split_texts(
     Chunks are numbered from 1; offsets count code points, the end is exclusive; an empty text gives no
     row; blank chunks are kept. Texts are independent, so the plan is a narrow map over the scan.
     """
-    if settings is None:
-        columns, neighbours = SettingColumns.named(), None
-    else:
-        columns = settings.columns()
-        shortest = min(settings.chunk_size, max(0, settings.chunk_size - settings.max_lookback_size) + 1)
-        neighbours = -(-settings.overlap_size // shortest)
     kept = [name for name in texts.columns if name != text_column]
-    cut = texts.select(
-        *kept,
-        columns.overlap_size.alias("_overlap") if settings is None else F.lit(None).alias("_overlap"),
-        chunk_texts(F.col(text_column), columns).alias("_chunks"),
-    )
     if settings is None:
-        head_columns = SettingColumns(columns.chunk_size, columns.max_lookback_size, F.col("_overlap"))
+        overlap = _overlap("_overlap", "_reach")
     else:
-        head_columns = columns
-    chunks = F.col("_chunks")
-    placed = cut.withColumn(
-        "_ends",
-        _running_ends(F.transform(chunks, lambda piece: F.char_length(piece))),
+        shortest = min(settings.chunk_size, settings.head + 1)
+        overlap = _overlap(str(settings.overlap_size), -(-settings.overlap_size // shortest))
+    placed = _with_chunks(texts, settings, text_column).withColumn(
+        "_ends", F.expr(_running_ends("transform(_chunks, piece -> char_length(piece))"))
     )
-    rows = F.transform(
-        chunks,
-        lambda piece, i: F.struct(
-            (i + 1).cast("int").alias("chunk_number"),
-            piece.alias("chunk_text"),
-            _overlap(chunks, i, head_columns, neighbours).alias("overlap_text"),
-            F.get(F.col("_ends"), i).alias("character_start_offset"),
-            F.get(F.col("_ends"), i + 1).alias("character_end_offset"),
-        ),
+    rows = (
+        "inline(transform(_chunks, (piece, i) -> struct(i + 1 AS chunk_number, piece AS chunk_text, "
+        f"{overlap} AS overlap_text, get(_ends, i) AS character_start_offset, "
+        "get(_ends, i + 1) AS character_end_offset)))"
     )
-    return placed.select(*kept, F.inline(rows))
+    return placed.select(*kept, F.expr(rows))
 
 
 def chunk_counts(
     texts: DataFrame, settings: Settings | None = None, text_column: str = "parsed_text"
 ) -> DataFrame:
     """The other columns of ``texts`` plus the number of chunks, without making chunk rows."""
-    columns = SettingColumns.named() if settings is None else settings.columns()
     kept = [name for name in texts.columns if name != text_column]
-    return texts.select(
-        *kept, F.size(chunk_texts(F.col(text_column), columns)).cast("long").alias("chunk_count")
+    return _with_chunks(texts, settings, text_column).select(
+        *kept, F.size("_chunks").cast("long").alias("chunk_count")
     )
 
 
 def next_split_index(text: Column, settings: Settings) -> Column:
     """Length of the first chunk of a text (0 for an empty text)."""
-    masked = F.regexp_replace(text, _TWO_UNIT_CHARACTER, _ONE_UNIT) if settings.max_lookback_size > _DEEP_WINDOW else text
-    first = F.regexp_extract(masked, rf"\A(?:{_literal_pattern(settings)})", 0)
-    return F.char_length(first).cast("int")
-
-
-def _literal_pattern(settings: Settings) -> str:
-    head = max(0, settings.chunk_size - settings.max_lookback_size)
-    window = settings.chunk_size - head
-    escaped = {"\n\n": r"\n\n", "\n": r"\n", ".": r"\.", "!": "!", "?": r"\?", " ": " "}
-    tail = "".join(
-        ".{0,%d}%s|" % (window - len(d), escaped[d]) for d in DELIMITERS if window >= len(d)
-    )
-    return r"(?s).{1,%d}+\z|.{%d}(?:%s.{%d})" % (settings.chunk_size, head, tail, window)
+    measured = F.regexp_replace(text, _TWO_UNIT, _ONE_UNIT) if settings.window > _DEEP_WINDOW else text
+    return F.char_length(F.regexp_extract(measured, rf"\A(?:{settings.pattern})", 0)).cast("int")

@@ -5,12 +5,24 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan ``<folder>/<name>.parquet``; timestamps are read and written as UTC."""
+    """Scan ``<folder>/<name>.parquet``; timestamps are read and written as UTC.
+
+    The schema of a table is taken from its footers once per application, so that further scans of a
+    table list files but open none before the job runs.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    path = os.path.join(folder, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
