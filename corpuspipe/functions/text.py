@@ -10,6 +10,10 @@ from pyspark.sql.types import StringType
 BLANK_CLASS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters as a set for trimming.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # The line ends Python's str.splitlines() accepts.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -26,10 +30,8 @@ def is_usable(text: Column) -> Column:
 
 
 def strip_blanks(text: Column) -> Column:
-    """Strip Unicode blanks at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(
-        F.regexp_replace(text, rf"\A[{BLANK_CLASS}]+", ""), rf"(?<![{BLANK_CLASS}])[{BLANK_CLASS}]+\z", ""
-    )
+    """Strip Unicode blanks at both ends (a plain ``trim`` only knows U+0020)."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -39,12 +41,8 @@ def collapse_blanks(text: Column) -> Column:
 
 def tidy_preformatted(text: Column) -> Column:
     """Right-strip each line and drop the blank ones."""
-    lines = F.split(text, LINE_END)
-    stripped = F.transform(
-        lines,
-        lambda line: F.regexp_replace(line, rf"(?<![{BLANK_CLASS}])[{BLANK_CLASS}]+\z", ""),
-    )
-    return F.array_join(F.filter(stripped, is_usable), BLOCK_JOINER)
+    stripped = F.transform(F.split(text, LINE_END), lambda line: F.rtrim(line, F.lit(BLANKS)))
+    return F.array_join(F.filter(stripped, lambda line: line != ""), BLOCK_JOINER)
 
 
 def normalize_type(source_type: Column) -> Column:

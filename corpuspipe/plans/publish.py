@@ -78,8 +78,7 @@ def _write(df: DataFrame, root: str, table: str, batch_id: str, by_world: bool =
     """Overwrite this batch's folder of a table and read it back, which also cuts the lineage."""
     path = _folder(root, table, batch_id)
     if by_world:
-        # Rebalancing gathers a world's rows for its folder and splits a world too large for one task.
-        df.hint("rebalance", "world_id").write.mode("overwrite").partitionBy("world_id").parquet(path)
+        df.write.mode("overwrite").partitionBy("world_id").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -148,14 +147,15 @@ def source_rows(numbered: DataFrame, committed_at: Column) -> DataFrame:
 def plan_chunks(parsed: DataFrame, numbered: DataFrame, settings: DataFrame) -> DataFrame:
     """Chunk rows of the batch.
 
-    Texts meet their ids and numbers before they are cut, so that the join moves each text once and
-    never its chunks with their overlaps.
+    Texts meet their ids and numbers before they are cut, and are gathered by world before that too: so
+    only texts are moved, never chunks with their overlaps. Rebalancing splits a world that is too large
+    for one task.
     """
     key = ["world_id", "staging_entry_id"]
     owners = numbered.select(*key, "source_id", "book_number")
     sizes = settings.select("world_id", "chunk_size", "max_lookback_size", "overlap_size")
     texts = parsed.select(*key, "parsed_text").join(owners, key).drop("staging_entry_id")
-    return split_texts(texts.join(sizes, "world_id")).select(
+    return split_texts(texts.join(sizes, "world_id").hint("rebalance", "world_id")).select(
         "world_id",
         records.chunk_id(F.col("source_id"), F.col("chunk_number")).alias("chunk_id"),
         "source_id",
@@ -168,6 +168,19 @@ def plan_chunks(parsed: DataFrame, numbered: DataFrame, settings: DataFrame) ->
     )
 
 
+# A batch of at most so many worlds reads only their published sources by a pushed-down filter.
+MAX_LISTED_WORLDS = 1000
+
+
+def _of_batch_worlds(published: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Published rows of the worlds a batch touches; source files are sorted by world for this."""
+    worlds = parsed.select("world_id").distinct()
+    listed = [row.world_id for row in worlds.limit(MAX_LISTED_WORLDS + 1).collect()]
+    if len(listed) <= MAX_LISTED_WORLDS:
+        return published.where(F.col("world_id").isin(listed))
+    return published.join(worlds, "world_id", "left_semi")
+
+
 def _write_rows(
     root: str,
     batch_id: str,
@@ -184,7 +197,8 @@ def _write_rows(
     numbered = _write(plan, root, "numbered", batch_id)
     if numbered.isEmpty():
         raise BatchRefused("every world of the batch is blocked or holds no new source")
-    _write(source_rows(numbered, moment), root, "sources", batch_id)
+    rows = source_rows(numbered, moment).sortWithinPartitions("world_id", "book_number")
+    _write(rows, root, "sources", batch_id)
     watch = Observation()
     rows = plan_chunks(parsed, numbered, settings).observe(
         watch, F.count_if(~text.is_usable(F.col("chunk_text"))).alias("blank")
@@ -201,7 +215,7 @@ def _publish(
     settings: DataFrame,
     committed_at: datetime.datetime,
     on_duplicate: str,
-    extra_violations: DataFrame | None,
+    extra_violations: DataFrame,
     lock: bool,
 ) -> DataFrame:
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
@@ -210,14 +224,12 @@ def _publish(
         raise ValueError("on_duplicate must be 'block' or 'skip'")
     if is_published(spark, root, batch_id):
         return batch_summary(spark, root, batch_id)
-    published = read_published(spark, root, "sources")
     moment = F.lit(committed_at).cast("timestamp")
 
     # The parsed texts feed the gates and the split, so they are written once, not parsed twice.
     parsed = _write(parsed, root, "staging", batch_id)
-    found = batch_violations(parsed, settings, published, on_duplicate)
-    if extra_violations is not None:
-        found = found.unionByName(extra_violations)
+    published = _of_batch_worlds(read_published(spark, root, "sources"), parsed)
+    found = batch_violations(parsed, settings, published, on_duplicate).unionByName(extra_violations)
     found = _write(found, root, "violations", batch_id)
 
     numbered, chunks, blank = _write_rows(root, batch_id, parsed, settings, published, found, moment, on_duplicate)
@@ -292,6 +304,7 @@ def publish_new_worlds(
     settings: DataFrame,
     committed_at: datetime.datetime,
     on_duplicate: str = "block",
+    known_violations: DataFrame | None = None,
 ) -> DataFrame:
     """First batch of worlds that do not exist yet; returns counts per published world.
 
@@ -310,6 +323,8 @@ def publish_new_worlds(
             "the world has no splitter settings",
         )
     )
+    if known_violations is not None:
+        wrong = wrong.unionByName(known_violations)
     return _publish(spark, root, batch_id, parsed, settings, committed_at, on_duplicate, wrong, True)
 
 
@@ -320,6 +335,7 @@ def publish_append(
     parsed: DataFrame,
     committed_at: datetime.datetime,
     on_duplicate: str = "block",
+    known_violations: DataFrame | None = None,
 ) -> DataFrame:
     """Append a batch to published worlds, cut with their locked settings and numbered after their last book.
 
@@ -331,5 +347,7 @@ def publish_append(
         "world_missing",
         "the world is not published",
     )
+    if known_violations is not None:
+        wrong = wrong.unionByName(known_violations)
     mine = settings.join(parsed.select("world_id").distinct(), "world_id", "left_semi")
     return _publish(spark, root, batch_id, parsed, mine, committed_at, on_duplicate, wrong, False)

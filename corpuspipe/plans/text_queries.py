@@ -17,7 +17,7 @@ from corpuspipe.operators.chunking import Settings, next_split_index, split_text
 from corpuspipe.plans import roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import readers, staging
-from corpuspipe.sources.html import html_blocks
+from corpuspipe.sources.html import block_rows, html_blocks
 from corpuspipe.sources.tables import read_table, spread
 
 BLANK = roles.BLANK_SQL
@@ -278,8 +278,7 @@ def epub_text(spark, folder):
 @query("html_text_blocks")
 def html_text_blocks(spark, folder):
     pages = spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id")
-    blocks = pages.select("page_id", html_blocks(F.col("html")).alias("blocks"))
-    return blocks.select("page_id", F.posexplode("blocks").alias("block_index", "block"))
+    return block_rows(pages, "html")
 
 
 @query(

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from corpuspipe.functions.text import BLOCK_JOINER, INLINE_JOINER, TABLE_CELL_JOINER
@@ -215,5 +215,18 @@ def html_blocks(html: Column) -> Column:
     return _blocks(html)
 
 
+def block_rows(pages: DataFrame, html: str) -> DataFrame:
+    """One row per block: the other columns plus ``block_index`` and ``block``.
+
+    The outer form of the generator keeps the optimizer from adding a filter on the array, which would
+    read the markup twice; pages without a block are dropped afterwards.
+    """
+    kept = [name for name in pages.columns if name != html]
+    blocks = pages.select(*kept, html_blocks(F.col(html)).alias("_blocks"))
+    return blocks.select(*kept, F.posexplode_outer("_blocks").alias("block_index", "block")).where(
+        F.col("block_index").isNotNull()
+    )
+
+
 def html_text(html: Column) -> Column:
     return F.array_join(html_blocks(html), BLOCK_JOINER)

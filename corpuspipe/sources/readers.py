@@ -88,39 +88,26 @@ def assemble_pages(pages: DataFrame, keys: list[str], order: str, page_text: str
     A source too large for one value is left out here and named by ``oversized_pages``; there are at
     most total bytes / MAX_TEXT_BYTES of them. So every collected list is bounded.
     """
-    usable = _usable_pages(pages, keys, order, page_text)
-    fitting = usable.join(F.broadcast(_oversized(usable, keys)), keys, "left_anti")
-    return fitting.groupBy(*keys).agg(
+    fitting = pages.join(F.broadcast(oversized_pages(pages, keys, page_text)), keys, "left_anti")
+    usable = fitting.where(text.is_usable(F.col(page_text)))
+    page = F.struct(F.col(order).alias("_order"), text.strip_blanks(F.col(page_text)).alias("_text"))
+    return usable.groupBy(*keys).agg(
         F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), "_text"))),
-                lambda page: page["_text"],
-            ),
-            DOCUMENT_JOINER,
+            F.transform(F.array_sort(F.collect_list(page)), lambda one: one["_text"]), DOCUMENT_JOINER
         ).alias("parsed_text")
     )
 
 
-def _usable_pages(pages: DataFrame, keys: list[str], order: str, page_text: str) -> DataFrame:
-    return pages.where(text.is_usable(F.col(page_text))).select(
-        *keys, order, text.strip_blanks(F.col(page_text)).alias("_text")
-    )
-
-
-def _oversized(usable: DataFrame, keys: list[str]) -> DataFrame:
+def oversized_pages(pages: DataFrame, keys: list[str], page_text: str) -> DataFrame:
+    """Sources whose pages together may not fit into one value; lengths are summed map-side."""
     return (
-        usable.groupBy(*keys)
-        .agg(F.sum(F.octet_length("_text").cast("long") + 2).alias("_bytes"))
+        pages.groupBy(*keys)
+        .agg(F.sum(F.octet_length(page_text).cast("long") + 2).alias("_bytes"))
         .where(F.col("_bytes") > MAX_TEXT_BYTES)
         .select(*keys)
     )
 
 
-def oversized_pages(pages: DataFrame, keys: list[str], order: str, page_text: str) -> DataFrame:
-    """Sources whose assembled text would not fit into one value."""
-    return _oversized(_usable_pages(pages, keys, order, page_text), keys)
-
-
 def page_violations(pages: DataFrame, keys: list[str], page_text: str) -> DataFrame:
     """Sources without a single usable page."""
     counted = pages.groupBy(*keys).agg(

@@ -242,4 +242,4 @@ def test_pages(spark, monkeypatch):
     monkeypatch.setattr(readers, "MAX_TEXT_BYTES", 50)
     kept = readers.assemble_pages(pages, ["source_id"], "page", "t").collect()
     assert [r.source_id for r in kept] == ["a"]
-    assert [r.source_id for r in readers.oversized_pages(pages, ["source_id"], "page", "t").collect()] == ["c"]
+    assert [r.source_id for r in readers.oversized_pages(pages, ["source_id"], "t").collect()] == ["c"]
