@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.functions import names
 from corpuspipe.operators import dedup, numbering, records, validation
-from corpuspipe.operators.scale import number_in_order, with_position
+from corpuspipe.operators.scale import number_in_order, pinned, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import staging
@@ -279,7 +279,8 @@ def violations_chunks(spark, folder):
 def violations_sources(spark, folder):
     """Source rows with blank fields, staged ids that repeat, and stored paths (here named by content) that clash."""
     world = F.col("world_id")
-    rows = roles.published(spark, folder).drop("parsed_text")
+    docs = roles.hashed(spark, folder)
+    rows = roles.as_published(docs)
     bad = rows.withColumns(
         {
             "source_id": F.when(world == "es", "").otherwise(F.col("source_id")),
@@ -288,7 +289,7 @@ def violations_sources(spark, folder):
             "book_number": F.when(world == "de", -F.col("book_number")).otherwise(F.col("book_number")),
         }
     )
-    staged = roles.staged(spark, folder).select("world_id", "staging_entry_id", "source", "source_hash")
+    staged = roles.only_staged(docs).select("world_id", "staging_entry_id", "source", "source_hash")
     renamed = staged.withColumn(
         "staging_entry_id",
         F.when(F.col("source") == "src15", " ")
@@ -354,7 +355,7 @@ def violations_settings(spark, folder):
         WHERE n > 1""",
 )
 def batch_duplicates(spark, folder):
-    return dedup.duplicates_in_batch(roles.documents(spark, folder))
+    return dedup.duplicates_in_batch(roles.hashed(spark, folder))
 
 
 @query(
@@ -380,7 +381,8 @@ def repeated_positions(spark, folder):
             FROM ({PUBLISHED}) GROUP BY 1, 2) c ON s.world_id = c.world_id AND s.source_hash = c.source_hash""",
 )
 def duplicate_vs_committed(spark, folder):
-    return dedup.duplicates_of_committed(roles.staged(spark, folder), roles.published(spark, folder))
+    docs = roles.hashed(spark, folder)
+    return dedup.duplicates_of_committed(roles.only_staged(docs), roles.as_published(docs))
 
 
 def _new_sources(spark, folder) -> DataFrame:
@@ -413,9 +415,8 @@ def source_conflicts(spark, folder):
     return dedup.source_conflicts(_new_sources(spark, folder), roles.published(spark, folder))
 
 
-def _new_chunks(spark, folder) -> DataFrame:
+def _new_chunks(chunks: DataFrame) -> DataFrame:
     """New chunks: those of en reuse published ids, those of fr only positions, the rest are free."""
-    chunks = roles.published_chunks(spark, folder)
     world = F.col("world_id")
     return chunks.select(
         "world_id",
@@ -433,7 +434,8 @@ def _new_chunks(spark, folder) -> DataFrame:
         FROM cut_chunks WHERE world_id IN ('en', 'fr')""",
 )
 def chunk_conflicts(spark, folder):
-    return dedup.chunk_conflicts(_new_chunks(spark, folder), roles.published_chunks(spark, folder))
+    published = roles.published_chunk_keys(spark, folder)
+    return dedup.chunk_conflicts(_new_chunks(published), published)
 
 
 # Numbering and records
@@ -635,7 +637,7 @@ def list_sources(spark, folder):
         FROM cut_chunks""",
 )
 def list_chunks(spark, folder):
-    rows = roles.published_chunks(spark, folder).select("world_id", "chunk_id", "book_number", "chunk_number")
+    rows = roles.published_chunk_keys(spark, folder).drop("source_id")
     return with_position(rows, "world_id", "book_number", "chunk_number", "chunk_id")
 
 
@@ -649,7 +651,7 @@ def list_split_chunks(spark, folder):
     rows = roles.split_chunks(spark, folder).select(
         "world_id", "source_order", "chunk_number", "character_start_offset", "character_end_offset"
     )
-    return with_position(rows, "world_id", "source_order", "chunk_number")
+    return with_position(pinned(rows), "world_id", "source_order", "chunk_number")
 
 
 # Appending and publishing: the resulting rows; the write protocol itself is tested on folders
@@ -680,10 +682,8 @@ def append_sources(spark, folder):
         FROM cut_chunks WHERE world_id NOT IN ('en', 'fr')""",
 )
 def append_chunks(spark, folder):
-    published = roles.published_chunks(spark, folder).select(
-        "world_id", "chunk_id", "book_number", "chunk_number"
-    )
-    new = _new_chunks(spark, folder)
+    published = roles.published_chunk_keys(spark, folder).drop("source_id")
+    new = _new_chunks(published)
     clashing = dedup.chunk_conflicts(new, published).select("world_id", "chunk_id")
     return published.unionByName(new.join(clashing, ["world_id", "chunk_id"], "left_anti"))
 
@@ -717,11 +717,14 @@ def publish_new_world(spark, folder):
         "source_file_type", names.source_type(F.col("source_path"))
     )
     settings = roles.settings(spark, folder)
-    none = roles.published(spark, folder).drop("parsed_text").where(F.lit(False))
+    docs = roles.hashed(spark, folder, "source").withColumn(
+        "source_file_type", names.source_type(F.col("source_path"))
+    )
+    none = roles.as_published(docs).where(F.lit(False))
     blocked = (
         publish.batch_violations(parsed, settings, none, "skip").select("world_id").distinct()
     )
-    numbered = publish.plan_sources(parsed.drop("parsed_text"), none, blocked, "skip")
+    numbered = publish.plan_sources(docs, none, blocked, "skip")
     return publish.plan_chunks(spread(parsed, "staging_entry_id"), numbered, settings)
 
 
@@ -737,10 +740,8 @@ _APPENDED = f"""
 @query("publish_append", _RECORDS.format(_APPENDED))
 def publish_append(spark, folder):
     """Source rows an appending batch adds when duplicates are skipped."""
-    parsed = roles.staged(spark, folder).withColumn(
-        "source_file_type", names.source_type(F.col("source_path"))
-    )
-    published = roles.published(spark, folder).drop("parsed_text")
-    none = parsed.select("world_id").where(F.lit(False))
-    numbered = publish.plan_sources(parsed.drop("parsed_text"), published, none, "skip")
+    docs = roles.hashed(spark, folder)
+    staged = roles.only_staged(docs).withColumn("source_file_type", names.source_type(F.col("source_path")))
+    none = staged.select("world_id").where(F.lit(False))
+    numbered = publish.plan_sources(staged, roles.as_published(docs), none, "skip")
     return publish.source_rows(numbered, F.to_timestamp(F.lit(_MOMENT)))

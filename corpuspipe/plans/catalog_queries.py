@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.functions import names
 from corpuspipe.operators import catalog, dedup, validation
-from corpuspipe.operators.scale import with_position
+from corpuspipe.operators.scale import pinned, with_position
 from corpuspipe.plans import roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources.tables import read_table
@@ -636,11 +636,11 @@ _CONFIRMED = f"""
     UNION ALL SELECT 'asset-' || n_nationkey, NULL FROM nation WHERE n_nationkey = 20"""
 
 
-def _confirmed(spark, folder) -> DataFrame:
-    used = catalog.asset_references(roles.worlds(spark, folder)).select("asset_id", "world_id")
+def _confirmed(spark, folder, worlds: DataFrame) -> DataFrame:
+    used = catalog.asset_references(worlds).select("asset_id", "world_id")
     spare = used.where(F.col("asset_id") == "asset-9")
     first = spare.agg(F.min("world_id").alias("world_id"))
-    return (
+    return pinned(
         used.where(F.col("asset_id").isin("asset-2", "asset-6", "asset-7", "asset-8"))
         .unionByName(
             read_table(spark, folder, "region")
@@ -665,7 +665,8 @@ def _confirmed(spark, folder) -> DataFrame:
         UNION ALL SELECT 'asset-9', min(world_id), 'not_confirmed' FROM ({_REFERENCES}) WHERE asset_id = 'asset-9' HAVING count(*) > 0""",
 )
 def stale_confirmations(spark, folder):
-    return catalog.stale_confirmations(roles.worlds(spark, folder), _confirmed(spark, folder))
+    worlds = pinned(roles.worlds(spark, folder))
+    return catalog.stale_confirmations(worlds, _confirmed(spark, folder, worlds))
 
 
 _GONE = "('asset-6', 'asset-8', 'asset-20')"
@@ -679,8 +680,9 @@ _GONE = "('asset-6', 'asset-8', 'asset-20')"
 )
 def delete_with_fallback(spark, folder):
     """State of the worlds after the deletions; asset-8 is a font and stays where it is a background."""
+    stored = pinned(roles.worlds(spark, folder))
     _, worlds = catalog.delete_with_fallback(
-        roles.assets(spark, folder), roles.worlds(spark, folder), _confirmed(spark, folder)
+        roles.assets(spark, folder), stored, _confirmed(spark, folder, stored)
     )
     return worlds.select("world_id", "background_asset_id", "font_asset_id", "is_changed")
 
@@ -690,8 +692,9 @@ def delete_with_fallback(spark, folder):
     f"SELECT asset_id, asset_type, is_built_in FROM ({ASSETS}) WHERE asset_id NOT IN {_GONE}",
 )
 def delete_with_fallback_assets(spark, folder):
+    stored = pinned(roles.worlds(spark, folder))
     assets, _ = catalog.delete_with_fallback(
-        roles.assets(spark, folder), roles.worlds(spark, folder), _confirmed(spark, folder)
+        roles.assets(spark, folder), stored, _confirmed(spark, folder, stored)
     )
     return assets.select("asset_id", "asset_type", "is_built_in")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuspipe.functions import names, text
 from corpuspipe.operators.catalog import DEFAULT_LAST_USED
 from corpuspipe.operators.chunking import Settings, split_texts
+from corpuspipe.operators.scale import pinned
 from corpuspipe.sources.tables import read_table, spread
 
 FIRST_STAGED = "src15"  # sources from here on (in text order) arrive now
@@ -57,14 +58,30 @@ BY_LANG = DOCUMENTS_SQL.format(world="lang")
 BY_SOURCE = DOCUMENTS_SQL.format(world="source")
 
 
+def hashed(spark: SparkSession, folder: str, world: str = "lang") -> DataFrame:
+    """Documents without their texts, hashed once and stored, as the hash step of a real batch stores them.
+
+    Operators that read hashes several times then read narrow rows and never a text again.
+    """
+    return pinned(documents(spark, folder, world).drop("parsed_text"))
+
+
 def staged(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).where(F.col("source") >= FIRST_STAGED)
+    return only_staged(documents(spark, folder))
+
+
+def only_staged(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("source") >= FIRST_STAGED)
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of ``sources``: numbered by document with gaps, one world per language."""
-    docs = documents(spark, folder).where(F.col("source") < FIRST_STAGED)
-    return docs.select(
+    return as_published(documents(spark, folder))
+
+
+def as_published(docs: DataFrame) -> DataFrame:
+    texts = ["parsed_text"] if "parsed_text" in docs.columns else []
+    return docs.where(F.col("source") < FIRST_STAGED).select(
         "world_id",
         F.concat(F.lit("doc-"), "doc_id").alias("source_id"),
         names.base_name(F.col("source_path")).alias("original_filename"),
@@ -73,7 +90,7 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
         "source_hash",
         (F.col("source_order") + 1).alias("book_number"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("committed_at"),
-        "parsed_text",
+        *texts,
     )
 
 
@@ -129,6 +146,13 @@ def published_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def published_chunk_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The key columns of the published chunks, stored as a chunk table stores them."""
+    return pinned(
+        published_chunks(spark, folder).select("world_id", "chunk_id", "source_id", "book_number", "chunk_number")
+    )
+
+
 def chunks_sql(texts: str, keys: str, chunk_size="600", lookback="200", overlap="50") -> str:
     """CTEs ending in ``cut_chunks``: the chunk rule as one recursion step per chunk."""
     prefixed = ", ".join(f"cut.{key.strip()}" for key in keys.split(","))

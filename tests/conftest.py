@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("corpuspipe-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -23,5 +23,8 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     if not session.sparkContext.getCheckpointDir():
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
+    from corpuspipe import ship
+
+    ship(session)
     yield session
     session.stop()

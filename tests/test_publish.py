@@ -111,28 +111,29 @@ def test_worlds_must_be_new_or_exist(spark, tmp_path):
         publish_append(spark, root, "b3", frame(spark, [source("x", "e1", 0, "text")]), NOW)
 
 
-@pytest.mark.parametrize("dies_at", ["sources", "chunks", "splitter_settings", "manifest"])
-def test_nothing_is_visible_before_the_manifest(spark, tmp_path, monkeypatch, dies_at):
+def test_nothing_is_visible_before_the_manifest(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     publish_new_worlds(spark, root, "b0", frame(spark, [source("o", "e", 0, "old")]), settings(spark, "o"), NOW)
     write, manifest = publish._write, publish._write_manifest
 
-    def failing_write(df, root, table, *rest, **more):
-        if table == dies_at:
-            raise RuntimeError("lost")
-        return write(df, root, table, *rest, **more)
-
-    def failing_manifest(*arguments):
-        if dies_at == "manifest":
-            raise RuntimeError("lost")
-        return manifest(*arguments)
-
-    monkeypatch.setattr(publish, "_write", failing_write)
-    monkeypatch.setattr(publish, "_write_manifest", failing_manifest)
-    with pytest.raises(RuntimeError):
-        publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
-    for table in ("sources", "chunks", "splitter_settings"):
-        assert {r.world_id for r in read_published(spark, root, table).collect()} == {"o"}
+    for dies_at in ("sources", "chunks", "splitter_settings", "manifest"):
+
+        def failing_write(df, root, table, *rest, **more):
+            if table == dies_at:
+                raise RuntimeError("lost")
+            return write(df, root, table, *rest, **more)
+
+        def failing_manifest(*arguments):
+            if dies_at == "manifest":
+                raise RuntimeError("lost")
+            return manifest(*arguments)
+
+        monkeypatch.setattr(publish, "_write", failing_write)
+        monkeypatch.setattr(publish, "_write_manifest", failing_manifest)
+        with pytest.raises(RuntimeError):
+            publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
+        for table in ("sources", "chunks", "splitter_settings"):
+            assert {r.world_id for r in read_published(spark, root, table).collect()} == {"o"}
     monkeypatch.undo()
     publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
     assert len(chunks_of(spark, root)) == 5
