@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, functions as F
 
 from corpuspipe.functions.text import strip_blanks
@@ -72,15 +74,23 @@ def asset_url(asset_id: Column) -> Column:
     return F.concat(F.lit("/assets/"), part, F.lit("/file"))
 
 
+def utc_moment(value: datetime.datetime) -> Column:
+    """A point in time as a literal; a value without zone is taken as UTC, whatever the session's zone."""
+    if value.tzinfo is None:
+        value = value.replace(tzinfo=datetime.timezone.utc)
+    return F.timestamp_micros(F.lit(round(value.timestamp() * 1_000_000)))
+
+
 def utc_text(moment: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss``; the session time zone is UTC."""
-    return F.date_format(moment, TIME_FORMAT)
+    """``yyyy-MM-dd HH:mm:ss`` in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), TIME_FORMAT)
 
 
 def relative_age(last_used: Column, as_of: Column) -> Column:
-    """Age of a ``yyyy-MM-dd HH:mm:ss`` text; a text of another shape is returned as it is."""
+    """Age of a UTC ``yyyy-MM-dd HH:mm:ss`` text; a text of another shape is returned as it is."""
     well_formed = last_used.rlike(r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z")
-    moment = F.try_to_timestamp(F.when(well_formed, last_used), F.lit(TIME_FORMAT))
+    local = F.try_to_timestamp(F.when(well_formed, last_used), F.lit(TIME_FORMAT))
+    moment = F.from_utc_timestamp(local, F.current_timezone())
     seconds = F.greatest(F.lit(0), F.unix_timestamp(as_of) - F.unix_timestamp(moment))
 
     def spoken(size: int, unit: str) -> Column:

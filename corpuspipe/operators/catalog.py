@@ -17,7 +17,8 @@ from corpuspipe.operators.chunking import (
     SPLITTER_VERSION,
 )
 
-# Ids of the default background and font, the default time, and the built-in assets.
+# Ids of the default background and font, the default time of last use (the epoch), and the
+# built-in assets.
 DEFAULT_BACKGROUND_ID = "builtin-image-main-world"
 DEFAULT_FONT_ID = "builtin-font-inter"
 DEFAULT_LAST_USED = "1970-01-01 00:00:00"
@@ -231,9 +232,13 @@ def mark_used(worlds: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
+def default_last_used() -> Column:
+    return F.timestamp_seconds(F.lit(0))
+
+
 def backfill_last_used(worlds: DataFrame) -> DataFrame:
     return worlds.withColumn(
-        "last_used_at", F.coalesce("last_used_at", F.to_timestamp(F.lit(DEFAULT_LAST_USED)))
+        "last_used_at", F.coalesce("last_used_at", default_last_used())
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from corpuspipe import schemas
 from corpuspipe.functions import names, text
-from corpuspipe.operators import dedup, numbering, records, validation
+from corpuspipe.operators import catalog, dedup, numbering, records, validation
 from corpuspipe.operators.chunking import SPLITTER_VERSION, split_texts
 
 _MANIFEST = StructType(
@@ -25,15 +25,20 @@ _MANIFEST = StructType(
         StructField("batch_id", StringType()),
         StructField("published_at", StringType()),
         StructField("has_settings", BooleanType()),
+        StructField("has_worlds", BooleanType()),
     ]
 )
 _TABLES = {
     "sources": schemas.SOURCES,
     "chunks": schemas.CHUNKS,
     "splitter_settings": schemas.SPLITTER_SETTINGS,
+    "worlds": schemas.WORLDS,
     "violations": schemas.VIOLATIONS,
 }
 
+# Tables that only some batches write, with the manifest column that says so.
+_FLAGS = {"splitter_settings": "has_settings", "worlds": "has_worlds"}
+
 
 class BatchRefused(ValueError):
     """Nothing of the batch may be published; the violations table tells why."""
@@ -45,7 +50,7 @@ def _folder(root: str, table: str, batch_id: str) -> str:
 
 def start_corpus(spark: SparkSession, root: str) -> None:
     """Make the manifest folder of a new corpus; does nothing where there is one."""
-    _manifest_line(spark, None, None, False).write.mode("ignore").text(f"{root}/manifest/start")
+    _manifest_line(spark, None, None).write.mode("ignore").text(f"{root}/manifest/start")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -65,8 +70,8 @@ def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
     """
     schema = _TABLES[table]
     manifest = read_manifest(spark, root)
-    if table == "splitter_settings":
-        manifest = manifest.where("has_settings")
+    if table in _FLAGS:
+        manifest = manifest.where(_FLAGS[table])
     folders = [_folder(root, table, row.batch_id) for row in manifest.select("batch_id").collect()]
     if not folders:
         return spark.createDataFrame([], schema)
@@ -217,6 +222,7 @@ def _publish(
     on_duplicate: str,
     extra_violations: DataFrame,
     lock: bool,
+    worlds: DataFrame | None = None,
 ) -> DataFrame:
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
         raise ValueError("batch_id must be letters, digits, dots, dashes and underscores")
@@ -224,7 +230,7 @@ def _publish(
         raise ValueError("on_duplicate must be 'block' or 'skip'")
     if is_published(spark, root, batch_id):
         return batch_summary(spark, root, batch_id)
-    moment = F.lit(committed_at).cast("timestamp")
+    moment = names.utc_moment(committed_at)
 
     # The parsed texts feed the gates and the split, so they are written once, not parsed twice.
     parsed = _write(parsed, root, "staging", batch_id)
@@ -255,22 +261,26 @@ def _publish(
             .withColumn("is_locked", F.lit(True))
         )
         _write(locked.select(*[f.name for f in schemas.SPLITTER_SETTINGS]), root, "splitter_settings", batch_id)
-    _write_manifest(spark, root, batch_id, committed_at, lock)
+    if worlds is not None:
+        fresh = worlds.join(numbered.select("world_id").distinct(), "world_id", "left_semi")
+        fresh = fresh.withColumn("last_used_at", moment).select(*[f.name for f in schemas.WORLDS])
+        _write(fresh, root, "worlds", batch_id)
+    _write_manifest(spark, root, batch_id, committed_at, lock, worlds is not None)
     return batch_summary(spark, root, batch_id)
 
 
 def _write_manifest(
-    spark: SparkSession, root: str, batch_id: str, published_at: datetime.datetime, has_settings: bool
+    spark: SparkSession, root: str, batch_id: str, published_at: datetime.datetime, *flags: bool
 ) -> None:
     """One short file, renamed into place by Spark's committer: the visibility point."""
-    line = _manifest_line(spark, batch_id, published_at.isoformat(sep=" "), has_settings)
+    line = _manifest_line(spark, batch_id, published_at.isoformat(sep=" "), *flags)
     line.write.mode("overwrite").text(f"{root}/manifest/{batch_id}")
 
 
 def _manifest_line(
-    spark: SparkSession, batch_id: str | None, published_at: str | None, has_settings: bool
+    spark: SparkSession, batch_id: str | None, published_at: str | None, *flags: bool
 ) -> DataFrame:
-    row = json.dumps({"batch_id": batch_id, "published_at": published_at, "has_settings": has_settings})
+    row = json.dumps({"batch_id": batch_id, "published_at": published_at, **dict(zip(_FLAGS.values(), flags))})
     return spark.range(1, numPartitions=1).select(F.lit(row).alias("value"))
 
 
@@ -296,6 +306,30 @@ def _world_violations(rows: DataFrame, rule: str, message: str) -> DataFrame:
     )
 
 
+def _catalog_violations(staged_worlds: DataFrame, worlds: DataFrame, published: DataFrame) -> DataFrame:
+    """Catalog rows that are missing or blank, and names that a published or an earlier new world holds."""
+    keys = worlds.select("world_id", "display_name_key")
+    in_batch = catalog.name_conflicts(keys, keys).where(F.col("holder_id") < F.col("world_id"))
+    taken = catalog.name_conflicts(published, keys).unionByName(in_batch).select("world_id").distinct()
+    return (
+        validation.world_violations(worlds)
+        .unionByName(_world_violations(taken, "name_taken", "another world has this display name"))
+        .unionByName(
+            _world_violations(
+                staged_worlds.join(worlds.select("world_id").distinct(), "world_id", "left_anti"),
+                "world_row_missing",
+                "the world has no catalog row",
+            )
+        )
+    )
+
+
+def current_worlds(spark: SparkSession, root: str) -> DataFrame:
+    """Published catalog rows; publishing a batch counts as use of its worlds."""
+    usage = read_published(spark, root, "sources").select("world_id", F.col("committed_at").alias("used_at"))
+    return catalog.mark_used(read_published(spark, root, "worlds"), usage)
+
+
 def publish_new_worlds(
     spark: SparkSession,
     root: str,
@@ -305,27 +339,33 @@ def publish_new_worlds(
     committed_at: datetime.datetime,
     on_duplicate: str = "block",
     known_violations: DataFrame | None = None,
+    worlds: DataFrame | None = None,
 ) -> DataFrame:
     """First batch of worlds that do not exist yet; returns counts per published world.
 
     ``parsed`` holds ``world_id, staging_entry_id, source_order, source_path, source_file_type, source_hash,
-    parsed_text``. Settings are stored locked and with the current splitter version.
+    parsed_text``. Settings are stored locked and with the current splitter version. With ``worlds``
+    (``world_id, display_name, description, background_asset_id, font_asset_id``) the catalog rows are
+    published too; a blank or taken name stops its world.
     """
     start_corpus(spark, root)
     existing = read_published(spark, root, "splitter_settings").select("world_id").distinct()
-    worlds = parsed.select("world_id").distinct()
+    staged_worlds = parsed.select("world_id").distinct()
     wrong = _world_violations(
-        worlds.join(existing, "world_id", "left_semi"), "world_exists", "the world is published already"
+        staged_worlds.join(existing, "world_id", "left_semi"), "world_exists", "the world is published already"
     ).unionByName(
         _world_violations(
-            worlds.join(settings.select("world_id").distinct(), "world_id", "left_anti"),
+            staged_worlds.join(settings.select("world_id").distinct(), "world_id", "left_anti"),
             "settings_missing",
             "the world has no splitter settings",
         )
     )
     if known_violations is not None:
         wrong = wrong.unionByName(known_violations)
-    return _publish(spark, root, batch_id, parsed, settings, committed_at, on_duplicate, wrong, True)
+    if worlds is not None:
+        worlds = worlds.withColumn("display_name_key", text.name_key(F.col("display_name")))
+        wrong = wrong.unionByName(_catalog_violations(staged_worlds, worlds, read_published(spark, root, "worlds")))
+    return _publish(spark, root, batch_id, parsed, settings, committed_at, on_duplicate, wrong, True, worlds)
 
 
 def publish_append(

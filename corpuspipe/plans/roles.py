@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuspipe.functions import names, text
-from corpuspipe.operators.catalog import DEFAULT_LAST_USED
+from corpuspipe.operators.catalog import DEFAULT_LAST_USED, default_last_used
 from corpuspipe.operators.chunking import Settings, split_texts
 from corpuspipe.operators.scale import pinned
 from corpuspipe.sources.tables import read_table, spread
@@ -241,7 +241,7 @@ def worlds(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_mktsegment").alias("description"),
         F.concat(F.lit("asset-"), F.least("c_nationkey", F.lit(17))).alias("background_asset_id"),
         font.alias("font_asset_id"),
-        F.coalesce("_used", F.to_timestamp(F.lit(DEFAULT_LAST_USED))).alias("last_used_at"),
+        F.coalesce("_used", default_last_used()).alias("last_used_at"),
     )
 
 

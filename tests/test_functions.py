@@ -103,3 +103,18 @@ def test_hash(spark):
     expected = "sha256:" + hashlib.sha256("é".encode()).hexdigest()
     assert apply(spark, ["é"], lambda v: names.source_hash(F.encode(v, "UTF-8"))) == [expected]
     assert apply(spark, [expected], names.hash_log_prefix) == [expected[:19]]
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    import datetime
+
+    zone = datetime.timezone(datetime.timedelta(hours=5))
+    aware = datetime.datetime(2026, 1, 1, 5, 0, 0, tzinfo=zone)
+    for session_zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        row = spark.range(1).select(
+            names.utc_text(names.utc_moment(aware)),
+            names.utc_text(names.utc_moment(datetime.datetime(2026, 1, 1, 1, 2, 3))),
+            names.relative_age(F.lit("2026-01-01 00:00:00"), names.utc_moment(datetime.datetime(2026, 1, 1, 2, 0, 0))),
+        ).first()
+        assert tuple(row) == ("2026-01-01 00:00:00", "2026-01-01 01:02:03", "2 hours ago")

@@ -158,3 +158,29 @@ def test_reads_prune_other_worlds_and_text(spark, tmp_path):
     wanted = read_published(spark, root, "chunks").where(F.col("world_id") == "w").select("chunk_id")
     plan = wanted._jdf.queryExecution().executedPlan().toString()
     assert "chunk_text" not in plan and "(world_id" in plan.split("PartitionFilters")[1][:120]
+
+
+WORLD = "world_id string, display_name string, description string, background_asset_id string, font_asset_id string"
+
+
+def test_catalog_rows_are_published_with_the_world(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [*FIRST, source("v", "e1", 0, "other"), source("u", "e1", 0, "more"), source("t", "e1", 0, "last")]
+    names_ = [("w", "Naruto", None, "bg", "f"), ("v", "NARUTO", None, "bg", "f"), ("u", " ", None, "bg", "f")]
+    publish_new_worlds(
+        spark, root, "b1", frame(spark, rows), settings(spark, "w", "v", "u", "t"), NOW,
+        worlds=spark.createDataFrame(names_, WORLD),
+    )
+    found = spark.read.parquet(f"{root}/violations/batch_id=b1").collect()
+    assert {(r.world_id, r.rule) for r in found} == {
+        ("w", "name_taken"), ("u", "display_name_blank"), ("t", "world_row_missing"),
+    }
+    assert [(r.world_id, r.last_used_at) for r in publish.current_worlds(spark, root).collect()] == [("v", NOW)]
+    later = NOW + datetime.timedelta(days=1)
+    publish_append(spark, root, "b2", frame(spark, [source("v", "e2", 0, "again")]), later)
+    assert [r.last_used_at for r in publish.current_worlds(spark, root).collect()] == [later]
+    with pytest.raises(BatchRefused):
+        publish_new_worlds(
+            spark, root, "b3", frame(spark, FIRST), settings(spark, "w"), NOW,
+            worlds=spark.createDataFrame([("w", "naruto", None, "bg", "f")], WORLD),
+        )
