@@ -1,7 +1,8 @@
 """The catalog: worlds, splitter settings and shared assets.
 
 Parquet has no row-level update, so every changing operator returns the new state of its table. Joins
-carry no hints: the adaptive planner broadcasts a side once its real size is known to be small.
+carry no hints (the adaptive planner broadcasts a side once its real size is known) unless a side was
+counted first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from corpuspipe.operators.chunking import (
     DEFAULT_OVERLAP,
     SPLITTER_VERSION,
 )
+from corpuspipe.operators.scale import sized
 
 # Ids of the default background and font, the default time of last use (the epoch), and the
 # built-in assets.
@@ -384,9 +386,10 @@ def stale_confirmations(worlds: DataFrame, confirmed: DataFrame) -> DataFrame:
 def replace_references(worlds: DataFrame, removed: DataFrame) -> DataFrame:
     """Give worlds that use a removed asset the fallback of its type; adds ``is_changed``.
 
-    An image is only replaced as background and a font only as font. The removed assets are spread
-    over both columns by two joins on the id; a hot asset id is split by the adaptive skew join.
+    An image is only replaced as background and a font only as font. The removed assets come from a
+    request, so the worlds stay where they are, however many use one asset.
     """
+    removed = sized(removed.select("asset_id", "asset_type"))
     images = removed.where(F.col("asset_type") == "image").select(
         F.col("asset_id").alias("background_asset_id"), F.lit(DEFAULT_BACKGROUND_ID).alias("_background")
     )

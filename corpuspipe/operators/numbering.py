@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuspipe.operators.scale import number_in_order
+from corpuspipe.operators.scale import number_in_order, sized
 
 
 def next_book_numbers(sources: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def assign_book_numbers(staged: DataFrame, sources: DataFrame) -> DataFrame:
         staged, ["world_id"], "source_order", "_place", tie="staging_entry_id"
     )
     return (
-        numbered.join(next_book_numbers(sources), "world_id", "left")
+        numbered.join(sized(next_book_numbers(sources)), "world_id", "left")
         .withColumn(
             "book_number",
             (F.coalesce("next_book_number", F.lit(1)) + F.col("_place") - 1).cast("int"),

@@ -34,6 +34,22 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# A side of at most so many short rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """A side expected to be small (one short row per world, or a request), broadcast after a check of its size.
+
+    It is stored first, so that counting does not work it out twice. Beyond the limit it stays an
+    ordinary side, and the adaptive planner splits the hot keys of the other one.
+    """
+    stored = pinned(small)
+    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(stored)
+    return stored
+
+
 def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows sorted over all partitions and pinned there.
 

@@ -19,6 +19,7 @@ from corpuspipe import schemas
 from corpuspipe.functions import names, text
 from corpuspipe.operators import catalog, dedup, numbering, records, validation
 from corpuspipe.operators.chunking import SPLITTER_VERSION, split_texts
+from corpuspipe.operators.scale import sized
 
 _MANIFEST = StructType(
     [
@@ -158,7 +159,7 @@ def plan_chunks(parsed: DataFrame, numbered: DataFrame, settings: DataFrame) ->
     """
     key = ["world_id", "staging_entry_id"]
     owners = numbered.select(*key, "source_id", "book_number")
-    sizes = settings.select("world_id", "chunk_size", "max_lookback_size", "overlap_size")
+    sizes = sized(settings.select("world_id", "chunk_size", "max_lookback_size", "overlap_size"))
     texts = parsed.select(*key, "parsed_text").join(owners, key).drop("staging_entry_id")
     return split_texts(texts.join(sizes, "world_id").hint("rebalance", "world_id")).select(
         "world_id",
@@ -197,7 +198,7 @@ def _write_rows(
     on_duplicate: str,
 ) -> tuple[DataFrame, DataFrame, int]:
     """Write source and chunk rows of the worlds without violations; also counts blank chunks."""
-    blocked = found.select("world_id").distinct()
+    blocked = sized(found.select("world_id").distinct())
     plan = plan_sources(parsed.drop("parsed_text"), published, blocked, on_duplicate)
     numbered = _write(plan, root, "numbered", batch_id)
     if numbered.isEmpty():

@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType
 from corpuspipe.functions import names, text
 from corpuspipe.operators import validation
 from corpuspipe.operators.chunking import Settings, next_split_index, split_texts
+from corpuspipe.operators.scale import sized
 from corpuspipe.plans import roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import readers, staging
@@ -403,8 +404,8 @@ def split_points(spark, folder):
 )
 def chunks_by_world_settings(spark, folder):
     docs = roles.documents(spark, folder, "source").select("world_id", "doc_id", "parsed_text")
-    settings = roles.settings(spark, folder).select(
-        "world_id", "chunk_size", "max_lookback_size", "overlap_size"
+    settings = sized(
+        roles.settings(spark, folder).select("world_id", "chunk_size", "max_lookback_size", "overlap_size")
     )
     return split_texts(spread(docs, "doc_id").join(settings, "world_id")).drop(
         "chunk_size", "max_lookback_size", "overlap_size"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuspipe.functions import names, text
-from corpuspipe.operators.scale import number_in_order
+from corpuspipe.operators.scale import number_in_order, sized
 from corpuspipe.operators.validation import violations
 
 UNSUPPORTED_MESSAGE = "Unsupported source type."
@@ -54,7 +54,7 @@ def route_sources(staged: DataFrame) -> DataFrame:
     verdict = routed.groupBy("world_id").agg(
         F.bool_and(F.col("parser").isNotNull()).alias("batch_routable")
     )
-    return routed.join(verdict, "world_id")
+    return routed.join(sized(verdict), "world_id")
 
 
 def parse_routed(routed: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def stage_append(entries: DataFrame, added: DataFrame) -> DataFrame:
     last = entries.groupBy("world_id").agg((F.max("source_order") + 1).alias("_base"))
     placed = (
         number_in_order(added, ["world_id"], "source_order", "_place", tie="staging_entry_id")
-        .join(last, "world_id", "left")
+        .join(sized(last), "world_id", "left")
         .withColumn("source_order", (F.coalesce("_base", F.lit(0)) + F.col("_place") - 1).cast("int"))
         .drop("_place", "_base")
     )

@@ -91,3 +91,18 @@ def test_book_numbers(spark):
     )
     got = {(r.world_id, r.staging_entry_id): r.book_number for r in assign_book_numbers(staged, sources).collect()}
     assert got == {("a", "entry-3"): 4, ("a", "entry-1"): 5, ("b", "entry-9"): 1, ("b", "entry-2"): 2}
+
+
+def test_sized_sides(spark, monkeypatch):
+    big = spark.range(5000).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = big.join(scale.sized(small), "k")
+        assert "BroadcastHashJoin" in checked._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+        beyond = big.join(scale.sized(small), "k")
+        assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, checked.collect())) == sorted(map(tuple, beyond.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
