@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.functions import names
 from corpuspipe.operators import dedup, numbering, records, validation
-from corpuspipe.operators.scale import number_in_order, pinned, with_position
+from corpuspipe.operators.scale import number_in_order, pinned, sized, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import staging
@@ -721,9 +721,7 @@ def publish_new_world(spark, folder):
         "source_file_type", names.source_type(F.col("source_path"))
     )
     none = roles.as_published(docs).where(F.lit(False))
-    blocked = (
-        publish.batch_violations(parsed, settings, none, "skip").select("world_id").distinct()
-    )
+    blocked = sized(publish.batch_violations(parsed, settings, none, "skip").select("world_id").distinct())
     numbered = publish.plan_sources(docs, none, blocked, "skip")
     return publish.plan_chunks(spread(parsed, "staging_entry_id"), numbered, settings)
 
