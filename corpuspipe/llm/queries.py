@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuspipe.llm import bpe
 from corpuspipe.llm.exact_dedup import exact_dedup
 from corpuspipe.llm.url_filter import judge_urls, spam_list
 from corpuspipe.sources.tables import read_table
@@ -22,6 +23,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.round_trip(
+        read_table(spark, folder, "documents"), "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
+    )
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op4_url_filter",
     """
