@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuspipe.llm import bpe
 from corpuspipe.llm.exact_dedup import exact_dedup
+from corpuspipe.llm.license_scan import NOTICES, scan_licenses
+from corpuspipe.llm.quality import resample
 from corpuspipe.llm.url_filter import judge_urls, spam_list
 from corpuspipe.sources.tables import read_table
 
@@ -76,6 +78,28 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, spam_list(pages))
 
 
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = F.array(*(F.lit(len(text)) for text, _ in NOTICES))
+    exactness = F.transform("notices", lambda hit: 1 - hit["errors"] / F.get(lengths, hit["notice"]))
+    return scan_licenses(read_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base.label", "notices.label")), ",").alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(exactness), F.lit(0.0))).alias("score"),
+        F.col("notices"),
+    )
+
+
 @query(
     "op10_exact_dedup",
     """
