@@ -21,34 +21,43 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from corpuspipe.llm.common import keep_columns
+from corpuspipe.llm.grams import groups
 
 # Characters of a text, bytes of a pretoken and ids of a list that are worked on without halving.
 LEAF_CHARS = 32_768
-LEAF_BYTES = 64
-LEAF_IDS = 4_096
+LEAF_BYTES = 3
+LEAF_IDS = 1 << 20
+
+# Windows of more bytes are merged with a heap.
+HEAP_BYTES = 128
 
-# Known words are kept for reuse up to this length, in two generations of so many words each.
-CACHED_CHARS = 40
-CACHED_WORDS = 250_000
+# Known words, stretches of bytes and windows are forgotten beyond so many, and not kept beyond this length.
+CACHED = 400_000
+CACHED_LENGTH = 40
 
 NO_MERGE = 1 << 62
 
 
 @dataclass
 class Part:
-    """A stretch of text: ``head`` up to its first border, ids of what is settled, ``tail`` after its last
-    border. Without a border everything is ``head`` and ``settled`` is None."""
+    """A stretch of text: ``head`` up to its first border, what is settled (numbers of
+    encoded words), ``tail`` after its last
+    border. Without a border everything is ``head`` and ``settled``
+    is None."""
 
     head: str
-    settled: list[np.ndarray] | None = None
+    settled: list[list[int]] | None = None
     tail: str = ""
 
 
@@ -65,16 +74,24 @@ class Codec:
         self.space = regex.compile(r"\p{White_Space}")
         self.first_border = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
         self.last_border = regex.compile(r"(?r)(?<=\P{White_Space})(?=\p{White_Space})")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.earlier: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        # Encoded words of the texts at hand: number of a word, and tokens and sizes by number.
+        self.numbers: dict[str, int] = {}
+        self.tokens = array("i")
+        self.sizes = array("i")
+        self.stretches: dict[bytes, list[int]] = {}
+        self.windows: dict[tuple[int, int], list[int]] = {}
+        size = max(self.bytes_of) + 1
+        self.byte_sizes = np.zeros(size, dtype=np.int64)
+        for rank, token in self.bytes_of.items():
+            self.byte_sizes[rank] = len(token)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(rank, b"") for rank in range(size)), dtype=np.uint8)
 
     # Tokens of one pretoken.
 
     def merged(self, data: bytes) -> list[int]:
         """Merge the lowest rank first, the leftmost of equals."""
-        if len(data) > 2 * LEAF_BYTES:
+        if len(data) > HEAP_BYTES:
             return self.merged_by_heap(data)
         ranks, parts = self.ranks, [data[at : at + 1] for at in range(len(data))]
         costs = [ranks.get(a + b, NO_MERGE) for a, b in pairwise(parts)]
@@ -119,93 +136,102 @@ class Codec:
             at = following[at]
         return out
 
+    def window(self, left: int, right: int) -> list[int]:
+        """The encoding of the bytes of two tokens side by side."""
+        found = self.windows.get((left, right))
+        if found is None:
+            if len(self.windows) >= CACHED:
+                self.windows.clear()
+            found = self.windows[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right])
+        return found
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether two tokens side by side are the encoding of their bytes."""
-        known = self.fitting.get((left, right))
-        if known is None:
-            if len(self.fitting) > CACHED_WORDS:
-                self.fitting.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fitting[left, right] = known
-        return known
+        return self.window(left, right) == [left, right]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours from their encodings."""
         if not left or not right:
             return left or right
         i = j = 1
+        window = self.window(left[-1], right[0])
+        if window == [left[-1], right[0]]:
+            return left + right
         while True:
-            inside = b"".join(map(self.bytes_of.__getitem__, chain(left[-i:], right[:j])))
-            window = self.merged(inside)
             left_done = i >= len(left) or self.fits(left[-i - 1], window[0])
             right_done = j >= len(right) or self.fits(window[-1], right[j])
             if left_done and right_done:
                 return left[:-i] + window + right[j:]
             i = i if left_done else min(len(left), 2 * i)
             j = j if right_done else min(len(right), 2 * j)
+            window = self.merged(b"".join(map(self.bytes_of.__getitem__, chain(left[-i:], right[:j]))))
 
     def encoded_bytes(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF_BYTES:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.joined(self.encoded_bytes(data[:half]), self.encoded_bytes(data[half:]))
-
-    def encoded_piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
+        """The encoding of bytes, from that of their halves."""
+        ids = self.stretches.get(data)
         if ids is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.encoded_bytes(data)
-            if len(piece) <= CACHED_CHARS:
-                if len(self.pieces) >= CACHED_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+            if len(data) <= LEAF_BYTES:
+                ids = self.merged(data)
+            else:
+                half = len(data) // 2
+                ids = self.joined(self.encoded_bytes(data[:half]), self.encoded_bytes(data[half:]))
+            if len(data) <= CACHED_LENGTH:
+                if len(self.stretches) >= CACHED:
+                    self.stretches.clear()
+                self.stretches[data] = ids
         return ids
 
-    # Ids of one text.
-
-    def encoded_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a stretch of text that ends at borders."""
-        return tuple(chain.from_iterable(map(self.encoded_piece, self.pattern.findall(word))))
+    def encoded_piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.encoded_bytes(data)
 
-    def known_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a space and a word; frequent words outlive their generation."""
-        ids = self.earlier.get(word)
-        if ids is None:
-            ids = self.encoded_word(" " + word)
-        if len(word) <= CACHED_CHARS:
-            if len(self.known) >= CACHED_WORDS:
-                self.earlier, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
+    # Ids of one text.
 
-    def encoded_leaf(self, text: str) -> np.ndarray:
-        """A text cut at single spaces; those after white space are no borders and stay inside their word."""
+    def encoded_stretch(self, stretch: str) -> int:
+        """The number of a stretch of text that ends at borders, whose tokens are added."""
+        before = len(self.tokens)
+        for piece in self.pattern.findall(stretch):
+            self.tokens.extend(self.encoded_piece(piece))
+        self.sizes.append(len(self.tokens) - before)
+        return len(self.sizes) - 1
+
+    def encoded_word(self, word: str) -> int:
+        """The number of a space and a word."""
+        number = self.encoded_stretch(" " + word)
+        if len(word) <= CACHED_LENGTH:
+            self.numbers[word] = number
+        return number
+
+    def encoded_leaf(self, text: str) -> list[int]:
+        """A text cut at single spaces; those after white space are no borders and stay inside their stretch."""
         first, *words = text.split(" ")
-        ids = list(map(self.known.get, words))
-        missing = [at for at, found in enumerate(ids) if found is None]
+        found = list(map(self.numbers.get, words))
+        missing = [at for at, number in enumerate(found) if number is None]
         if self._closed(first) and all(self._closed(words[at]) for at in missing):
             for at in missing:
-                ids[at] = self.known_word(words[at])
-            return np.fromiter(chain(self.encoded_word(first), chain.from_iterable(ids)), dtype=np.int32)
-        ids, stretch, closed = [], [first], self._closed(first)
+                word = words[at]
+                number = self.numbers.get(word)
+                found[at] = self.encoded_word(word) if number is None else number
+            return [self.encoded_stretch(first), *found]
+        found, stretch, closed = [], [first], self._closed(first)
         for word in words:
             if closed:
-                ids.append(self._stretch(stretch))
+                found.append(self._number(stretch))
                 stretch = ["", word]
             else:
                 stretch.append(word)
             closed = self._closed(word)
-        ids.append(self._stretch(stretch))
-        return np.fromiter(chain.from_iterable(ids), dtype=np.int32)
+        found.append(self._number(stretch))
+        return found
 
     def _closed(self, word: str) -> bool:
         return word != "" and not self.space.match(word[-1])
 
-    def _stretch(self, words: list[str]) -> tuple[int, ...]:
+    def _number(self, words: list[str]) -> int:
         if len(words) == 2 and words[0] == "" and self._closed(words[1]):
-            return self.known.get(words[1]) or self.known_word(words[1])
-        return self.encoded_word(" ".join(words))
+            number = self.numbers.get(words[1])
+            return self.encoded_word(words[1]) if number is None else number
+        return self.encoded_stretch(" ".join(words))
 
     def part(self, text: str) -> Part:
         """A part of a text, from its halves where it is long."""
@@ -239,17 +265,45 @@ class Codec:
         window = self.encoded_leaf(left.tail + right.head)
         return Part(left.head, [*left.settled, window, *right.settled], right.tail)
 
-    def encode(self, text: str) -> np.ndarray:
+    def numbered(self, text: str) -> list[int]:
+        """Numbers of the encoded stretches that make up the text."""
         if len(text) <= LEAF_CHARS:
             return self.encoded_leaf(text)
         whole = self.part(text)
-        return np.concatenate([self.encoded_leaf(whole.head), *(whole.settled or []), self.encoded_leaf(whole.tail)])
+        return list(chain(self.encoded_leaf(whole.head), *(whole.settled or []), self.encoded_leaf(whole.tail)))
+
+    def encode_all(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where those of each begin and end."""
+        if len(self.numbers) > CACHED or len(self.tokens) > 16 * CACHED:
+            self.numbers.clear()
+            self.tokens, self.sizes = array("i"), array("i")
+        lists = [np.array(self.numbered(text), dtype=np.int64) for text in texts]
+        sizes = np.array(self.sizes, dtype=np.int64)
+        tokens = np.array(self.tokens, dtype=np.int32)
+        starts = np.cumsum(sizes) - sizes
+        offsets = np.zeros(len(lists) + 1, dtype=np.int64)
+        np.cumsum([int(sizes[numbers].sum()) for numbers in lists], out=offsets[1:])
+        ids = [gathered(tokens, starts[numbers], sizes[numbers]) for numbers in lists]
+        return (np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)), offsets
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
-    def decode(self, ids) -> bytes:
-        if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of ids, concatenated up a tree of halves."""
+        if len(ids) > LEAF_IDS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.byte_sizes) or not self.byte_sizes[ids].all()):
+            raise ValueError("An id is not in the vocabulary.")
+        return gathered(self.all_bytes, self.byte_starts[ids], self.byte_sizes[ids]).tobytes()
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` with these starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -279,20 +333,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), pattern)
         for batch in batches:
-            lists = [codec.encode(text or "") for text in _strings(batch.column(1))]
-            offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(ids) for ids in lists], out=offsets[1:])
-            flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, ids array<int>")
-
+            for group in groups(batch, 1):
+                flat, offsets = codec.encode_all(text.as_py() or "" for text in group.column(1))
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=pa.int32()))
+                yield pa.RecordBatch.from_arrays([group.column(0), ids], names=["doc_id", "ids"])
 
-def _strings(column: pa.Array) -> Iterator[str | None]:
-    """Values one after another, so that only one text at a time is held twice."""
-    return (value.as_py() for value in column)
+    return keep_columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -301,7 +347,10 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), r"\s+")
         for batch in batches:
-            values = (value.values.to_pylist() if value.is_valid else [] for value in batch.column(1))
+            values = (
+                value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.empty(0, dtype=np.int32)
+                for value in batch.column(1)
+            )
             decoded = pa.array([codec.decode(ids) for ids in values], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=["doc_id", "ids", "decoded"])
 
