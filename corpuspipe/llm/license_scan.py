@@ -2,9 +2,9 @@
 
 A text is lower-cased (A-Z) and cut into words; everything is searched on the words' hashes in numpy and
 confirmed on the words themselves. A notice may be found with up to ``k`` character errors. It is cut into
-``2k + 1`` runs of words: one error touches at most two neighbouring runs, so one run is left exact. Runs found
-in a text are the seeds; around each the ``regex`` library looks for the notice with at most ``k`` errors and
-gives the errors and the span. Text outside seeds is never matched.
+``2k + 1`` runs of words: one error touches at most two neighbouring words, so one run is left exact. Runs found
+in a text are the seeds. Around a seed all but ``2k`` words of the notice must be there, for the same reason; then
+the ``regex`` library looks for the notice with at most ``k`` errors and gives the errors and the span.
 
 Defined results: a null text is empty: no words, no labels, score 0. Places that overlap all count in the
 base search. Of overlapping notices of one label the one with fewest errors is reported. Repeated rows give
@@ -64,7 +64,8 @@ class Notice:
 def notice(text: str, label: str) -> Notice:
     """A notice with its number of errors and the runs (first word, words) of its pigeonhole split."""
     words = tuple(text.split())
-    errors = min(len(text) // CHARS_PER_ERROR, (len(words) - 1) // 2)
+    # Runs have two words or more, so that they are rare; a notice of five words has one single word.
+    errors = min(len(text) // CHARS_PER_ERROR, max((len(words) // 2 - 1) // 2, int(len(words) >= 5)))
     cuts = np.ceil(np.linspace(0, len(words), 2 * errors + 2)).astype(int)
     return Notice(words, label, errors, tuple((int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])))
 
@@ -92,6 +93,7 @@ class Scanner:
         self.patterns = [
             regex.compile(rf"(?b)\b(?:{regex.escape(' '.join(each.words))}){{e<={each.errors}}}\b") for each in self.notices
         ]
+        self.word_hashes = [np.unique(hash_of(*each.words)) for each in self.notices]
         self.phrases = [(hash_of(*phrase.split()), label) for phrase, label in PHRASES]
 
     def candidates(self, found: grams.Words) -> set[tuple[int, int, int]]:
@@ -137,6 +139,9 @@ def _scan(group: pa.RecordBatch, scanner: Scanner) -> pa.RecordBatch:
         each = scanner.notices[number]
         low = max(int(bounds[text]), place - each.errors - 1)
         high = min(int(bounds[text + 1]), place + len(each.words) + each.errors + 1)
+        wanted = scanner.word_hashes[number]
+        if np.isin(wanted, found.hashes[low:high]).sum() < len(wanted) - 2 * each.errors:
+            continue
         shown = [found.data[starts[w] : ends[w]].tobytes().decode(errors="replace").translate(FOLD) for w in range(low, high)]
         match = scanner.patterns[number].search(" ".join(shown))
         if not match:
