@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuspipe.llm import bpe
+from corpuspipe.llm import bpe, warc
 from corpuspipe.llm.exact_dedup import exact_dedup
 from corpuspipe.llm.license_scan import NOTICES, scan_licenses
+from corpuspipe.llm.main_text import extract
 from corpuspipe.llm.quality import resample
 from corpuspipe.llm.url_filter import judge_urls, spam_list
 from corpuspipe.sources.tables import read_table
@@ -78,6 +79,31 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, spam_list(pages))
 
 
+@query(
+    "op5_warc",
+    """
+    WITH hashed AS (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+    ), first AS (
+        SELECT payload, min(page_id) AS original FROM hashed GROUP BY payload
+    ), groups AS (
+        SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::INTEGER) AS bits
+        FROM hashed JOIN first USING (payload)
+    )
+    SELECT page_id, strlen(payload) AS payload_bytes,
+        array_to_string(list_transform(bits, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+            lambda shift: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> shift) & 31) + 1, 1)), '')), '') AS payload_digest,
+        CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> original THEN original END AS refers_to
+    FROM groups
+    """,
+)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return resample(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
@@ -100,6 +126,29 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Blocks are kept apart by line ends; inline tags go without a trace. The references are those the table holds.
+@query(
+    "op8_main_text",
+    r"""
+    WITH article AS (
+        SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages
+    ), plain AS (
+        SELECT page_id, url, regexp_replace(regexp_replace(body,
+            '</?(p|h1|h2|h3|br|ul|li|div)( [^>]*)?>', chr(10), 'gs'), '<[^>]*>', '', 'gs') AS body FROM article
+    ), decoded AS (
+        SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(body,
+            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'),
+            '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+        FROM plain
+    )
+    SELECT page_id, url, text, length(text) AS n_chars FROM decoded
+    """,
+)
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    texts = extract(read_table(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query(
     "op10_exact_dedup",
     """
