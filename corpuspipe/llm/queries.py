@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuspipe.llm import bpe, warc
+from corpuspipe.llm.decontaminate import find_leaks
 from corpuspipe.llm.exact_dedup import exact_dedup
 from corpuspipe.llm.license_scan import NOTICES, scan_licenses
 from corpuspipe.llm.main_text import extract
@@ -26,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return leaks.drop("text_hash")
+
+
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
