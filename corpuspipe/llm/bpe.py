@@ -43,7 +43,7 @@ LEAF_IDS = 1 << 20
 HEAP_BYTES = 128
 
 # Known words, stretches of bytes and windows are forgotten beyond so many, and not kept beyond this length.
-CACHED = 400_000
+CACHED = 200_000
 CACHED_LENGTH = 40
 
 NO_MERGE = 1 << 62

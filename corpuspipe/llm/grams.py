@@ -165,7 +165,7 @@ def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     count = len(hashes) - n + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.full(count, np.uint64(n + 64 * salt) * _WEIGHTS[-1 - salt], dtype=np.uint64)
+    out = np.full(count, np.uint64((n + 64 * salt) * int(_WEIGHTS[-1 - salt]) % (1 << 64)), dtype=np.uint64)
     for j in range(n):
         out += hashes[j : j + count] * (_WEIGHTS[j] ^ (_SHORT[salt] << np.uint64(1)))
     return mixed(out)

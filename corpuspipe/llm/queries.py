@@ -10,6 +10,7 @@ from corpuspipe.llm.exact_dedup import exact_dedup
 from corpuspipe.llm.license_scan import NOTICES, scan_licenses
 from corpuspipe.llm.main_text import extract
 from corpuspipe.llm.quality import resample
+from corpuspipe.llm.substring_dedup import remove_repeats
 from corpuspipe.llm.url_filter import judge_urls, spam_list
 from corpuspipe.sources.tables import read_table
 
@@ -156,6 +157,40 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS body
+        FROM split, unnest(range(1, len(words) - 11)) AS places(i)
+    ), least AS (
+        SELECT body, min(doc_id) AS least FROM windows GROUP BY body
+    ), gone AS (
+        SELECT DISTINCT doc_id, i + k AS place
+        FROM windows JOIN least USING (body), unnest(range(0, 13)) AS steps(k)
+        WHERE doc_id > least
+    ), gone_of AS (
+        SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+    ), kept AS (
+        SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
+            CASE WHEN places IS NULL THEN words
+                 ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS kept
+        FROM split LEFT JOIN gone_of USING (doc_id)
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+        sha256(array_to_string(kept, ' ')) AS kept_sha256
+    FROM kept
+    """,
+)
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query(
     "op10_exact_dedup",
     """
