@@ -29,9 +29,8 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpuspipe.llm.common import keep_columns
 from corpuspipe.llm.grams import groups
 
 # Characters of a text, bytes of a pretoken and ids of a list that are worked on without halving.
@@ -326,37 +325,40 @@ def _vocabulary(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` of every row's ``text``. ``vocabulary``: a path that every executor has, or the
-    name of a file of the installed tokenizers."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``ids`` of every row's ``text``. ``vocabulary``: a path that every executor has,
+    or the name of a file of the installed tokenizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), pattern)
         for batch in batches:
-            for group in groups(batch, 1):
-                flat, offsets = codec.encode_all(text.as_py() or "" for text in group.column(1))
+            for group in groups(batch, len(keep)):
+                flat, offsets = codec.encode_all(text.as_py() or "" for text in group.column(len(keep)))
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([group.column(0), ids], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*group.columns[:-1], ids], names=[*keep, "ids"])
 
-    return keep_columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
+    read = docs.select(*(F.col(f"`{name}`") for name in keep), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*(read.schema[name] for name in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return read.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id``, ``ids`` and ``decoded`` (bytes) of every row's ``ids``; null ids give no bytes."""
+    """All columns and ``decoded`` (bytes) of every row's ``ids``; null ids give no bytes."""
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), r"\s+")
         for batch in batches:
             values = (
                 value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.empty(0, dtype=np.int32)
-                for value in batch.column(1)
+                for value in batch.column(at)
             )
             decoded = pa.array([codec.decode(ids) for ids in values], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of every row."""
-    return decode(encode(docs, vocabulary, pattern), vocabulary)
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``ids`` and ``decoded`` of every row."""
+    return decode(encode(docs, vocabulary, pattern, keep), vocabulary)

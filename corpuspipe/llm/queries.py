@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuspipe.llm import bpe, warc
 from corpuspipe.llm.decontaminate import find_leaks
 from corpuspipe.llm.exact_dedup import exact_dedup
+from corpuspipe.llm.jaccard_join import jaccard_components
 from corpuspipe.llm.license_scan import NOTICES, scan_licenses
 from corpuspipe.llm.main_text import extract
 from corpuspipe.llm.quality import resample
@@ -28,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(read_table(spark, folder, "documents"), n=3, num=90, den=100)
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     leaks = find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
