@@ -4,22 +4,57 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuspipe.llm import bpe
 from corpuspipe.llm.common import new_folder
+from corpuspipe.llm.decontaminate import without_leaks
 from corpuspipe.llm.exact_dedup import without_copies
+from corpuspipe.llm.jaccard_join import without_near_copies
+from corpuspipe.llm.quality import without_rejected
 from corpuspipe.sources.tables import read_table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the resampling does not draw go."""
+    return without_rejected(docs, read_table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return without_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share 0.8 of their five-word n-grams one stays, links taken as far as they reach."""
+    return without_near_copies(docs, n=5, num=80, den=100)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, word by word or edited, go."""
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to."""
+    import public_tokenizers
+
+    kept = tuple(name for name in docs.columns if name not in ("text", "ids", "decoded"))
+    coded = bpe.round_trip(docs, "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN, kept)
+    return coded.select(
+        *kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text")
+    )
+
+
 STAGES = [
+    ("quality classifier", quality),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level BPE", tokens),
 ]
 
+# Model weights, alignments and tokens have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
