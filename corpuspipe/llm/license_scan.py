@@ -90,8 +90,10 @@ class Scanner:
         for length, seeds in by_length.items():
             order = sorted(seeds)
             self.seeds[length] = np.array(order, dtype=np.uint64), [seeds[value] for value in order]
+        # One pattern for each number of errors: the first that matches tells the fewest.
         self.patterns = [
-            regex.compile(rf"(?b)\b(?:{regex.escape(' '.join(each.words))}){{e<={each.errors}}}\b") for each in self.notices
+            [regex.compile(rf"\b(?:{regex.escape(' '.join(each.words))}){{e<={errors}}}\b") for errors in range(each.errors + 1)]
+            for each in self.notices
         ]
         self.word_hashes = [np.unique(hash_of(*each.words)) for each in self.notices]
         self.phrases = [(hash_of(*phrase.split()), label) for phrase, label in PHRASES]
@@ -143,8 +145,9 @@ def _scan(group: pa.RecordBatch, scanner: Scanner) -> pa.RecordBatch:
         if np.isin(wanted, found.hashes[low:high]).sum() < len(wanted) - 2 * each.errors:
             continue
         shown = [found.data[starts[w] : ends[w]].tobytes().decode(errors="replace").translate(FOLD) for w in range(low, high)]
-        match = scanner.patterns[number].search(" ".join(shown))
-        if not match:
+        around = " ".join(shown)
+        match = next(filter(None, (pattern.search(around) for pattern in scanner.patterns[number])), None)
+        if match is None:
             continue
         offsets = np.cumsum([0] + [len(word) + 1 for word in shown])
         first = low + int(np.searchsorted(offsets, match.start(), side="right")) - 1
