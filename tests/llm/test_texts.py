@@ -201,6 +201,7 @@ def test_notice_found_with_every_single_edit():
         if not scanner.notices[number].errors:
             continue
         edits = [text[:k] + text[k + 1 :] for k in range(1, len(text) - 1)] + [text[:k] + "q" + text[k:] for k in range(1, len(text) - 1)]
+        edits = [edit for edit in edits if "  " not in edit]  # a word of one letter went: two errors
         batch = pa.record_batch([pa.array(range(len(edits)), pa.int64()), pa.array([f"so it is {e} or not" for e in edits])], names=["doc_id", "text"])
         for hits in license_scan._scan(batch, scanner).column(3).to_pylist():
             assert any(hit["label"] == label and hit["errors"] <= 1 for hit in hits), (text, hits)
