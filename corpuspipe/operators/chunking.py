@@ -76,11 +76,32 @@ _PATTERN = (
 )
 
 
-def _running_ends(lengths: str) -> str:
-    """0 and then the running sums of an array of lengths."""
+# Lengths of one block of a running sum.
+_SUM_BLOCK = 512
+
+
+def _growing(lengths: str) -> str:
+    """0 and then the running sums of a short array; every step copies the sums so far."""
     return f"aggregate({lengths}, array(0), (ends, size) -> concat(ends, array(element_at(ends, -1) + size)))"
 
 
+def _running_ends(lengths: str) -> str:
+    """0 and then the running sums of an array of lengths, in two levels.
+
+    Each block is summed alone and then moved by the sum of the blocks before it, so a text of many chunks
+    copies at most a block for each chunk. One-element transforms bind what is used more than once.
+    """
+    blocks = (
+        f"transform(sequence(0, (size(lengths) - 1) div {_SUM_BLOCK}), "
+        f"b -> slice(lengths, cast(b * {_SUM_BLOCK} + 1 AS INT), {_SUM_BLOCK}))"
+    )
+    sums = f"transform({blocks}, block -> {_growing('block')})"
+    starts = _growing("transform(sums, own -> element_at(own, -1))")
+    moved = "flatten(transform(sums, (own, b) -> transform(slice(own, 2, size(own)), stop -> stop + get(starts, b))))"
+    joined = f"transform(array({starts}), starts -> concat(array(0), {moved}))[0]"
+    return f"transform(array({lengths}), lengths -> transform(array({sums}), sums -> {joined})[0])[0]"
+
+
 def _chunk_array(text: str, pattern: str, window: str) -> str:
     """Array of chunk texts; joined they are the text again.
 

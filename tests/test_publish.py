@@ -166,7 +166,7 @@ WORLD = "world_id string, display_name string, description string, background_as
 def test_catalog_rows_are_published_with_the_world(spark, tmp_path):
     root = str(tmp_path)
     rows = [*FIRST, source("v", "e1", 0, "other"), source("u", "e1", 0, "more"), source("t", "e1", 0, "last")]
-    names_ = [("w", "Naruto", None, "bg", "f"), ("v", "NARUTO", None, "bg", "f"), ("u", " ", None, "bg", "f")]
+    names_ = [("w", "Lighthouse", None, "bg", "f"), ("v", "LIGHTHOUSE", None, "bg", "f"), ("u", " ", None, "bg", "f")]
     publish_new_worlds(
         spark, root, "b1", frame(spark, rows), settings(spark, "w", "v", "u", "t"), NOW,
         worlds=spark.createDataFrame(names_, WORLD),
