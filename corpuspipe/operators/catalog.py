@@ -165,22 +165,46 @@ def _valid_world() -> Column:
     )
 
 
-def create_worlds(worlds: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """Add the valid new worlds (``request_order`` decides who gets a name asked for twice).
+def create_outcomes(worlds: DataFrame, requests: DataFrame) -> DataFrame:
+    """What becomes of every request for a new world: its columns, ``display_name_key`` and ``outcome``.
 
-    The first request per name is kept as a whole row by the aggregate, so equal names are reduced
-    before the shuffle however often they occur.
+    ``invalid``: a name or asset is blank. ``world_exists``: the id is taken, by a world or by an earlier valid
+    request. ``name_taken``: a world has the name, or an earlier valid request asked for it. Else ``created``.
+    Earlier is by ``request_order``, then id. First requests come from aggregates, so equal ids and names are
+    reduced before the shuffle however often they occur.
     """
-    fields = [field.name for field in schemas.WORLDS if field.name != "last_used_at"]
+    asked = requests.withColumn("display_name_key", text.name_key(F.col("display_name")))
+    place = F.struct("request_order", "world_id")
+    valid = asked.where(_valid_world())
+    by_id = valid.groupBy("world_id").agg(F.min("request_order").alias("_first_order"))
+    known = worlds.select("world_id").distinct().withColumn("_known", F.lit(True))
+    names_held = worlds.select("display_name_key").distinct().withColumn("_held", F.lit(True))
     fresh = (
-        requests.where(_valid_world())
-        .withColumn("display_name_key", text.name_key(F.col("display_name")))
+        valid.join(known, "world_id", "left_anti")
+        .join(by_id, "world_id")
+        .where(F.col("request_order") == F.col("_first_order"))
         .groupBy("display_name_key")
-        .agg(F.min(F.struct("request_order", *fields[:2], *fields[3:])).alias("_first"))
-        .select("display_name_key", "_first.*")
+        .agg(F.min(place).alias("_first"))
     )
-    taken = worlds.select("display_name_key").distinct()
-    accepted = fresh.join(taken, "display_name_key", "left_anti").withColumn("last_used_at", now)
+    outcome = (
+        F.when(~_valid_world(), "invalid")
+        .when(F.col("_known") | (F.col("request_order") > F.col("_first_order")), "world_exists")
+        .when(F.col("_held") | (place != F.col("_first")), "name_taken")
+        .otherwise("created")
+    )
+    return (
+        asked.join(known, "world_id", "left")
+        .join(by_id, "world_id", "left")
+        .join(names_held, "display_name_key", "left")
+        .join(fresh, "display_name_key", "left")
+        .withColumn("outcome", outcome)
+        .select(*requests.columns, "display_name_key", "outcome")
+    )
+
+
+def create_worlds(worlds: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """Add the requested worlds whose outcome (``create_outcomes``) is ``created``."""
+    accepted = create_outcomes(worlds, requests).where(F.col("outcome") == "created").withColumn("last_used_at", now)
     return worlds.unionByName(accepted.select(*worlds.columns))
 
 

@@ -316,6 +316,20 @@ def create_worlds(spark, folder):
     return _shown(state).select("world_id", "display_name", "display_name_key", "last_used_at")
 
 
+@query(
+    "create_outcomes",
+    f"""WITH r AS (SELECT *, lower(display_name) AS k, trim(display_name) <> '' AS valid FROM ({_REQUESTS})),
+            n AS (SELECT *, row_number() OVER (PARTITION BY k, valid ORDER BY request_order) AS place FROM r)
+        SELECT world_id, request_order, display_name, CASE WHEN NOT valid THEN 'invalid'
+            WHEN k IN (SELECT lower(c_name) FROM customer) OR place > 1 THEN 'name_taken' ELSE 'created' END AS outcome
+        FROM n""",
+)
+def create_outcomes(spark, folder):
+    """Every request keeps a row that says what became of it."""
+    found = catalog.create_outcomes(roles.worlds(spark, folder), _requests(spark, folder))
+    return found.select("world_id", "request_order", "display_name", "outcome")
+
+
 @query(
     "name_conflicts",
     f"""SELECT 'new-' || s_suppkey AS world_id, lower(display_name) AS display_name_key, 'world-' || c_custkey AS holder_id

@@ -41,8 +41,16 @@ _TABLES = {
 _FLAGS = {"splitter_settings": "has_settings", "worlds": "has_worlds"}
 
 
+# Rules that are told but stop nothing: the row itself is left out.
+NOT_BLOCKING = ("duplicate_skipped",)
+
+
 class BatchRefused(ValueError):
-    """Nothing of the batch may be published; the violations table tells why."""
+    """Nothing of the batch may be published; ``read_violations`` tells why."""
+
+
+class BatchConflict(RuntimeError):
+    """Ids or book numbers of the batch are taken: another writer was faster. Running the batch again helps."""
 
 
 def _folder(root: str, table: str, batch_id: str) -> str:
@@ -80,6 +88,23 @@ def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
     return rows.select(*[field.name for field in schema])
 
 
+def read_violations(spark: SparkSession, root: str) -> DataFrame:
+    """Broken rules of every batch that was tried, published or refused, with its ``batch_id``.
+
+    Also names what was left out without stopping a batch (``NOT_BLOCKING``).
+    """
+    schema = StructType([*schemas.VIOLATIONS.fields, StructField("batch_id", StringType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/violations")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/violations")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _write(df: DataFrame, root: str, table: str, batch_id: str, by_world: bool = False) -> DataFrame:
     """Overwrite this batch's folder of a table and read it back, which also cuts the lineage."""
     path = _folder(root, table, batch_id)
@@ -109,7 +134,8 @@ def _duplicate_violations(staged: DataFrame, sources: DataFrame, rule: str) -> D
 def batch_violations(
     parsed: DataFrame, settings: DataFrame, sources: DataFrame, on_duplicate: str
 ) -> DataFrame:
-    """Every broken rule that stops a world's batch before splitting; texts are read in one pass."""
+    """Every broken rule that stops a world's batch before splitting, and every duplicate that is left out;
+    texts are read in one pass."""
     kind = text.normalize_type(F.col("source_file_type"))
     found = (
         validation.violations(
@@ -129,9 +155,8 @@ def batch_violations(
         .unionByName(validation.staged_id_violations(parsed))
         .unionByName(validation.settings_violations(settings))
     )
-    if on_duplicate == "block":
-        found = found.unionByName(_duplicate_violations(parsed, sources, "duplicate_source"))
-    return found
+    rule = "duplicate_source" if on_duplicate == "block" else "duplicate_skipped"
+    return found.unionByName(_duplicate_violations(parsed, sources, rule))
 
 
 def plan_sources(
@@ -197,12 +222,17 @@ def _write_rows(
     moment: Column,
     on_duplicate: str,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Write source and chunk rows of the worlds without violations; also counts blank chunks."""
-    blocked = sized(found.select("world_id").distinct())
+    """Write source and chunk rows of the worlds without violations; also counts blank chunks.
+
+    Ids and numbers are checked against the published ones before any text is cut.
+    """
+    blocked = sized(found.where(~F.col("rule").isin(*NOT_BLOCKING)).select("world_id").distinct())
     plan = plan_sources(parsed.drop("parsed_text"), published, blocked, on_duplicate)
     numbered = _write(plan, root, "numbered", batch_id)
     if numbered.isEmpty():
         raise BatchRefused("every world of the batch is blocked or holds no new source")
+    if not dedup.source_conflicts(numbered, published).isEmpty():
+        raise BatchConflict("source ids or book numbers are already taken")
     rows = source_rows(numbered, moment).sortWithinPartitions("world_id", "book_number")
     _write(rows, root, "sources", batch_id)
     watch = Observation()
@@ -213,6 +243,27 @@ def _write_rows(
     return numbered, chunks, watch.get["blank"]
 
 
+def _withdraw(
+    root: str, batch_id: str, numbered: DataFrame, late: DataFrame, moment: Column
+) -> DataFrame:
+    """Take the worlds of ``late`` out of the batch that was just written.
+
+    Numbers are per world and chunks lie by world, so the other worlds' rows stay as they are: the folders of
+    these worlds go, and only the narrow rows are written again.
+    """
+    spark = numbered.sparkSession
+    worlds = late.select("world_id").distinct()
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in worlds.toLocalIterator():
+        _delete(spark, f"{_folder(root, 'chunks', batch_id)}/world_id={escape(row.world_id)}")
+    left = _write(numbered.join(worlds, "world_id", "left_anti"), root, "numbered_left", batch_id)
+    if left.isEmpty():
+        raise BatchRefused("every world of the batch is blocked")
+    rows = source_rows(left, moment).sortWithinPartitions("world_id", "book_number")
+    _write(rows, root, "sources", batch_id)
+    return left
+
+
 def _publish(
     spark: SparkSession,
     root: str,
@@ -242,19 +293,16 @@ def _publish(
     numbered, chunks, blank = _write_rows(root, batch_id, parsed, settings, published, found, moment, on_duplicate)
     if blank:
         # A blank chunk stops its world. It was counted while writing, so only a batch that has one pays
-        # for finding it and for writing again without its world.
+        # for finding it.
         columns = [field.name for field in schemas.CHUNKS]
-        late = validation.chunk_violations(
-            chunks.where(~text.is_usable(F.col("chunk_text"))).select(*columns)
+        late = _write(
+            validation.chunk_violations(chunks.where(~text.is_usable(F.col("chunk_text"))).select(*columns)),
+            root,
+            "late_violations",
+            batch_id,
         )
-        found = _write(found.unionByName(late), root, "violations_after_split", batch_id)
-        numbered, chunks, _ = _write_rows(
-            root, batch_id, parsed, settings, published, found, moment, on_duplicate
-        )
-
-    conflicts = dedup.source_conflicts(numbered, published)
-    if not conflicts.isEmpty():
-        raise BatchRefused("source ids or book numbers are already taken")
+        late.write.mode("append").parquet(_folder(root, "violations", batch_id))
+        numbered = _withdraw(root, batch_id, numbered, late, moment)
     if lock:
         locked = (
             settings.join(numbered.select("world_id").distinct(), "world_id", "left_semi")
@@ -267,6 +315,8 @@ def _publish(
         fresh = fresh.withColumn("last_used_at", moment).select(*[f.name for f in schemas.WORLDS])
         _write(fresh, root, "worlds", batch_id)
     _write_manifest(spark, root, batch_id, committed_at, lock, worlds is not None)
+    for step in ("staging", "numbered", "numbered_left", "late_violations"):
+        _delete(spark, _folder(root, step, batch_id))
     return batch_summary(spark, root, batch_id)
 
 

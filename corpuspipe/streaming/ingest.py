@@ -20,8 +20,10 @@ def ingest_stream(
     """Append every micro-batch of a streaming frame of parsed sources to the published worlds.
 
     The publish id is made from the stream name and Spark's batch id, so a batch that is run again after
-    a failure publishes once. A stream must not stop for one duplicate, so duplicates are left out
-    instead of refusing the batch. One stream may write to a world at a time.
+    a failure publishes once. A stream must not stop for one duplicate, so duplicates are left out instead of
+    refusing the batch. What is left out, and why a batch was refused, is in ``publish.read_violations``.
+    One stream may write to a world at a time; if numbers were taken by another writer after all, the stream
+    fails (``BatchConflict``), and starting it again publishes the batch.
     """
 
     def append(batch: DataFrame, batch_number: int) -> None:
@@ -35,7 +37,7 @@ def ingest_stream(
                 on_duplicate="skip",
             )
         except BatchRefused:
-            # Nothing new in this batch; its violations stay written beside the tables.
+            # Nothing of this batch could be published; read_violations names each row and its rule.
             return
 
     return (

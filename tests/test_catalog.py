@@ -50,14 +50,14 @@ def test_recent_order(spark):
 
 
 def test_create_refuses_taken_names(spark):
-    table = worlds(spark, ("1", "Naruto", BG, FONT, T(2026, 1, 1)), ("2", "Straße", BG, FONT, T(2026, 1, 1)))
+    table = worlds(spark, ("1", "Lighthouse", BG, FONT, T(2026, 1, 1)), ("2", "Straße", BG, FONT, T(2026, 1, 1)))
     asked = requests(
         spark,
-        ("a", 0, "NARUTO", None, BG, FONT), ("b", 1, "STRASSE", None, BG, FONT), ("c", 3, "new", "late", BG, FONT),
+        ("a", 0, "LIGHTHOUSE", None, BG, FONT), ("b", 1, "STRASSE", None, BG, FONT), ("c", 3, "new", "late", BG, FONT),
         ("d", 2, "New", "early", BG, FONT), ("e", 4, " ", None, BG, FONT), ("f", 5, "No font", None, BG, ""),
     )
     state = catalog.create_worlds(table, asked, now())
-    assert rows(state, "world_id", "display_name") == [("1", "Naruto"), ("2", "Straße"), ("d", "New")]
+    assert rows(state, "world_id", "display_name") == [("1", "Lighthouse"), ("2", "Straße"), ("d", "New")]
     assert state.where("world_id = 'd'").first().last_used_at == T(2026, 5, 5, 5, 5, 5)
 
 

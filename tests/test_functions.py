@@ -34,7 +34,7 @@ def test_strip_collapse_and_preformatted(spark):
 
 
 def test_name_key_is_casefold(spark):
-    values = ["Naruto", "NARUTO", "Straße", "STRASSE", "İstanbul", "ﬁ", "Σίσυφος"]
+    values = ["Lighthouse", "LIGHTHOUSE", "Straße", "STRASSE", "İstanbul", "ﬁ", "Σίσυφος"]
     assert apply(spark, values, text.name_key) == [v.casefold() for v in values]
 
 
@@ -89,7 +89,7 @@ def test_relative_age(spark, moment, age):
 
 def test_world_ids(spark):
     dashed = "12345678-9abc-def0-1234-56789abcdef0"
-    values = [dashed, dashed.upper(), "{" + dashed + "}", "urn:uuid:" + dashed, dashed.replace("-", ""), "Naruto", ""]
+    values = [dashed, dashed.upper(), "{" + dashed + "}", "urn:uuid:" + dashed, dashed.replace("-", ""), "Lighthouse", ""]
     assert apply(spark, values, normalize_world_id) == [dashed] * 5 + [None, None]
 
 

@@ -94,13 +94,40 @@ def test_a_bad_world_does_not_stop_the_others(spark, tmp_path):
     ]
     publish_new_worlds(spark, root, "b1", frame(spark, rows), settings(spark, "w", "type", "blank", "late"), NOW)
     assert {r[0] for r in chunks_of(spark, root)} == {"w"}
-    found = spark.read.parquet(f"{root}/violations_after_split/batch_id=b1")
-    assert {(r.world_id, r.rule) for r in found.collect()} == {
+    broken = {
         ("type", "unsupported_type"), ("blank", "text_unusable"), ("late", "chunk_text_blank"), ("none", "settings_missing"),
     }
+    for found in (publish.read_violations(spark, root), read_published(spark, root, "violations")):
+        assert {(r.world_id, r.rule) for r in found.collect()} == broken
+    assert {r.world_id for r in read_published(spark, root, "sources").collect()} == {"w"}
+    assert not (tmp_path / "staging" / "batch_id=b1").exists()
     assert {r.world_id for r in read_published(spark, root, "splitter_settings").collect()} == {"w"}
 
 
+def test_skipped_duplicates_and_refused_batches_are_told(spark, tmp_path):
+    root = str(tmp_path)
+    assert publish.read_violations(spark, root).count() == 0
+    publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
+    again = [source("w", "e8", 8, "wholly new"), *(source("w", f"again-{row[1]}", 9 + k, row[-1]) for k, row in enumerate(FIRST))]
+    publish_append(spark, root, "b2", frame(spark, again), NOW, on_duplicate="skip")
+    told = {(r.batch_id, r.entity_key, r.rule) for r in publish.read_violations(spark, root).collect()}
+    assert told == {("b2", f"again-{row[1]}", "duplicate_skipped") for row in FIRST}
+    with pytest.raises(BatchRefused):
+        publish_append(spark, root, "b3", frame(spark, again[1:]), NOW)
+    refused = publish.read_violations(spark, root).where("batch_id = 'b3'")
+    assert {r.rule for r in refused.collect()} == {"duplicate_source"}
+
+
+def test_taken_numbers_fail_loudly_before_texts_are_cut(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
+    plan = publish.plan_sources
+    monkeypatch.setattr(publish, "plan_sources", lambda *a: plan(*a).withColumn("book_number", F.lit(1)))
+    with pytest.raises(publish.BatchConflict):
+        publish_append(spark, root, "b2", frame(spark, [source("w", "e7", 7, "something else")]), NOW)
+    assert not (tmp_path / "chunks" / "batch_id=b2").exists()
+
+
 def test_worlds_must_be_new_or_exist(spark, tmp_path):
     root = str(tmp_path)
     publish_new_worlds(spark, root, "b1", frame(spark, FIRST), settings(spark, "w"), NOW)
@@ -182,5 +209,5 @@ def test_catalog_rows_are_published_with_the_world(spark, tmp_path):
     with pytest.raises(BatchRefused):
         publish_new_worlds(
             spark, root, "b3", frame(spark, FIRST), settings(spark, "w"), NOW,
-            worlds=spark.createDataFrame([("w", "naruto", None, "bg", "f")], WORLD),
+            worlds=spark.createDataFrame([("w", "lighthouse", None, "bg", "f")], WORLD),
         )
