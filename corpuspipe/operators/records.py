@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuspipe.functions import names
+from corpuspipe.operators.chunking import Settings, split_texts
 from corpuspipe.operators.validation import violations
 
 STAGED_KEY = ["world_id", "staging_entry_id"]
@@ -49,10 +50,13 @@ def source_records(prepared: DataFrame, numbers: DataFrame, committed_at: Column
     )
 
 
-def chunk_records(split_chunks: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Split chunks with the id and number of their source, as rows of ``chunks``."""
+def chunk_records(texts: DataFrame, numbered: DataFrame, settings: Settings) -> DataFrame:
+    """Texts (``parsed_text``) cut into rows of ``chunks``, with the id and number of their source.
+
+    Texts meet their numbers before they are cut, so chunks and their overlaps are never moved.
+    """
     owners = numbered.select(*STAGED_KEY, "source_id", "book_number")
-    return split_chunks.join(owners, STAGED_KEY).select(
+    return split_texts(texts.select(*STAGED_KEY, "parsed_text").join(owners, STAGED_KEY), settings).select(
         "world_id",
         chunk_id(F.col("source_id"), F.col("chunk_number")).alias("chunk_id"),
         "source_id",

@@ -443,10 +443,10 @@ def chunk_conflicts(spark, folder):
 
 @query(
     "next_book_number",
-    f"SELECT world_id, CAST(max(book_number) + 1 AS INTEGER) AS next_book_number FROM ({PUBLISHED}) GROUP BY 1",
+    f"SELECT world_id, CAST(max(book_number) + 1 AS INTEGER) AS next_book_number FROM ({roles.ALL_PUBLISHED_SQL}) GROUP BY 1",
 )
 def next_book_number(spark, folder):
-    return numbering.next_book_numbers(roles.published(spark, folder))
+    return numbering.next_book_numbers(roles.all_published(spark, folder))
 
 
 _NUMBERED = f"""
@@ -457,6 +457,14 @@ _NUMBERED = f"""
     ON s.world_id = p.world_id"""
 
 
+# All documents as the first batch of their worlds.
+_FIRST_BATCH = f"""
+    SELECT *, CAST(row_number() OVER (PARTITION BY world_id ORDER BY source_order) AS INTEGER) AS book_number,
+           sha256(world_id || '|' || source_hash) AS source_id,
+           'sources/' || sha256(world_id || '|' || source_hash) || regexp_replace(lower(regexp_extract(source_path, '(\\.[^./]+)?$', 0)), '^$', '') AS stored_path
+    FROM ({TYPED.format(roles.BY_LANG)})"""
+
+
 def _numbered(spark, folder) -> DataFrame:
     staged = roles.staged(spark, folder).select("world_id", "staging_entry_id", "source_order")
     return numbering.assign_book_numbers(staged, roles.published(spark, folder))
@@ -479,7 +487,7 @@ def number_conflicts(spark, folder):
 
 
 def _prepared(spark, folder) -> DataFrame:
-    staged = roles.staged(spark, folder).withColumn(
+    staged = roles.documents(spark, folder).withColumn(
         "source_file_type", names.source_type(F.col("source_path"))
     )
     return records.prepare_sources(
@@ -492,7 +500,7 @@ def _prepared(spark, folder) -> DataFrame:
 @query(
     "stored_paths",
     f"""SELECT world_id, staging_entry_id, source_id, regexp_extract(source_path, '[^/]*$') AS original_filename, stored_path
-        FROM ({_NUMBERED})""",
+        FROM ({_FIRST_BATCH})""",
 )
 def stored_paths(spark, folder):
     return _prepared(spark, folder).select(
@@ -519,29 +527,28 @@ _CHUNK_RECORDS = """
     FROM cut_chunks c JOIN ({}) o ON c.world_id = o.world_id AND c.staging_entry_id = o.staging_entry_id"""
 
 
-@query("chunk_records", f"WITH RECURSIVE {roles.SPLIT_SQL} " + _CHUNK_RECORDS.format(_NUMBERED))
+@query("chunk_records", f"WITH RECURSIVE {roles.SPLIT_SQL} " + _CHUNK_RECORDS.format(_FIRST_BATCH))
 def chunk_records(spark, folder):
-    numbered = _prepared(spark, folder).join(
-        _numbered(spark, folder).drop("source_order"), records.STAGED_KEY
-    )
-    return records.chunk_records(roles.split_chunks(spark, folder), numbered)
+    """Chunk rows of all documents as the first batch of their worlds."""
+    prepared = pinned(_prepared(spark, folder))
+    staged = prepared.select("world_id", "staging_entry_id", "source_order")
+    none = roles.all_published(spark, folder).where(F.lit(False))
+    numbers = numbering.assign_book_numbers(staged, none).drop("source_order")
+    texts = spread(roles.documents(spark, folder), "staging_entry_id")
+    return records.chunk_records(texts, prepared.join(numbers, records.STAGED_KEY), roles.SMALL)
 
 
 def _defective_chunks(spark, folder) -> DataFrame:
-    """Split chunks that lost those of src15 and name an unknown source in src16."""
-    chunks = roles.split_chunks(spark, folder)
-    return chunks.where(F.col("source") != "src15").withColumn(
-        "staging_entry_id",
-        F.when(F.col("source") == "src16", F.concat(F.lit("lost-"), "staging_entry_id")).otherwise(
-            F.col("staging_entry_id")
-        ),
-    )
+    """Split chunks; those of src15 and src16 name an unknown source."""
+    lost = F.when(F.col("source").isin("src15", "src16"), F.lit("lost-")).otherwise(F.lit(""))
+    return roles.split_chunks(spark, folder).withColumn("staging_entry_id", F.concat(lost, "staging_entry_id"))
 
 
 @query(
     "orphan_chunks",
     f"""WITH RECURSIVE {roles.SPLIT_SQL}
-        SELECT world_id, 'lost-' || staging_entry_id AS staging_entry_id, chunk_number FROM cut_chunks WHERE source = 'src16'""",
+        SELECT world_id, 'lost-' || staging_entry_id AS staging_entry_id, chunk_number FROM cut_chunks
+        WHERE source IN ('src15', 'src16')""",
 )
 def orphan_chunks(spark, folder):
     return records.orphan_chunks(_defective_chunks(spark, folder), _prepared(spark, folder))
@@ -549,7 +556,7 @@ def orphan_chunks(spark, folder):
 
 @query(
     "sources_without_chunks",
-    f"SELECT world_id, staging_entry_id FROM ({roles.STAGED_SQL}) WHERE source IN ('src15', 'src16')",
+    f"SELECT world_id, staging_entry_id FROM ({roles.BY_LANG}) WHERE source IN ('src15', 'src16')",
 )
 def sources_without_chunks(spark, folder):
     return records.sources_without_chunks(_prepared(spark, folder), _defective_chunks(spark, folder))
@@ -559,9 +566,9 @@ def sources_without_chunks(spark, folder):
     "commit_gate",
     f"""WITH RECURSIVE {roles.SPLIT_SQL},
         s AS (SELECT world_id, count(*) AS source_count, count(*) FILTER (source IN ('src15', 'src16')) AS chunkless_count
-              FROM ({roles.STAGED_SQL}) GROUP BY 1),
-        c AS (SELECT world_id, count(*) AS chunk_count, count(*) FILTER (source = 'src16') AS orphan_count
-              FROM cut_chunks WHERE source <> 'src15' GROUP BY 1)
+              FROM ({roles.BY_LANG}) GROUP BY 1),
+        c AS (SELECT world_id, count(*) AS chunk_count, count(*) FILTER (source IN ('src15', 'src16')) AS orphan_count
+              FROM cut_chunks GROUP BY 1)
         SELECT s.world_id, source_count, coalesce(chunk_count, 0) AS chunk_count, coalesce(orphan_count, 0) AS orphan_count,
                chunkless_count, coalesce(chunk_count, 0) > 0 AND coalesce(orphan_count, 0) = 0 AND chunkless_count = 0 AS may_commit
         FROM s LEFT JOIN c ON s.world_id = c.world_id""",
@@ -595,13 +602,12 @@ def split_batch(spark, folder):
     "split_summary",
     f"""WITH RECURSIVE {roles.SPLIT_SQL}
         SELECT s.world_id, s.staging_entry_id, s.source_order, count(c.chunk_number) AS chunk_count
-        FROM ({roles.STAGED_SQL}) s LEFT JOIN (SELECT * FROM cut_chunks WHERE source <> 'src15') c
+        FROM ({roles.BY_LANG}) s LEFT JOIN (SELECT * FROM cut_chunks WHERE source NOT IN ('src15', 'src16')) c
         ON s.world_id = c.world_id AND s.staging_entry_id = c.staging_entry_id GROUP BY 1, 2, 3""",
 )
 def split_summary(spark, folder):
-    """Chunk counts per source; src15 has none."""
-    chunks = roles.split_chunks(spark, folder).where(F.col("source") != "src15")
-    return records.split_summary(roles.staged(spark, folder), chunks)
+    """Chunk counts per source; those of src15 and src16 lost theirs."""
+    return records.split_summary(roles.documents(spark, folder), _defective_chunks(spark, folder))
 
 
 @query(
@@ -610,7 +616,7 @@ def split_summary(spark, folder):
         SELECT world_id, count(DISTINCT staging_entry_id) AS source_count, count(*) AS chunk_count FROM cut_chunks GROUP BY 1""",
 )
 def split_totals(spark, folder):
-    summary = records.split_summary(roles.staged(spark, folder), roles.split_chunks(spark, folder))
+    summary = records.split_summary(roles.documents(spark, folder), roles.split_chunks(spark, folder))
     return records.batch_totals(summary).select(
         "world_id", "source_count", F.col("chunk_count").cast("long").alias("chunk_count")
     )
@@ -622,10 +628,10 @@ def split_totals(spark, folder):
 @query(
     "list_sources",
     f"""SELECT world_id, source_id, book_number, row_number() OVER (ORDER BY world_id, book_number, source_id) AS position
-        FROM ({PUBLISHED})""",
+        FROM ({roles.ALL_PUBLISHED_SQL})""",
 )
 def list_sources(spark, folder):
-    rows = roles.published(spark, folder).select("world_id", "source_id", "book_number")
+    rows = roles.all_published(spark, folder).select("world_id", "source_id", "book_number")
     return with_position(rows, "world_id", "book_number", "source_id")
 
 
@@ -721,11 +727,27 @@ def publish_new_world(spark, folder):
         "source_file_type", names.source_type(F.col("source_path"))
     )
     none = roles.as_published(docs).where(F.lit(False))
-    blocked = sized(publish.batch_violations(parsed, settings, none, "skip").select("world_id").distinct())
+    blocked = sized(publish.blocked_worlds(publish.batch_violations(parsed, settings, none, "skip")))
     numbered = publish.plan_sources(docs, none, blocked, "skip")
     return publish.plan_chunks(spread(parsed, "staging_entry_id"), numbered, settings)
 
 
+@query(
+    "publish_violations",
+    f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY world_id, source_hash ORDER BY source_order) AS copy FROM ({roles.BY_SOURCE}))
+        SELECT world_id, 'source' AS entity, staging_entry_id AS entity_key, 'unsupported_type' AS rule,
+               'source type must be txt, epub or pdf' AS message FROM d WHERE source IN ('src7', 'src8')
+        UNION ALL SELECT world_id, 'source', staging_entry_id, 'duplicate_skipped',
+               'source content occurs already in this world' FROM d WHERE copy > 1""",
+)
+def publish_violations(spark, folder):
+    """What the gates say of every source of a first batch that skips duplicates: none is left out silently."""
+    parsed = roles.documents(spark, folder, "source").withColumn("source_file_type", names.source_type(F.col("source_path")))
+    none = roles.as_published(roles.hashed(spark, folder, "source")).where(F.lit(False))
+    found = publish.batch_violations(parsed, roles.settings(spark, folder), none, "skip")
+    return found.where(F.col("entity") == "source")
+
+
 _APPENDED = f"""
     SELECT f.*, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY f.world_id ORDER BY source_order) AS INTEGER) AS book_number,
            sha256(f.world_id || '|' || source_hash) AS source_id,

@@ -159,6 +159,11 @@ def batch_violations(
     return found.unionByName(_duplicate_violations(parsed, sources, rule))
 
 
+def blocked_worlds(found: DataFrame) -> DataFrame:
+    """Worlds that a violation stops."""
+    return found.where(~F.col("rule").isin(*NOT_BLOCKING)).select("world_id").distinct()
+
+
 def plan_sources(
     staged: DataFrame, sources: DataFrame, blocked: DataFrame, on_duplicate: str
 ) -> DataFrame:
@@ -226,7 +231,7 @@ def _write_rows(
 
     Ids and numbers are checked against the published ones before any text is cut.
     """
-    blocked = sized(found.where(~F.col("rule").isin(*NOT_BLOCKING)).select("world_id").distinct())
+    blocked = sized(blocked_worlds(found))
     plan = plan_sources(parsed.drop("parsed_text"), published, blocked, on_duplicate)
     numbered = _write(plan, root, "numbered", batch_id)
     if numbered.isEmpty():

@@ -1,8 +1,9 @@
 """How the test tables play the engine's tables, as frames and as the same SQL.
 
-Every role covers its whole table. ``documents`` is cut by its ``source`` column into two roles that
-together are the table: sources loaded earlier (published) and sources that arrive now (staged). Planted
-defects change values of rows by their attributes; no row is left out.
+Every query covers its whole table. A query with one role takes all of ``documents`` for it. Where both are
+needed, ``documents`` is cut by its ``source`` column into two roles that together are the table: sources loaded
+earlier (published) and sources that arrive now (staged). Planted defects change values of rows by their
+attributes; no row is left out.
 """
 
 from __future__ import annotations
@@ -79,9 +80,18 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return as_published(documents(spark, folder))
 
 
+def all_published(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as rows of ``sources``."""
+    return _source_rows(documents(spark, folder))
+
+
 def as_published(docs: DataFrame) -> DataFrame:
+    return _source_rows(docs.where(F.col("source") < FIRST_STAGED))
+
+
+def _source_rows(docs: DataFrame) -> DataFrame:
     texts = ["parsed_text"] if "parsed_text" in docs.columns else []
-    return docs.where(F.col("source") < FIRST_STAGED).select(
+    return docs.select(
         "world_id",
         F.concat(F.lit("doc-"), "doc_id").alias("source_id"),
         names.base_name(F.col("source_path")).alias("original_filename"),
@@ -99,11 +109,12 @@ TYPE_SQL = (
     "CASE WHEN regexp_extract(source_path, '[^/]+(\\.[^./]+)$', 1) = '' THEN 'missing' "
     "ELSE lower(substr(regexp_extract(source_path, '[^/]+(\\.[^./]+)$', 1), 2)) END"
 )
-PUBLISHED_SQL = f"""
+ALL_PUBLISHED_SQL = f"""
     SELECT world_id, 'doc-' || doc_id AS source_id, regexp_extract(source_path, '[^/]*$') AS original_filename,
            'sources/doc-' || doc_id AS stored_path, {TYPE_SQL} AS source_file_type, source_hash,
-           source_order + 1 AS book_number, parsed_text, doc_id
-    FROM ({BY_LANG}) WHERE source < '{FIRST_STAGED}'"""
+           source_order + 1 AS book_number, parsed_text, doc_id, source
+    FROM ({BY_LANG})"""
+PUBLISHED_SQL = f"SELECT * EXCLUDE (source) FROM ({ALL_PUBLISHED_SQL}) WHERE source < '{FIRST_STAGED}'"
 
 
 def settings(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,18 +139,18 @@ SETTINGS_SQL = """
 
 
 def split_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Split chunks of the staged documents, with small chunk settings."""
+    """Split chunks of all documents, with small chunk settings."""
     texts = spread(
-        staged(spark, folder).select("world_id", "staging_entry_id", "source_order", "source", "parsed_text"),
+        documents(spark, folder).select("world_id", "staging_entry_id", "source_order", "source", "parsed_text"),
         "staging_entry_id",
     )
     return split_texts(texts, SMALL)
 
 
 def published_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of ``chunks`` for the published documents."""
+    """Rows of ``chunks`` for all documents."""
     texts = spread(
-        published(spark, folder).select("world_id", "source_id", "book_number", "parsed_text"), "source_id"
+        all_published(spark, folder).select("world_id", "source_id", "book_number", "parsed_text"), "source_id"
     )
     return split_texts(texts, SMALL).withColumn(
         "chunk_id", F.concat_ws("-", "source_id", F.col("chunk_number").cast("string"))
@@ -189,8 +200,8 @@ def chunks_sql(texts: str, keys: str, chunk_size="600", lookback="200", overlap=
         FROM cut)"""
 
 
-SPLIT_SQL = chunks_sql(STAGED_SQL, "world_id, staging_entry_id, source_order, source")
-PUBLISHED_CHUNKS_SQL = chunks_sql(PUBLISHED_SQL, "world_id, source_id, book_number")
+SPLIT_SQL = chunks_sql(BY_LANG, "world_id, staging_entry_id, source_order, source")
+PUBLISHED_CHUNKS_SQL = chunks_sql(ALL_PUBLISHED_SQL, "world_id, source_id, book_number")
 
 
 def assets(spark: SparkSession, folder: str) -> DataFrame:
