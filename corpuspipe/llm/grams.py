@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 STRETCH = 1 << 20
 
 # Texts are handled in groups of about this many bytes (one longer text is a group of its own).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 _random = np.random.default_rng(20_240_229)
 _BYTE_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
