@@ -1,6 +1,6 @@
 """Blocks of documents that ask the owners of hash ranges what other blocks know.
 
-A block holds about 8 MB of text. It asks about each distinct hash once, in order, so a hash that every document has
+A block holds about 4 MB of text. It asks about each distinct hash once, in order, so a hash that every document has
 is one entry for each block, and entries take two to four bytes. An owner sorts the entries of its range and tells each
 block which of its hashes other blocks have as well.
 """
@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuspipe.llm import grams
 from corpuspipe.llm.common import shuffle_partitions, store
-from corpuspipe.llm.packing import pack_rows, pack_sorted, unpack_sorted
+from corpuspipe.llm.packing import pack_rows, pack_sorted, unpack, unpack_sorted
 
 # Bytes of text for each owner of hashes: what one task sorts at a time.
 OWNED_BYTES = 8 << 20
 
+SEVERAL = np.uint64(0)
+
 ASKED = "owner int, block string, hashes binary, flags binary"
 HITS = "block string, hits binary"
 
@@ -62,24 +64,53 @@ def pack_blocks(docs: DataFrame, label: str) -> DataFrame:
     return store(docs.mapInArrow(run, "block string, rows binary"), label)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    blocks_of = table.column("block").to_pylist()
-    lists = [unpack_sorted(value.as_py()) for value in table.column("hashes")]
-    flags = [np.unpackbits(np.frombuffer(value.as_py(), dtype=np.uint8), count=len(a)) for value, a in zip(table.column("flags"), lists)]
-    values = np.concatenate(lists)
-    owner_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(a) for a in lists])
-    order = np.argsort(values, kind="stable")
-    values, owner_of, indexed = values[order], owner_of[order], np.concatenate(flags)[order].astype(bool)
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    sizes = np.diff(np.append(first, len(values)))
-    hit = np.repeat((sizes > 1) & np.logical_or.reduceat(indexed, first), sizes)
-    values, owner_of = values[hit], owner_of[hit]
-    by_block = np.argsort(owner_of, kind="stable")
-    cuts = np.searchsorted(owner_of[by_block], np.arange(len(lists) + 1))
-    rows = [(blocks_of[k], pack_sorted(values[by_block[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    return pa.Table.from_batches([messages(rows, HITS)])
+def _bits(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=count).astype(np.uint64)
+
+
+def _answered(read_marks, wanted):
+    """The function an owner runs: which hashes of two blocks or more are ``wanted``, told to each of them."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        blocks_of = table.column("block").to_pylist()
+        lists = [unpack_sorted(value.as_py()) for value in table.column("hashes")]
+        marks = np.concatenate([read_marks(value.as_py(), len(own)) for value, own in zip(table.column("flags"), lists)])
+        values = np.concatenate(lists)
+        owner_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(own) for own in lists])
+        order = np.argsort(values, kind="stable")
+        values, owner_of, marks = values[order], owner_of[order], marks[order]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        sizes = np.diff(np.append(first, len(values)))
+        hit = np.repeat((sizes > 1) & wanted(values, marks, first), sizes)
+        values, owner_of = values[hit], owner_of[hit]
+        by_block = np.argsort(owner_of, kind="stable")
+        cuts = np.searchsorted(owner_of[by_block], np.arange(len(lists) + 1))
+        rows = [(blocks_of[k], pack_sorted(values[by_block[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        return pa.Table.from_batches([messages(rows, HITS)])
+
+    return answer
 
 
 def known_elsewhere(asked: DataFrame) -> DataFrame:
-    """``block, hits``: the hashes of each block that another block asked about too, flagged in one of them."""
-    return asked.groupBy("owner").applyInArrow(_answer, HITS)
+    """``block, hits``: the hashes of each block that another block asked about too, flagged in one of them.
+
+    ``flags`` holds a bit for each hash.
+    """
+
+    def flagged(values: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduceat(marks > 0, first)
+
+    return asked.groupBy("owner").applyInArrow(_answered(_bits, flagged), HITS)
+
+
+def known_with_another_mark(asked: DataFrame) -> DataFrame:
+    """``block, hits``: the hashes of each block that another block asked about too, with another mark.
+
+    ``flags`` holds a packed number for each hash, its mark; SEVERAL differs from any mark, itself included.
+    """
+
+    def differing(values: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+        low, high = np.minimum.reduceat(marks, first), np.maximum.reduceat(marks, first)
+        return (low != high) | (low == SEVERAL)
+
+    return asked.groupBy("owner").applyInArrow(_answered(lambda data, count: unpack(data), differing), HITS)

@@ -9,10 +9,11 @@ distance bounds the symmetric difference from below. The sketch has one part mor
 differences (pigeonhole), so partners agree in one part at least; the parts are the keys of the join. Sparse parts
 are never written out: a part's key is the xor of a hash of each bit that is set.
 
-Equal sets are one class from the start. Blocks of documents find out which keys others have (see ``blocks``), and
-only these become rows. Candidates of a key are checked by a short second sketch and then on the sets themselves:
+Equal sets are one class from the start. Blocks of documents find out which keys other sets have (see ``blocks``;
+a key goes with a mark of its set, so that copies do not count), and only these become rows. Candidates of a key are
+checked by a short second sketch and then on the sets themselves:
 
-1. each class with the smallest of its key; the links make components;
+1. each class with one of its key, drawn by hash; the links make components;
 2. where a key still joins several components, all pairs across components that pass the sketch.
 
 A pair inside a component adds nothing, so no link between components is missed, and a large group of near copies
@@ -33,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.llm import grams
-from corpuspipe.llm.blocks import ASKED, known_elsewhere, messages, owners_of, pack_blocks, shares
+from corpuspipe.llm.blocks import ASKED, SEVERAL, known_with_another_mark, messages, owners_of, pack_blocks, shares
 from corpuspipe.llm.common import keep_columns, store
 from corpuspipe.llm.components import components
-from corpuspipe.llm.packing import pack_sorted, unpack_rows, unpack_sorted
+from corpuspipe.llm.packing import pack, pack_sorted, unpack_rows, unpack_sorted
 
 # Width of the bands: each reaches to this multiple of its start, or as far as partners do.
 BAND_RATIO = 1.5
@@ -138,6 +139,18 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def _distinct_keys(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a block in order, the mark of the set that has each (or SEVERAL), and where it is SEVERAL."""
+    keys, texts = sets.keys(bands)
+    mark = (sets.fingerprints()[0][texts] >> np.uint64(32)) | np.uint64(1)
+    order = np.lexsort((mark, keys))
+    keys, mark = keys[order], mark[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+    last = np.append(first[1:], len(keys))[: len(first)] - 1
+    several = mark[first] != mark[last]
+    return keys[first], np.where(several, SEVERAL, mark[first]), several
+
+
 def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
     """Stored rows of ``SETS`` and ``row``: keys, sketch and set only of documents that share a key."""
     blocks = pack_blocks(read, "jaccard-blocks")
@@ -145,13 +158,9 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in zip(*batch.columns):
-                keys, _ = Sets(unpack_rows(rows.as_py()).column(1), n).keys(bands)
-                values = np.unique(keys)
+                values, marks, _ = _distinct_keys(Sets(unpack_rows(rows.as_py()).column(1), n), bands)
                 yield messages(
-                    [
-                        (owner, name.as_py(), pack_sorted(values[a:b]), np.packbits(np.ones(b - a, dtype=bool)).tobytes())
-                        for owner, a, b in shares(values, 64, owners)
-                    ],
+                    [(owner, name.as_py(), pack_sorted(values[a:b]), pack(marks[a:b])) for owner, a, b in shares(values, 64, owners)],
                     ASKED,
                 )
 
@@ -162,12 +171,8 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
                 sets = Sets(rows.column(1), n)
                 keys, texts = sets.keys(bands)
                 f1, f2 = sets.fingerprints()
-                # Keys of another block, or of two different sets of this one.
-                order = np.lexsort((f1[texts], keys))
-                k, f = keys[order], f1[texts][order]
-                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, dtype=np.int64)
-                last = np.append(first[1:], len(k))[: len(first)] - 1
-                known = np.unique(np.concatenate([k[first][f[first] != f[last]], *(unpack_sorted(data) for data in lists.as_py() or ())]))
+                values, _, several = _distinct_keys(sets, bands)
+                known = np.unique(np.concatenate([values[several], *(unpack_sorted(data) for data in lists.as_py() or ())]))
                 shared: dict[int, list[int]] = {}
                 if len(known):
                     at = np.searchsorted(known, keys)
@@ -187,7 +192,7 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
                     names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "shingles"],
                 )
 
-    hits = store(known_elsewhere(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
+    hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
     joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("rows", "hits")
     told = joined.mapInArrow(tell, SETS).withColumn("row", F.monotonically_increasing_id())
     return store(told, "jaccard-sets")
@@ -199,13 +204,21 @@ def _difference_bound(a, b, bands: Bands):
 
 
 def _near(bands: Bands):
-    """Whether two members ``a`` and ``b`` of a key can be linked, by their sketches and sizes."""
+    """Whether ``a`` and ``b`` can be linked, by their check sketches and sizes."""
     distance = reduce(
-        lambda x, y: x + y, (F.bit_count(F.col(f"a.sketch")[k].bitwiseXOR(F.col(f"b.sketch")[k])) for k in range(CHECK_WORDS))
+        lambda x, y: x + y, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(CHECK_WORDS))
     )
     return distance <= _difference_bound(F.col("a.n_shingles"), F.col("b.n_shingles"), bands)
 
 
+def near_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs ``x, y`` whose check sketches allow a link; a stored table."""
+    narrow = sets.select("row", "n_shingles", "sketch")
+    left = pairs.join(narrow.select(F.col("row").alias("x"), F.struct("n_shingles", "sketch").alias("a")), "x")
+    both = left.join(narrow.select(F.col("row").alias("y"), F.struct("n_shingles", "sketch").alias("b")), "y")
+    return store(both.where(_near(bands)).select("x", "y"), "jaccard-pairs")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs ``x, y`` whose sets link; a stored table."""
     num, den = bands.num, bands.den
@@ -243,25 +256,26 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         narrow.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("row"), F.min("doc_id").alias("class_id")),
         "jaccard-classes",
     )
-    sharing = told.where(F.col("keys").isNotNull()).select("row", "n_shingles", "keys", "sketch", "shingles")
-    nodes = store(sharing.join(classes.select("row"), "row", "left_semi"), "jaccard-nodes")
-    members = store(nodes.select(F.explode("keys").alias("key"), "row", "n_shingles", "sketch"), "jaccard-members")
+    sets = told.where(F.col("keys").isNotNull())
+    owned = sets.select("row", "keys").join(classes.select("row"), "row", "left_semi")
+    members = store(owned.select(F.explode("keys").alias("key"), "row"), "jaccard-members")
 
     # First round: a star in every key.
+    draw = F.xxhash64("key", "row")
     centres = store(
         members.groupBy("key")
-        .agg(F.min_by(F.struct("row", "n_shingles", "sketch"), "row").alias("centre"), F.max("row").alias("last"))
-        .where(F.col("centre.row") < F.col("last"))
-        .select("key", "centre.*"),
+        .agg(F.min(F.struct(draw.alias("draw"), "row")).alias("centre"), F.min("row").alias("low"), F.max("row").alias("high"))
+        .where("low < high")
+        .select("key", F.col("centre.row").alias("centre")),
         "jaccard-centres",
     )
     star = (
-        centres.alias("a")
-        .join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & _near(bands))
-        .select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
+        members.join(centres, "key")
+        .where("row <> centre")
+        .select(F.least("row", "centre").alias("x"), F.greatest("row", "centre").alias("y"))
         .distinct()
     )
-    part_of = components(verified(star, nodes, bands))
+    part_of = components(verified(near_pairs(star, sets, bands), sets, bands))
 
     # Second round: across the components that a key still joins.
     labelled = store(
@@ -275,7 +289,9 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .select("key"),
         "jaccard-mixed",
     )
-    open_members = store(labelled.join(mixed, "key", "left_semi"), "jaccard-open")
+    open_members = store(
+        labelled.join(mixed, "key", "left_semi").join(sets.select("row", "n_shingles", "sketch"), "row"), "jaccard-open"
+    )
     across = (
         open_members.alias("a")
         .join(
@@ -288,7 +304,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
         .distinct()
     )
-    more = verified(across, nodes, bands)
+    more = verified(across, sets, bands)
     label = {side: part_of.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")) for side in ("x", "y")}
     merged = components(
         more.join(label["x"], "x", "left")
