@@ -45,7 +45,7 @@ def sized(small: DataFrame) -> DataFrame:
     ordinary side, and the adaptive planner splits the hot keys of the other one.
     """
     stored = pinned(small)
-    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if stored.count() <= BROADCAST_ROWS:
         return F.broadcast(stored)
     return stored
 

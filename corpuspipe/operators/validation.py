@@ -198,11 +198,11 @@ def asset_violations(assets: DataFrame) -> DataFrame:
 
 
 def normalize_world_id(value: Column) -> Column:
-    """Canonical lower-case UUID, or null. Braces, ``urn:uuid:`` and missing dashes are accepted."""
-    digits = F.lower(value)
+    """Canonical lower-case UUID, or null. Braces, ``urn:uuid:`` (in lower case) and missing dashes are accepted."""
+    digits = value
     for part in ("urn:", "uuid:"):
         digits = F.replace(digits, F.lit(part), F.lit(""))
-    digits = F.replace(F.regexp_replace(digits, r"\A[{}]+|[{}]+\z", ""), F.lit("-"), F.lit(""))
+    digits = F.lower(F.replace(F.regexp_replace(digits, r"\A[{}]+|[{}]+\z", ""), F.lit("-"), F.lit("")))
     pieces = [F.substring(digits, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.when(digits.rlike(r"\A[0-9a-f]{32}\z"), F.concat_ws("-", *pieces))
 

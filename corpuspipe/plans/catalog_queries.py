@@ -224,12 +224,13 @@ def violations_assets(spark, folder):
 
 
 _RAW_ID_SQL = """CASE source WHEN 'src1' THEN '{' || upper(dashed) || '}' WHEN 'src2' THEN 'urn:uuid:' || dashed
-    WHEN 'src3' THEN hex WHEN 'src4' THEN 'World ' || doc_id WHEN 'src5' THEN substr(hex, 2) ELSE upper(dashed) END"""
+    WHEN 'src3' THEN hex WHEN 'src4' THEN 'World ' || doc_id WHEN 'src5' THEN substr(hex, 2)
+    WHEN 'src6' THEN 'URN:UUID:' || dashed ELSE upper(dashed) END"""
 
 
 @query(
     "normalize_world_ids",
-    f"""SELECT doc_id, {_RAW_ID_SQL} AS raw_id, CASE WHEN source NOT IN ('src4', 'src5') THEN dashed END AS world_id
+    f"""SELECT doc_id, {_RAW_ID_SQL} AS raw_id, CASE WHEN source NOT IN ('src4', 'src5', 'src6') THEN dashed END AS world_id
         FROM (SELECT doc_id, source, hex, substr(hex, 1, 8) || '-' || substr(hex, 9, 4) || '-' || substr(hex, 13, 4) || '-'
                      || substr(hex, 17, 4) || '-' || substr(hex, 21, 12) AS dashed
               FROM (SELECT doc_id, source, md5(text || doc_id) AS hex FROM documents))""",
@@ -244,6 +245,7 @@ def normalize_world_ids(spark, folder):
         .when(source == "src3", digits)
         .when(source == "src4", F.concat(F.lit("World "), "doc_id"))
         .when(source == "src5", F.substring(digits, 2, 40))
+        .when(source == "src6", F.concat(F.lit("URN:UUID:"), dashed))
         .otherwise(F.upper(dashed))
     )
     docs = read_table(spark, folder, "documents").select(

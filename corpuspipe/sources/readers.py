@@ -109,15 +109,19 @@ def oversized_pages(pages: DataFrame, keys: list[str], page_text: str) -> DataFr
 
 
 def page_violations(pages: DataFrame, keys: list[str], page_text: str) -> DataFrame:
-    """Sources without a single usable page."""
+    """Sources without a single usable page, and those too large for one value, which ``assemble_pages`` leaves out."""
     counted = pages.groupBy(*keys).agg(
-        F.count_if(text.is_usable(F.col(page_text))).alias("_usable")
+        F.count_if(text.is_usable(F.col(page_text))).alias("_usable"),
+        F.sum(F.octet_length(page_text).cast("long") + 2).alias("_bytes"),
     )
     return violations(
         counted,
         "source",
         F.concat_ws("|", *[F.col(key).cast("string") for key in keys]),
-        [("text_unusable", "no page holds a visible character", F.col("_usable") == 0)],
+        [
+            ("text_unusable", "no page holds a visible character", F.col("_usable") == 0),
+            ("text_too_large", "the pages together do not fit into one value", F.col("_bytes") > MAX_TEXT_BYTES),
+        ],
         F.lit(None),
     )
 

@@ -89,8 +89,8 @@ def test_relative_age(spark, moment, age):
 
 def test_world_ids(spark):
     dashed = "12345678-9abc-def0-1234-56789abcdef0"
-    values = [dashed, dashed.upper(), "{" + dashed + "}", "urn:uuid:" + dashed, dashed.replace("-", ""), "Lighthouse", ""]
-    assert apply(spark, values, normalize_world_id) == [dashed] * 5 + [None, None]
+    values = [dashed, dashed.upper(), "{" + dashed + "}", "urn:uuid:" + dashed, dashed.replace("-", ""), "Lighthouse", "", "URN:UUID:" + dashed]
+    assert apply(spark, values, normalize_world_id) == [dashed] * 5 + [None] * 3
 
 
 def test_unsafe_paths(spark):

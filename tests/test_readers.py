@@ -243,3 +243,5 @@ def test_pages(spark, monkeypatch):
     kept = readers.assemble_pages(pages, ["source_id"], "page", "t").collect()
     assert [r.source_id for r in kept] == ["a"]
     assert [r.source_id for r in readers.oversized_pages(pages, ["source_id"], "t").collect()] == ["c"]
+    told = {(r.entity_key, r.rule) for r in readers.page_violations(pages, ["source_id"], "t").collect()}
+    assert told == {("b", "text_unusable"), ("c", "text_too_large")}
