@@ -13,7 +13,7 @@ Equal sets are one class from the start. Blocks of documents find out which keys
 a key goes with a mark of its set, so that copies do not count), and only these become rows. Candidates of a key are
 checked by a short second sketch and then on the sets themselves:
 
-1. each class with one of its key, drawn by hash, twice; the links make components;
+1. each class with one of its key, drawn by hash; the links make components;
 2. where a key still joins several components, all pairs across components that pass the sketch.
 
 A pair inside a component adds nothing, so no link between components is missed, and a large group of near copies
@@ -241,41 +241,6 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     )
 
 
-def _open(members: DataFrame, part_of: DataFrame | None) -> DataFrame:
-    """Members with their component, of the keys that join several components; a stored table."""
-    if part_of is None:
-        labelled = members.withColumn("component", F.col("row"))
-    else:
-        known = members.join(part_of.withColumnRenamed("node", "row"), "row", "left")
-        labelled = store(known.withColumn("component", F.coalesce("component", "row")), "jaccard-labelled")
-    mixed = store(
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("key"),
-        "jaccard-mixed",
-    )
-    return store(labelled.join(mixed, "key", "left_semi"), "jaccard-open")
-
-
-def _merged(part_of: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (``node, component``) after new links between nodes; a stored table."""
-    if part_of is None:
-        return components(links)
-    if not links.limit(1).count():
-        return part_of
-    ends = links
-    for side in ("x", "y"):
-        named = part_of.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}"))
-        ends = ends.join(named, side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
-    over = components(ends.select(F.col("part_x").alias("x"), F.col("part_y").alias("y")))
-    upper = over.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-    moved = part_of.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
-    # Nodes that had no link before.
-    fresh = over.join(part_of.select("node"), "node", "left_anti").select("node", "component")
-    return store(moved.unionByName(fresh), "jaccard-parts-of")
-
-
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of every row: ``doc_id, n_shingles, class_id, component_id``.
 
@@ -295,30 +260,42 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     owned = sets.select("row", "keys").join(classes.select("row"), "row", "left_semi")
     members = store(owned.select(F.explode("keys").alias("key"), "row"), "jaccard-members")
 
-    # Stars: first the same class is drawn in all keys it stands in, then another one in each key.
-    part_of = None
-    for draw in (F.xxhash64("row"), F.xxhash64("key", "row")):
-        open_members = _open(members, part_of)
-        centres = store(
-            open_members.groupBy("key")
-            .agg(F.min(F.struct(draw.alias("draw"), "row", "component")).alias("centre"))
-            .select("key", F.col("centre.row").alias("centre"), F.col("centre.component").alias("centre_component")),
-            "jaccard-centres",
-        )
-        star = (
-            open_members.join(centres, "key")
-            .where("component <> centre_component")
-            .select(F.least("row", "centre").alias("x"), F.greatest("row", "centre").alias("y"))
-            .distinct()
-        )
-        part_of = _merged(part_of, verified(near_pairs(star, sets, bands), sets, bands))
+    # First round: a star in every key.
+    draw = F.xxhash64("key", "row")
+    centres = store(
+        members.groupBy("key")
+        .agg(F.min(F.struct(draw.alias("draw"), "row")).alias("centre"), F.min("row").alias("low"), F.max("row").alias("high"))
+        .where("low < high")
+        .select("key", F.col("centre.row").alias("centre")),
+        "jaccard-centres",
+    )
+    star = (
+        members.join(centres, "key")
+        .where("row <> centre")
+        .select(F.least("row", "centre").alias("x"), F.greatest("row", "centre").alias("y"))
+        .distinct()
+    )
+    part_of = components(verified(near_pairs(star, sets, bands), sets, bands))
 
-    # Across the components that a key still joins.
-    sketched = store(_open(members, part_of).join(sets.select("row", "n_shingles", "sketch"), "row"), "jaccard-open")
+    # Second round: across the components that a key still joins.
+    labelled = store(
+        members.join(part_of.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")),
+        "jaccard-labelled",
+    )
+    mixed = store(
+        labelled.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("key"),
+        "jaccard-mixed",
+    )
+    open_members = store(
+        labelled.join(mixed, "key", "left_semi").join(sets.select("row", "n_shingles", "sketch"), "row"), "jaccard-open"
+    )
     across = (
-        sketched.alias("a")
+        open_members.alias("a")
         .join(
-            sketched.alias("b"),
+            open_members.alias("b"),
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.row") < F.col("b.row"))
             & (F.col("a.component") != F.col("b.component"))
@@ -327,11 +304,20 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
         .distinct()
     )
-    part_of = _merged(part_of, verified(across, sets, bands))
-    parted = classes.join(part_of.withColumnRenamed("node", "row"), "row", "left")
-    node = store(
-        parted.select("f1", "f2", "n_shingles", "class_id", F.coalesce("component", "row").alias("part")), "jaccard-parts"
+    more = verified(across, sets, bands)
+    label = {side: part_of.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")) for side in ("x", "y")}
+    merged = components(
+        more.join(label["x"], "x", "left")
+        .join(label["y"], "y", "left")
+        .select(F.coalesce("part_x", "x").alias("x"), F.coalesce("part_y", "y").alias("y"))
+    )
+    node = classes.join(part_of.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
+    node = (
+        node.join(merged.withColumnRenamed("node", "part"), "part", "left")
+        .withColumn("part", F.coalesce("component", "part"))
+        .select("f1", "f2", "n_shingles", "class_id", "part")
     )
+    node = store(node, "jaccard-parts")
     smallest = node.groupBy("part").agg(F.min("class_id").alias("component_id"))
     named = store(node.join(smallest, "part").drop("part"), "jaccard-named")
     return narrow.join(named, ["f1", "f2", "n_shingles"], "left").select(
