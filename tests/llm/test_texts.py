@@ -285,6 +285,33 @@ def test_leaks_are_found_and_clean_texts_are_not(spark):
     assert decontaminate.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_every_copy_at_the_level_is_found(spark):
+    """Edited and cut copies, also beside a verbatim one and where all n-grams are common, against the whole table."""
+    rnd = random.Random(12)
+    line = lambda n, kinds: [f"u{rnd.randrange(kinds)}" for _ in range(n)]
+    items = [line(40, 10**6) for _ in range(12)] + [line(50, 10**6), line(4, 10**6), line(7, 10**6), line(30, 3)]
+    texts = list(items)
+    for k, edits in enumerate((6, 7, 8, 9, 10, 6, 7, 8, 9, 10)):
+        copy = list(items[k])
+        for place in range(edits):
+            copy[place * 40 // edits + (k > 4)] = "changed"
+        texts.append(line(30, 10**6) + copy + line(30, 10**6))
+    texts += [items[12][18:], items[12][:-18], items[12][18:] + ["end"], ["start", *items[12][:32]]]
+    texts.append([word for a, b in zip(items[10][::2], items[10][1::2]) for word in (a, b, "and")])  # no three words in a row
+    texts += [[*items[13][:2], "or", items[13][3]], items[14][:5], line(400, 3), items[12][24:]]
+    found = decontaminate.find_leaks(
+        documents(spark, [(k, " ".join(text)) for k, text in enumerate(texts)]),
+        spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    level = {
+        (i, k): share
+        for i, text in enumerate(texts)
+        for k, item in enumerate(items)
+        if (share := plain_alignment(item, text) / (2 * len(item))) >= decontaminate.LEAST_SCORE
+    }
+    assert {(r.doc_id, r.item_id): r.score for r in found} == level and len(level) >= len(texts) - 1
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
