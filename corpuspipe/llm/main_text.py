@@ -8,23 +8,25 @@ A node's importance mixes both, and branches below ``least`` are cut out of ever
 
 What varies from page to page but is no article either (menus, adverts, forms, ...) is told by what the markup
 says it is, which is the prior of a node: elements for navigation, forms and code, and class, id or role names
-for notices, adverts or comments have importance 0, and an article (or main part) has importance 1 but for such
-branches inside it. A page that has an article keeps nothing else.
+for notices, adverts or comments have importance 0. A page that has an article (or main part) keeps nothing else.
+Inside it markup raises the importance of a branch by ``ARTICLE_PRIOR`` and the tree decides as elsewhere, so a
+notice that a host repeats in its articles goes whatever its class is called. Branches are blocks there: inline
+elements are words of a sentence.
 
-Counts are summed per (host, node, content) before they meet, so a host may hold any share of the pages. Articles
-are decided by their prior, so copies of a page on its host do not make its article look like a menu.
+Each distinct page of a host counts once, and inside articles each distinct article, so copies do not make an
+article look like a menu. Counts are summed per (host, node, content) before they meet, so a host may hold any
+share of the pages.
 
 Defined results: null html is empty, its text too. A null url has the empty host. A page on which all would be
-cut keeps its text outside the branches that have importance 0 by their prior. Repeated rows give repeated
-rows; other columns are ignored.
+cut keeps its text outside the branches that have importance 0 by their prior, and so does an article of which
+less than ``LEAST_LEFT`` would be left. Repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +41,9 @@ LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 4
 # Share of a node's own content against its presentation.
 CONTENT_SHARE = 0.9
+# What markup adds inside an article, and the share of an article's text that the tree leaves at least.
+ARTICLE_PRIOR = 0.2
+LEAST_LEFT = 0.25
 
 # Fixed values of HTML: elements without an end tag, elements of raw text, and elements that break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -202,27 +207,38 @@ def articles_of(root: Element) -> list[Element]:
     return found
 
 
-def undecided(root: Element) -> Iterator[Element]:
-    """Elements outside articles and branches of prior 0."""
-    stack = [root]
+def undecided(root: Element) -> Iterator[tuple[Element, int | None]]:
+    """Elements that are decided by the tree, and the hash of the article they lie in; inside articles only blocks."""
+    stack: list[tuple[Element, int | None]] = [(root, None)]
     while stack:
-        for child in stack.pop().children:
-            if not isinstance(child, str) and child.prior is None:
-                yield child
-                stack.append(child)
+        element, article = stack.pop()
+        for child in element.children:
+            if isinstance(child, str) or child.prior == 0 or child.name in VOID:
+                continue
+            if child.prior == 1:
+                stack.append((child, _hash(text_of(child)) if article is None else article))
+                continue
+            if article is None or child.name in BLOCK:
+                yield child, article
+            stack.append((child, article))
 
 
 def main_text(text: str, removed=frozenset()) -> str:
     root = parsed(text)
     articles = articles_of(root)
     if articles:
-        return " ".join(filter(None, (text_of(article) for article in articles)))
+        return " ".join(filter(None, (_article_text(article, removed) for article in articles)))
     return text_of(root, removed) or text_of(root)
 
 
+def _article_text(article: Element, removed) -> str:
+    whole = text_of(article)
+    left = text_of(article, removed) if removed else whole
+    return left if len(left) >= LEAST_LEFT * len(whole) else whole
+
+
 def _hash(text: str) -> int:
-    data = text.encode(errors="replace")
-    return zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "little")
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -231,38 +247,47 @@ def style_tree(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in groups(batch, 1):
-                seen: Counter = Counter()
+                seen: set = set()
                 for host, value in zip(group.column(0).to_pylist(), group.column(1)):
-                    root = parsed(value.as_py() or "")
-                    for node in undecided(root):
+                    text = value.as_py() or ""
+                    page = _hash(text)
+                    places: dict = {}
+                    for node, article in undecided(parsed(text)):
                         shape = " ".join(c.name for c in node.children if not isinstance(c, str))
-                        seen[host, node.path, _hash(text_of(node)), _hash(shape)] += 1
-                keys = list(seen)
-                columns = [pa.array([key[k] for key in keys], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.uint64(), pa.uint64()))]
-                columns = [*columns[:2], *(c.view(pa.int64()) for c in columns[2:]), pa.array([seen[k] for k in keys], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "content", "shape", "n"])
-
-    counts = pages.select("host", "html").mapInArrow(run, "host string, node string, content long, shape long, n long")
-    counts = store(counts.groupBy("host", "node", "content", "shape").agg(F.sum("n").alias("n")), "style-counts")
+                        place = places.setdefault((node.path, article), ([], []))
+                        place[0].append(text_of(node))
+                        place[1].append(shape)
+                    for (path, article), (contents, shapes) in places.items():
+                        unit = page if article is None else article
+                        seen.add((host, path, _hash("\n".join(contents)), _hash("\n".join(shapes)), unit, article is not None))
+                columns = list(zip(*seen)) if seen else [()] * 6
+                kinds = [pa.string(), pa.string(), pa.uint64(), pa.uint64(), pa.uint64(), pa.bool_()]
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+                arrays[2:5] = [array.view(pa.int64()) for array in arrays[2:5]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["host", "node", "content", "shape", "unit", "in_article"])
+
+    found = pages.select("host", "html").mapInArrow(
+        run, "host string, node string, content long, shape long, unit long, in_article boolean"
+    )
+    counts = store(
+        found.distinct().groupBy("host", "node", "in_article", "content", "shape").agg(F.count("*").alias("n")), "style-counts"
+    )
 
     def evenness(feature: str) -> DataFrame:
-        """Entropy of a feature over the nodes' occurrences, between 0 (always the same) and 1 (never)."""
-        each = counts.groupBy("host", "node", feature).agg(F.sum("n").alias("n"))
+        """Entropy of a feature over the pages or articles with the node, between 0 (always the same) and 1 (never)."""
+        each = counts.groupBy("host", "node", "in_article", feature).agg(F.sum("n").alias("n"))
         total = F.sum("n")
         entropy = F.log(total) - F.sum(F.col("n") * F.log("n")) / total
-        return each.groupBy("host", "node").agg(
+        return each.groupBy("host", "node", "in_article").agg(
             total.alias("pages"), F.when(total > 1, entropy / F.log(total)).otherwise(F.lit(1.0)).alias(f"{feature}_evenness")
         )
 
+    own = F.lit(CONTENT_SHARE) * F.col("content_evenness") + F.lit(1 - CONTENT_SHARE) * F.col("shape_evenness")
+    prior = F.when(F.col("in_article"), ARTICLE_PRIOR).otherwise(0.0)
     return (
         evenness("content")
-        .join(evenness("shape").drop("pages"), ["host", "node"])
-        .select(
-            "host",
-            "node",
-            "pages",
-            (F.lit(CONTENT_SHARE) * F.col("content_evenness") + F.lit(1 - CONTENT_SHARE) * F.col("shape_evenness")).alias("importance"),
-        )
+        .join(evenness("shape").drop("pages"), ["host", "node", "in_article"])
+        .select("host", "node", "pages", (prior + (1 - prior) * own).alias("importance"))
     )
 
 

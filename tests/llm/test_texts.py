@@ -236,6 +236,26 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert main_text.extract(pages(spark, [])).count() == 0
 
 
+def test_style_tree_decides_inside_articles_and_counts_distinct_pages_once(spark):
+    rnd = random.Random(3)
+    sentence = lambda: " ".join(f"w{rnd.randrange(1000)}" for _ in range(12))
+    bodies = [sentence() for _ in range(6)]
+    article = lambda body: f"<article><p>{body} <b>Note</b></p><div class=zz>Call our hotline now</div></article>"
+    rows = [(k, "http://a.net/", f"<div>{k}</div>{article(body)}") for k, body in enumerate(bodies)]
+    # Mostly copies: of whole pages, and of one article on pages that differ around it.
+    rows += [(20 + k, "http://b.net/", f"<div class=x>{bodies[0]}</div>") for k in range(40)]
+    rows += [(70 + k, "http://b.net/", f"<div class=x>{body}</div>") for k, body in enumerate(bodies)]
+    rows += [(80 + k, "http://c.net/", f"<div>{k}</div>{article(bodies[0])}") for k in range(9)]
+    rows += [(90 + k, "http://d.net/", f"<article><h1>{k}</h1><p>{bodies[1]}</p></article>") for k in range(9)]
+    found = {r.page_id: r.text for r in main_text.extract(pages(spark, rows)).collect()}
+    assert [found[k] for k in range(6)] == [f"{body} Note" for body in bodies]
+    assert all(found[20 + k] == bodies[0] for k in range(40)) and [found[70 + k] for k in range(6)] == bodies
+    assert all(found[80 + k] == f"{bodies[0]} Note Call our hotline now" for k in range(9))
+    assert all(found[90 + k] == f"{k} {bodies[1]}" for k in range(9))
+    tree = {(r.host, r.node): (r.pages, r.importance) for r in main_text.style_tree(pages(spark, rows).withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    assert tree["b.net", "/div.x"] == (6, pytest.approx(0.9)) and tree["a.net", "/article/div.zz"] == (6, pytest.approx(main_text.ARTICLE_PRIOR))
+
+
 def plain_alignment(item, text):
     table, best = [[0] * (len(text) + 1) for _ in range(len(item) + 1)], 0
     for i, a in enumerate(item, 1):
