@@ -289,7 +289,7 @@ def html_text_blocks(spark, folder):
 )
 def assemble_pages(spark, folder):
     pages = read_table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    return readers.assemble_pages(pages, ["conv_id"], "turn", "text")
+    return readers.assemble_parts(pages, ["conv_id"], "turn", "text").select("conv_id", "parsed_text")
 
 
 _UPLOAD_RULES = [

@@ -11,17 +11,21 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
 from corpuspipe.functions import text
 from corpuspipe.functions.text import BLOCK_JOINER, DOCUMENT_JOINER
+from corpuspipe.operators.scale import in_ranges, pinned
 from corpuspipe.operators.validation import violations
 from corpuspipe.sources.html import read_blocks
 
 # A text is one value, and Spark's values end at 2 GiB.
 MAX_TEXT_BYTES = 1 << 30
 
+# About the size of the parts of a source that is too large for one value.
+PART_BYTES = 1 << 26
+
 # Byte order marks in the order they are tried, with the encoding each one selects.
 BYTE_ORDER_MARKS = (
     ("FFFE0000", "utf-32"),
@@ -86,16 +90,48 @@ def assemble_pages(pages: DataFrame, keys: list[str], order: str, page_text: str
     """One text per source: pages stripped, blank ones dropped, kept in order, joined by a blank line.
 
     A source too large for one value is left out here and named by ``oversized_pages``; there are at
-    most total bytes / MAX_TEXT_BYTES of them. So every collected list is bounded.
+    most total bytes / MAX_TEXT_BYTES of them. So every collected list is bounded. ``assemble_parts`` has them too.
     """
-    fitting = pages.join(F.broadcast(oversized_pages(pages, keys, page_text)), keys, "left_anti")
+    return _fitting(pages, oversized_pages(pages, keys, page_text), keys, order, page_text)
+
+
+def _fitting(pages: DataFrame, oversized: DataFrame, keys: list[str], order: str, page_text: str) -> DataFrame:
+    fitting = pages.join(F.broadcast(oversized), keys, "left_anti")
     usable = fitting.where(text.is_usable(F.col(page_text)))
-    page = F.struct(F.col(order).alias("_order"), text.strip_blanks(F.col(page_text)).alias("_text"))
-    return usable.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(page)), lambda one: one["_text"]), DOCUMENT_JOINER
-        ).alias("parsed_text")
+    return usable.groupBy(*keys).agg(_joined(F.col(order), text.strip_blanks(F.col(page_text))))
+
+
+def _joined(order: Column, page: Column) -> Column:
+    pages = F.collect_list(F.struct(order.alias("_order"), page.alias("_text")))
+    return F.array_join(F.transform(F.array_sort(pages), lambda one: one["_text"]), DOCUMENT_JOINER).alias("parsed_text")
+
+
+def assemble_parts(pages: DataFrame, keys: list[str], order: str, page_text: str) -> DataFrame:
+    """All sources as ``keys``, ``part`` and ``parsed_text``: those of ``assemble_pages`` as part 0, and each source
+    too large for one value as several parts of consecutive pages.
+
+    In the order of ``part`` and joined by a blank line the parts are the whole text. Their numbers grow but may leave
+    some out. Sizes are summed inside sorted ranges, so one source may hold any share of the pages; a page larger than
+    a part is one of its own.
+    """
+    oversized = pinned(oversized_pages(pages, keys, page_text))
+    whole = _fitting(pages, oversized, keys, order, page_text).select(*keys, F.lit(0).cast("long").alias("part"), "parsed_text")
+    if oversized.isEmpty():
+        return whole
+    large = (
+        pages.where(text.is_usable(F.col(page_text)))
+        .join(F.broadcast(oversized), keys, "left_semi")
+        .select(*keys, F.col(order).alias("_order"), text.strip_blanks(F.col(page_text)).alias("_text"))
+        .withColumn("_bytes", F.octet_length("_text").cast("long") + len(DOCUMENT_JOINER))
     )
+    limit = min(PART_BYTES, MAX_TEXT_BYTES)
+    before = Window.partitionBy("_range", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    # A page beyond the limit fills up its step, so what follows it is in a later one.
+    step = F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / limit)
+    alone = (F.col("_bytes") > limit).cast("long")
+    part = F.lit(1 << 32) * F.col("_range") + 2 * step + alone + 1
+    parts = in_ranges(large, *keys, "_order", "_text").withColumn("part", part.cast("long"))
+    return whole.unionByName(parts.groupBy(*keys, "part").agg(_joined(F.col("_order"), F.col("_text"))))
 
 
 def oversized_pages(pages: DataFrame, keys: list[str], page_text: str) -> DataFrame:

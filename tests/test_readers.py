@@ -245,3 +245,22 @@ def test_pages(spark, monkeypatch):
     assert [r.source_id for r in readers.oversized_pages(pages, ["source_id"], "t").collect()] == ["c"]
     told = {(r.entity_key, r.rule) for r in readers.page_violations(pages, ["source_id"], "t").collect()}
     assert told == {("b", "text_unusable"), ("c", "text_too_large")}
+
+
+def test_oversized_sources_are_kept_as_parts(spark, monkeypatch, tmp_path):
+    from corpuspipe.plans import text_queries
+
+    large = [("big", k % 90, f" page {k} " + "é" * (k % 7)) for k in range(100)] + [("big", 95, "y" * 300), ("big", 96, "end")]
+    rows = [*large, ("a", 2, "Second."), ("a", 1, "First."), ("big", 50, " \n"), ("b", 1, " ")]
+    pages = spark.createDataFrame(rows, "conv_id string, turn int, text string")
+    expected = {"a": "First.\n\nSecond.", "big": "\n\n".join(t.strip() for _, _, t in sorted((s, k, t.strip()) for s, k, t in large))}
+    for limit in (1 << 30, 120):
+        monkeypatch.setattr(readers, "MAX_TEXT_BYTES", limit)
+        found = sorted(readers.assemble_parts(pages, ["conv_id"], "turn", "text").collect())
+        assert len({(r.conv_id, r.part) for r in found}) == len(found)
+        texts = {key: [r.parsed_text for r in found if r.conv_id == key] for key in {r.conv_id for r in found}}
+        assert {key: "\n\n".join(parts) for key, parts in texts.items()} == expected
+        assert (len(texts["big"]) > 5) == (limit == 120) and len(texts["a"]) == 1
+    pages.write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = text_queries.assemble_pages(spark, str(tmp_path)).collect()
+    assert sorted("\n\n".join(r.parsed_text for r in rows if r.conv_id == "big").split()) == sorted(expected["big"].split())
