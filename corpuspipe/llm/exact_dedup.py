@@ -4,8 +4,9 @@ Every text has a 64-bit key. The index holds one entry per distinct (key, SHA-25
 into their entry before anything is shuffled, so a group of any size is one entry. The directory starts
 with one bucket and doubles, one hash bit at a time, while a bucket holds more than ``capacity`` entries;
 only overfull buckets are split, the others keep their local depth and are pointed to by several slots.
-Entries are written bucket by bucket; the task that owns a bucket chains entries with equal keys and
-groups their texts by their bytes. Hashes only propose: equality is decided on the bytes.
+The directory places the entries file, bucket by bucket, and nothing else: entries with more than one row are joined with
+their texts by (key, SHA-256), and texts are grouped by Spark's hash of (bucket, key, SHA-256, bytes). Hashes only
+propose: equality is decided on the bytes.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; of repeated rows with the
 largest ``doc_id`` exactly one stays; null ``doc_id`` sorts lowest. An empty table gives an empty result, and
