@@ -127,6 +127,12 @@ _DETAIL_WORLDS = f"""
            'builtin-font-inter' AS font_asset_id FROM documents"""
 
 
+def _elsewhere(world: str):
+    """The world's rows belong to a world that no table lists."""
+    own = F.col("world_id")
+    return F.when(own == world, F.concat(F.lit("no-"), own)).otherwise(own).alias("world_id")
+
+
 @query(
     "world_detail",
     f"""SELECT w.*, s.chunk_size, s.max_lookback_size, s.overlap_size, s.splitter_version, s.is_locked, d.source_id,
@@ -137,7 +143,7 @@ _DETAIL_WORLDS = f"""
                    FROM ({roles.BY_SOURCE}) WHERE world_id <> 'src3') d ON w.world_id = d.world_id""",
 )
 def world_detail(spark, folder):
-    """Detail of one world per ``source``: src2 has no settings and src3 no sources."""
+    """Detail of one world per ``source``: src2 has no settings and src3 no sources, as theirs name worlds that are not there."""
     docs = roles.documents(spark, folder, "source")
     worlds = docs.select("world_id").distinct().select(
         "world_id",
@@ -145,14 +151,14 @@ def world_detail(spark, folder):
         F.lit(catalog.DEFAULT_BACKGROUND_ID).alias("background_asset_id"),
         F.lit(catalog.DEFAULT_FONT_ID).alias("font_asset_id"),
     )
-    sources = docs.where(F.col("world_id") != "src3").select(
-        "world_id",
+    sources = docs.select(
+        _elsewhere("src3"),
         F.concat(F.lit("doc-"), "doc_id").alias("source_id"),
         names.base_name(F.col("source_path")).alias("original_filename"),
         names.source_type(F.col("source_path")).alias("source_file_type"),
         (F.col("source_order") + 1).alias("book_number"),
     )
-    settings = roles.settings(spark, folder).where(F.col("world_id") != "src2")
+    settings = roles.settings(spark, folder).withColumn("world_id", _elsewhere("src2"))
     return catalog.world_detail(worlds, settings, sources)
 
 

@@ -163,3 +163,15 @@ def test_world_detail(spark):
     assert sorted((r.world_id, r.book_number or 0, r.is_readable) for r in detail.collect()) == [("1", 1, True), ("1", 2, True), ("2", 0, False)]
     url = catalog.world_cards(worlds(spark, ("1", "One", "image asset/one", FONT, T(2026, 1, 1)))).first()
     assert url.background_url == "/assets/image%20asset%2Fone/file" and url.last_used_at == "2026-01-01 00:00:00"
+
+
+def test_world_detail_reads_every_row(spark, monkeypatch):
+    from corpuspipe.plans import catalog_queries, roles
+
+    folder, given = "/root/testdata/sf0.001", []
+    own = catalog.world_detail
+    monkeypatch.setattr(catalog, "world_detail", lambda *tables: given.extend(tables) or own(*tables))
+    detail = catalog_queries.world_detail(spark, folder)
+    assert given[2].count() == roles.documents(spark, folder, "source").count()
+    assert given[1].count() == roles.settings(spark, folder).count()
+    assert not detail.where("world_id like 'no-%'").count() and detail.where("world_id = 'src3'").count() == 1
