@@ -11,12 +11,25 @@ from corpuspipe.plans.publish import publish_append, publish_new_worlds
 from corpuspipe.sources import readers, staging
 
 
+# Types with a reader in this module; registered parsers are asked for all others.
+BUILT_IN = ("txt", "epub")
+
+
 def parse_content(rows: DataFrame) -> DataFrame:
     """Adds ``parsed_text`` to rows with ``source_file_type`` and ``content``; null where a file is unreadable.
 
-    One pass over the files for all types: a reader gets null for files of another type. PDF files have
-    no reader here; their page texts come through ``readers.assemble_pages`` or a registered parser.
+    Text and EPUB files are read in one pass: a reader gets null for files of another type. Other types
+    have no reader here; those with a registered parser are read by it, each in a pass of its own.
     """
+    kind = F.col("source_file_type")
+    others = {name: parser for name, parser in staging.registered_parsers().items() if name not in BUILT_IN}
+    own = _parse_built_in(rows.where(kind.isNull() | ~kind.isin(*others)) if others else rows)
+    for name, parser in others.items():
+        own = own.unionByName(parser(rows.where(kind == name)).select(*own.columns))
+    return own
+
+
+def _parse_built_in(rows: DataFrame) -> DataFrame:
     kind = F.col("source_file_type")
     plain = readers.decode_text(
         rows.withColumns(

@@ -44,6 +44,10 @@ def register_parser(source_type: str, parser: Parser) -> None:
     _PARSERS[source_type.strip().lower()] = parser
 
 
+def registered_parsers() -> dict[str, Parser]:
+    return dict(_PARSERS)
+
+
 def route_sources(staged: DataFrame) -> DataFrame:
     """Adds ``parser`` (the normalised type) and whether the world's whole batch can be routed.
 

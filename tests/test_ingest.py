@@ -57,3 +57,21 @@ def test_picked_files_are_hashed_by_content(spark, tmp_path):
     picks = spark.createDataFrame([("w", "e", 0, f"file:{tmp_path}/x.txt")], PICKS)
     row = read_picked(spark, picks, str(tmp_path))[0].first()
     assert row.source_hash == "sha256:" + hashlib.sha256(b"\xef\xbb\xbfabc").hexdigest() and row.parsed_text == "abc"
+
+
+def test_registered_parsers_read_their_files(spark, tmp_path, monkeypatch):
+    from corpuspipe.sources import staging
+
+    ship(spark)
+    monkeypatch.setattr(staging, "_PARSERS", {})
+    staging.register_parser("pdf", lambda df: df.withColumn("parsed_text", F.concat(F.lit("page "), F.substring(F.col("content").cast("string"), 6, 3))))
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.pdf").write_bytes(b"%PDF-one")
+    (inbox / "b.txt").write_bytes(b"two")
+    rows = [("w", "e1", 0, f"file:{inbox}/a.pdf"), ("w", "e2", 1, f"file:{inbox}/b.txt")]
+    picks = spark.createDataFrame(rows, PICKS)
+    assert {(r.staging_entry_id, r.parsed_text) for r in read_picked(spark, picks, str(inbox))[0].collect()} == {("e1", "page one"), ("e2", "two")}
+    settings = spark.createDataFrame([("w", 12, 8, 4, "1", False)], SETTINGS)
+    ingest_files(spark, str(tmp_path / "corpus"), "b1", picks, str(inbox), NOW, settings)
+    assert {r.original_filename for r in read_published(spark, str(tmp_path / "corpus"), "sources").collect()} == {"a.pdf", "b.txt"}
