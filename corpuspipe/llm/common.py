@@ -50,3 +50,23 @@ def keep_columns(docs: DataFrame, **wanted: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# Keys with at least 1 / HOT_SHARE of all rows are hot: there are at most HOT_SHARE of them, whatever the input.
+HOT_SHARE = 1_000
+
+
+def join_hot(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Join ``facts`` with a stored table of one row per key, whose column ``rows`` counts the facts of the key.
+
+    The at most HOT_SHARE hot keys meet their facts where these lie, as a broadcast of that many rows; a key of the
+    rest has less than 1 / HOT_SHARE of all facts. ``rows`` is not part of the result.
+    """
+    total = lookup.agg(F.sum(rows)).first()[0] or 0
+    least = max(2, -(-total // HOT_SHARE))
+    hot, cold = lookup.where(F.col(rows) >= least).drop(rows), lookup.where(F.col(rows) < least).drop(rows)
+    if not hot.limit(1).count():
+        return facts.join(cold, keys, how)
+    near = facts.join(F.broadcast(hot), keys)
+    far = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return near.unionByName(far)
