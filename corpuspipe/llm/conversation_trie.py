@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +111,8 @@ def running(rows: DataFrame, order: list[Column | str], values: Callable[[pa.Rec
 
 def _sum_over(value: Column, window) -> Column:
     """Sum modulo 2 ** 64; null for no row."""
-    whole = F.pmod(F.sum(value.cast("decimal(38,0)")).over(window), F.lit(1 << 64).cast("decimal(38,0)"))
-    return F.when(whole >= F.lit(1 << 63), whole - F.lit(1 << 64)).otherwise(whole).cast("long")
+    whole = F.pmod(F.sum(value.cast("decimal(38,0)")).over(window), F.lit(Decimal(1 << 64)))
+    return F.when(whole >= F.lit(Decimal(1 << 63)), whole - F.lit(Decimal(1 << 64))).otherwise(whole).cast("long")
 
 
 def _plus(a: Column, b: Column) -> Column:

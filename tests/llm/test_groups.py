@@ -218,8 +218,12 @@ def test_prefix_trie_matches_a_walk(spark):
     rows = conversation_rows()
     expected = brute_trie(rows)
     table = conversations(spark, rows)
-    for frame in (table, table.repartition(9)):
-        found = conversation_trie.prefix_trie(frame).collect()
+    for coalesced, frame in (("true", table), ("false", table.repartition(9))):  # one range, and conversations over several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            found = conversation_trie.prefix_trie(frame).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
         assert collections.Counter(tuple(r[name] for name in names) for r in found) == expected
 
