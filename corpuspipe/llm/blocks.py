@@ -44,11 +44,13 @@ def messages(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def shares(values: np.ndarray, bits: int, owners: int) -> list[tuple[int, int, int]]:
     """(owner, begin, end) of the stretches of ordered hashes of ``bits`` bits that each owner gets."""
-    # Owners' ranges are equal shares of the leading 32 bits.
+    # Owners' ranges are equal shares of the leading 32 bits. Only the borders that hashes lie between are looked at.
+    if not len(values):
+        return []
     lead = values >> np.uint64(max(bits - 32, 0))
-    edges = (np.arange(owners + 1, dtype=np.uint64) << np.uint64(min(bits, 32))) // np.uint64(owners)
-    cuts = np.searchsorted(lead, edges)
-    return [(owner, int(a), int(b)) for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    owner = (lead * np.uint64(owners)) >> np.uint64(min(bits, 32))
+    cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(values))
+    return [(int(owner[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def pack_blocks(docs: DataFrame, label: str) -> DataFrame:

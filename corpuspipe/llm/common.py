@@ -45,7 +45,22 @@ def discard(*stored: DataFrame) -> None:
 
 def keep_columns(docs: DataFrame, **wanted: str) -> DataFrame:
     """Only the named columns, cast to the named types, so that other columns cannot clash with ours."""
-    return docs.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()))
+    return docs.select(*(F.col(name).cast(kind).alias(name) for name, kind in wanted.items()))
+
+
+def own(name: str) -> Column:
+    """The column of this very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Whole rows as the one column ``box``, so that no name of theirs can clash with the columns ``more``."""
+    return docs.select(F.struct(*(own(name) for name in docs.columns)).alias("box"), *(value.alias(name) for name, value in more.items()))
+
+
+def unboxed(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows as they were put into the box, and the columns ``more``."""
+    return rows.select("box.*", *more)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

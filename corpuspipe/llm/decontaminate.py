@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.llm import grams
-from corpuspipe.llm.common import keep_columns, store
+from corpuspipe.llm.common import boxed, keep_columns, store, unboxed
 
 N = 3
 LEAST_SCORE = 0.6
@@ -312,11 +312,7 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns."""
-    leaks = (
-        store(find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash"), "leaks")
-        .select(F.col("doc_id").alias("_id_"), F.col("text_hash").alias("_hash_"))
-        .distinct()
-    )
-    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("_id").eqNullSafe(F.col("_id_")) & (F.col("_hash") == F.col("_hash_"))
-    return named.join(leaks, same, "left_anti").select(*docs.columns)
+    leaks = store(find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct(), "leaks")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return unboxed(rows.join(leaks, same, "left_anti"))

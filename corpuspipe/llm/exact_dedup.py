@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuspipe.llm.common import ascii_lower, keep_columns, new_folder, shuffle_partitions, store
+from corpuspipe.llm.common import ascii_lower, boxed, keep_columns, new_folder, shuffle_partitions, store, unboxed
 
 # Entries of one bucket: an owner task holds few such buckets, and a bucket is a few MB of keys.
 CAPACITY = 65_536
@@ -185,20 +185,13 @@ def without_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     and text) are rare; where there are any, those rows alone are reduced to one.
     """
     decided = store(exact_dedup(docs, capacity), "dedup-decided")
-    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    named = docs.withColumn("_sha", sha).withColumn("_id", F.col("doc_id").cast("long"))
-    dropped = (
-        decided.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select(F.col("doc_id").alias("_id_"), F.col("text_sha256").alias("_sha_"))
-    )
-    same = F.col("_id").eqNullSafe(F.col("_id_")) & (F.col("_sha") == F.col("_sha_"))
-    stay = named.join(dropped, same, "left_anti")
-    twice = (
-        decided.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
-        .select(F.col("doc_id").alias("_id_"), F.col("text_sha256").alias("_sha_"))
-        .distinct()
-    )
+    sha = F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), sha=sha)
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha"))
+    of = (F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_sha"))
+    stay = rows.join(decided.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*of), same, "left_anti")
+    twice = decided.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(*of).distinct()
     if twice.limit(1).count():
-        once = stay.join(twice, same, "left_semi").dropDuplicates(["_id", "_sha"])
+        once = stay.join(twice, same, "left_semi").dropDuplicates(["id", "sha"])
         stay = stay.join(twice, same, "left_anti").unionByName(once)
-    return stay.select(*docs.columns)
+    return unboxed(stay)

@@ -5,9 +5,12 @@ the symmetric difference: ``|A ^ B| <= (|A| + |B|) * (den - num) / (den + num)``
 
 Texts are taken by bands of their set's size, so that partners meet in one band. In a band every n-gram flips one
 bit of a sketch, by its hash. Two sketches differ in at most as many bits as the sets differ in n-grams: the Hamming
-distance bounds the symmetric difference from below. The sketch has one part more than the band allows
-differences (pigeonhole), so partners agree in one part at least; the parts are the keys of the join. Sparse parts
-are never written out: a part's key is the xor of a hash of each bit that is set.
+distance bounds the symmetric difference from below. With ``d`` differences allowed in the band, a sketch has ``d + 1 + e``
+parts (pigeonhole), so partners agree in ``e + 1`` parts at least; parts are the keys of the join. Every set leaves out its
+``e`` weakest parts, those with the fewest bits set (ties: the smallest key). That is safe, because strength belongs to the
+part's value: of the parts that two partners agree in, the strongest has ``e`` weaker ones in either set. So unrelated texts
+do not meet in empty parts, nor in parts of one common n-gram. Sparse parts are never written out: a part's key is the xor
+of a hash of each bit that is set.
 
 Equal sets are one class from the start. Blocks of documents find out which keys other sets have (see ``blocks``;
 a key goes with a mark of its set, so that copies do not count), and only these become rows. Candidates of a key are
@@ -35,13 +38,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.llm import grams
 from corpuspipe.llm.blocks import ASKED, SEVERAL, known_with_another_mark, messages, owners_of, pack_blocks, shares
-from corpuspipe.llm.common import keep_columns, store
+from corpuspipe.llm.common import boxed, discard, join_hot, keep_columns, store, unboxed
 from corpuspipe.llm.components import components
 from corpuspipe.llm.packing import pack, pack_sorted, unpack_rows, unpack_sorted
 
 # Width of the bands: each reaches to this multiple of its start, or as far as partners do.
 BAND_RATIO = 1.5
 
+# Parts a sketch has beyond the differences allowed and one, as a share of those (numerator, denominator).
+SPARE = (2, 3)
+
+# Pairs of a centre that one slice of them holds.
+SLICE = 1_000
+
 # Bits of a part of a band's sketch, and words of the short sketch that candidates are checked with.
 PART_BITS = 1 << 12
 CHECK_WORDS = 16
@@ -61,7 +70,9 @@ class Bands:
         starts = np.array(self.starts, dtype=np.int64)
         largest = np.append(starts[1:] - 1, starts[-1])
         # A pair of the band: the larger set in it, the smaller in it or in the band before.
-        self.parts = 2 * largest * (den - num) // (den + num) + 1
+        self.used = 2 * largest * (den - num) // (den + num) + 1
+        self.spare = self.used * SPARE[0] // SPARE[1]
+        self.parts = self.used + self.spare
         self.starts = starts
         self.least = -(-starts * num // den)  # smallest set that can be a partner in the band
 
@@ -100,32 +111,38 @@ class Sets:
         return self.summed(grams.mixed(self.hashes)), self.summed(grams.mixed(self.hashes ^ np.uint64(0x5851F42D4C957F2D)))
 
     def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all parts of all sketches, and the text each belongs to."""
+        """Keys of the parts of all sketches but the weakest, and the text each belongs to."""
         keys, texts = [], []
         band = bands.of(self.sizes)
         for shift in (0, 1):
             of = np.minimum(band + shift, len(bands.starts) - 1)
-            parts = bands.parts[of]
             # Sets that allow no difference are equal or no partners; classes see to those.
-            used = (self.sizes > 0) & (parts > 1) & ((shift == 0) | (self.sizes >= bands.least[of]))
+            used = (self.sizes > 0) & (bands.used[of] > 1) & ((shift == 0) | (self.sizes >= bands.least[of]))
+            parts = np.where(used, bands.parts[of], 0)
+            base = np.cumsum(parts) - parts
+            total = int(parts.sum())
             chosen = used[self.text]
             text = self.text[chosen]
-            count = parts[text].astype(np.uint64)
-            bit = grams.mixed(self.hashes[chosen] + of[text].astype(np.uint64)) % (count * np.uint64(PART_BITS))
-            base = np.cumsum(np.where(used, parts, 0)) - np.where(used, parts, 0)
-            slot = base[text] + (bit // np.uint64(PART_BITS)).astype(np.int64)
-            total = int(np.where(used, parts, 0).sum())
-            value = np.zeros(total, dtype=np.uint64)
-            order = np.argsort(slot, kind="stable")
-            slot, flips = slot[order], grams.mixed(bit[order] + np.uint64(0x9E3779B97F4A7C15))
-            if len(slot):
+            bit = grams.mixed(self.hashes[chosen] + of[text].astype(np.uint64)) % (parts[text].astype(np.uint64) * np.uint64(PART_BITS))
+            at = np.sort(base[text].astype(np.uint64) * np.uint64(PART_BITS) + bit)
+            value, strength = np.zeros(total, dtype=np.uint64), np.zeros(total, dtype=np.int64)
+            owner = np.repeat(np.arange(len(self.sizes)), parts)
+            if len(at):
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                at = at[first[np.diff(np.append(first, len(at))) & 1 == 1]]  # bits that an even number of n-grams flipped are 0
+            if len(at):
+                slot = (at // np.uint64(PART_BITS)).astype(np.int64)
+                flips = grams.mixed(at - base[owner[slot]].astype(np.uint64) * np.uint64(PART_BITS) + np.uint64(0x9E3779B97F4A7C15))
                 first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
                 value[slot[first]] = np.bitwise_xor.reduceat(flips, first)
-            owner = np.repeat(np.arange(len(self.sizes)), np.where(used, parts, 0))
+                strength[slot[first]] = np.diff(np.append(first, len(slot)))
             part = np.arange(total) - base[owner]
             place = (of[owner] * np.int64(1 << 40) + part).astype(np.uint64)
-            keys.append(grams.mixed(value ^ grams.mixed(place)))
-            texts.append(owner)
+            key = grams.mixed(value ^ grams.mixed(place))
+            order = np.lexsort((key, strength, owner))
+            strong = order[part >= bands.spare[of[owner]]]  # the parts of a text stay together, weakest first
+            keys.append(key[strong])
+            texts.append(owner[strong])
         return np.concatenate(keys), np.concatenate(texts)
 
     def check_sketch(self, text: int) -> list[int]:
@@ -195,7 +212,9 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
     hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
     joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("rows", "hits")
     told = joined.mapInArrow(tell, SETS).withColumn("row", F.monotonically_increasing_id())
-    return store(told, "jaccard-sets")
+    told = store(told, "jaccard-sets")
+    discard(blocks, hits)
+    return told
 
 
 def _difference_bound(a, b, bands: Bands):
@@ -208,11 +227,12 @@ def _near(bands: Bands):
     distance = reduce(
         lambda x, y: x + y, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(CHECK_WORDS))
     )
-    return distance <= _difference_bound(F.col("a.n_shingles"), F.col("b.n_shingles"), bands)
+    a, b = F.col("a.n_shingles"), F.col("b.n_shingles")
+    return (F.least(a, b) * bands.den >= F.greatest(a, b) * bands.num) & (distance <= _difference_bound(a, b, bands))
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs ``x, y`` whose check sketches allow a link; a stored table."""
+    """The pairs ``x, y`` whose sizes and check sketches allow a link; a stored table."""
     narrow = sets.select("row", "n_shingles", "sketch")
     left = pairs.join(narrow.select(F.col("row").alias("x"), F.struct("n_shingles", "sketch").alias("a")), "x")
     both = left.join(narrow.select(F.col("row").alias("y"), F.struct("n_shingles", "sketch").alias("b")), "y")
@@ -220,25 +240,41 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs ``x, y`` whose sets link; a stored table."""
+    """The stored pairs ``x, y`` whose sets link; a stored table.
+
+    The pairs of an ``x`` are cut into slices. Its set is sent once to each slice, in front of the sets it is compared with.
+    """
     num, den = bands.num, bands.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = np.empty(0, dtype=np.uint64)
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = np.zeros(batch.num_rows, dtype=bool)
+            xs, ys, good = batch.column(0), batch.column(2), []
             for k in range(batch.num_rows):
-                a = np.frombuffer(left[k].as_py(), dtype=np.uint64)
-                b = np.frombuffer(right[k].as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good[k] = den * both >= num * (len(a) + len(b) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    own = sets.select(F.col("row").alias("x"), F.col("shingles").alias("set_x"))
-    other = sets.select(F.col("row").alias("y"), F.col("shingles").alias("set_y"))
-    return store(
-        pairs.join(other, "y").join(own, "x").select("x", "y", "set_x", "set_y").mapInArrow(run, "x long, y long"), "jaccard-links"
-    )
+                own = np.frombuffer(batch.column(3)[k].as_buffer(), dtype=np.uint64)
+                if not ys[k].is_valid:
+                    a = own.copy()
+                    continue
+                both = len(np.intersect1d(a, own, assume_unique=True))
+                if den * both >= num * (len(a) + len(own) - both):
+                    good.append(k)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([xs.take(at), ys.take(at)], names=["x", "y"])
+
+    rows = store(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct(), "jaccard-wanted")
+    needed = store(sets.select("row", "shingles").join(rows, "row", "left_semi"), "jaccard-needed")
+    per_x = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("rows"))
+    slices = store(per_x.withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("int")), "jaccard-slices")
+    first = (
+        slices.join(needed.withColumnRenamed("row", "x"), "x")
+        .select("x", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("y"), "shingles")
+    )
+    after = join_hot(pairs, slices, ["x"], "rows").withColumn("slice", F.pmod(F.xxhash64("y"), F.col("slices")).cast("int"))
+    after = after.join(needed.withColumnRenamed("row", "y"), "y").select("x", "slice", "y", "shingles")
+    together = first.unionByName(after).repartition("x", "slice").sortWithinPartitions("x", "slice", F.asc_nulls_first("y"))
+    links = store(together.mapInArrow(run, "x long, y long"), "jaccard-links")
+    discard(rows, needed, slices)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -272,10 +308,14 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     star = (
         members.join(centres, "key")
         .where("row <> centre")
-        .select(F.least("row", "centre").alias("x"), F.greatest("row", "centre").alias("y"))
-        .distinct()
+        .groupBy(F.least("row", "centre").alias("low"), F.greatest("row", "centre").alias("high"))
+        .agg(F.min("centre").alias("x"))
+        .select("x", (F.col("low") + F.col("high") - F.col("x")).alias("y"))
     )
-    part_of = components(verified(near_pairs(star, sets, bands), sets, bands))
+    near = near_pairs(star, sets, bands)
+    links = verified(near, sets, bands)
+    part_of = components(links)
+    discard(centres, near, links)
 
     # Second round: across the components that a key still joins.
     labelled = store(
@@ -292,7 +332,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     open_members = store(
         labelled.join(mixed, "key", "left_semi").join(sets.select("row", "n_shingles", "sketch"), "row"), "jaccard-open"
     )
-    across = (
+    discard(members, labelled, mixed)
+    across = store(
         open_members.alias("a")
         .join(
             open_members.alias("b"),
@@ -302,9 +343,11 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
             & _near(bands),
         )
         .select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
-        .distinct()
+        .distinct(),
+        "jaccard-across",
     )
     more = verified(across, sets, bands)
+    discard(open_members, across)
     label = {side: part_of.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")) for side in ("x", "y")}
     merged = components(
         more.join(label["x"], "x", "left")
@@ -318,8 +361,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .select("f1", "f2", "n_shingles", "class_id", "part")
     )
     node = store(node, "jaccard-parts")
+    discard(classes, part_of, merged, more)
     smallest = node.groupBy("part").agg(F.min("class_id").alias("component_id"))
     named = store(node.join(smallest, "part").drop("part"), "jaccard-named")
+    discard(node)
     return narrow.join(named, ["f1", "f2", "n_shingles"], "left").select(
         "doc_id",
         "n_shingles",
@@ -333,10 +378,8 @@ def without_near_copies(docs: DataFrame, n: int, num: int, den: int) -> DataFram
 
     Rows that share an id stay if one of them does. The dropped ids are the smaller side of the join.
     """
-    joined = store(jaccard_components(docs, n, num, den).select("doc_id", "component_id"), "jaccard-decided")
+    joined = jaccard_components(docs, n, num, den).select("doc_id", "component_id")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    dropped = (
-        joined.groupBy("doc_id").agg(F.max(stays.cast("int")).alias("stays")).where("stays = 0").select(F.col("doc_id").alias("_id_"))
-    )
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return named.join(store(dropped, "jaccard-dropped"), F.col("_id").eqNullSafe(F.col("_id_")), "left_anti").select(*docs.columns)
+    dropped = store(joined.groupBy("doc_id").agg(F.max(stays.cast("int")).alias("stays")).where("stays = 0").select("doc_id"), "jaccard-dropped")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"))
+    return unboxed(rows.join(dropped, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLD = str.maketrans(UPPER, UPPER.lower())
 
-CLASHING = ("row", "key", "keys", "ids", "block", "rows", "kept", "component", "component_id", "host", "sha", "is_target", "_id", "_sha")
+CLASHING = (
+    "row", "key", "keys", "ids", "block", "rows", "kept", "component", "component_id", "host", "sha", "is_target", "_id", "_sha",
+    "_hash", "_id_", "_hash_", "box", "id", "hash", "of_id", "n_tokens", "decoded", "text_hash", "a.b", "tick`s", "low", "x",
+)
 
 
 def texts(seed=7):

@@ -103,7 +103,7 @@ def test_bands_hold_all_partners():
             of_large, of_small = bands.of([large, smallest])
             assert of_small >= of_large - 1
             assert of_small == of_large or smallest >= bands.least[of_large]
-            assert bands.parts[of_large] > (large + large) * (den - num) // (den + num)
+            assert bands.used[of_large] > (large + large) * (den - num) // (den + num)
 
 
 def test_without_near_copies(spark):

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from cases import FOLD, documents, hard_rows
+from cases import CLASHING, FOLD, documents, hard_rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -348,3 +348,19 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_stages_keep_the_values_of_all_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = documents(spark, hard_rows()[:60] + [(None, "no id"), (None, None)])
+    texts = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, folder)
+        rows = [r.asDict() for r in after.collect()]
+        assert rows and all(r[column] == column for r in rows for column in CLASHING), name
+        if stage is corpus_pipeline.tokens:
+            assert all(r["n_tokens_"] == len(r["ids_"]) and r["ids_"] == LIBRARY.encode_ordinary(r["text"]) for r in rows)
+            assert len(rows) == sum(texts.values())
+        else:
+            assert after.columns == docs.columns, name
+            assert not collections.Counter((r["doc_id"], r["text"]) for r in rows) - texts, name
