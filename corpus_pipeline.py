@@ -1,4 +1,8 @@
-"""Training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results of all stages: a null text counts as empty, and empty texts are copies of each other. A null ``doc_id`` is
+an id of its own. Of equal rows one stays. Other columns, whatever their names, keep their values. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuspipe.llm import bpe
-from corpuspipe.llm.common import new_folder
+from corpuspipe.llm.common import discard, new_folder, own, unboxed
 from corpuspipe.llm.decontaminate import without_leaks
 from corpuspipe.llm.exact_dedup import without_copies
 from corpuspipe.llm.jaccard_join import without_near_copies
@@ -36,13 +40,26 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """Token ids of every document (``ids, n_tokens``), and as ``text`` what they decode to. A null text has no ids and is empty.
+
+    The rows' other columns stay; where one has the name of a new column, the new one gets underscores behind its name.
+    """
     import public_tokenizers
 
-    kept = tuple(name for name in docs.columns if name not in ("text", "ids", "decoded"))
-    coded = bpe.round_trip(docs, "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN, kept)
-    return coded.select(
-        *kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text")
+    kept = [name for name in docs.columns if name != "text"]
+
+    def unused(name: str) -> str:
+        while name.lower() in {column.lower() for column in kept}:
+            name += "_"
+        return name
+
+    rows = docs.select(F.struct(*(own(name) for name in kept)).alias("box"), "text")
+    coded = bpe.round_trip(rows, "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN, ("box",))
+    return unboxed(
+        coded,
+        F.size("ids").cast("long").alias(unused("n_tokens")),
+        F.col("ids").alias(unused("ids")),
+        F.col("decoded").cast("string").alias("text"),
     )
 
 
@@ -65,5 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         path = os.path.join(folder, str(number))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done, docs = docs, spark.read.parquet(path)
+        if number:
+            discard(done)
+        docs._stored_path = path
     return docs
