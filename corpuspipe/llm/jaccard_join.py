@@ -55,7 +55,10 @@ SLICE = 1_000
 PART_BITS = 1 << 12
 CHECK_WORDS = 16
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>, shingles binary"
+# Words of the long sketch for each so many n-grams; a set no larger than the short sketch is good for has none.
+LONG_WORDS = 32
+
+SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>, long_sketch binary, shingles binary"
 
 
 class Bands:
@@ -145,11 +148,16 @@ class Sets:
             texts.append(owner[strong])
         return np.concatenate(keys), np.concatenate(texts)
 
-    def check_sketch(self, text: int) -> list[int]:
-        """A parity sketch of fixed length."""
+    def check_sketch(self, text: int, words: int = CHECK_WORDS) -> np.ndarray:
+        """A parity sketch of so many words, a power of two. Its halves' xor is the sketch of half the length."""
         own = self.hashes[self.bounds[text] : self.bounds[text + 1]]
-        bits = np.bincount((grams.mixed(own ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * CHECK_WORDS)).astype(np.int64), minlength=64 * CHECK_WORDS)
-        return np.packbits((bits & 1).astype(np.uint8)).view(np.int64).tolist()
+        bits = np.bincount((grams.mixed(own ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
+        return np.packbits((bits & 1).astype(np.uint8)).view(np.uint64)
+
+    def long_sketch(self, text: int) -> bytes:
+        """A sketch that grows with the set; empty where the short one will do."""
+        words = 1 << max(0, int(self.sizes[text]) // LONG_WORDS - 1).bit_length()
+        return self.check_sketch(text, words).tobytes() if words > CHECK_WORDS else b""
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -199,14 +207,16 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
                 signed = _signed(keys)
                 size = rows.num_rows
                 own = [signed[shared[t]].tolist() if t in shared else None for t in range(size)]
-                sketches = [sets.check_sketch(t) if t in shared else None for t in range(size)]
+                sketches = [sets.check_sketch(t).view(np.int64) if t in shared else None for t in range(size)]
+                longer = [sets.long_sketch(t) if t in shared else None for t in range(size)]
                 hashes = [sets.hashes[sets.bounds[t] : sets.bounds[t + 1]].tobytes() if t in shared else None for t in range(size)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), pa.array(sets.sizes), pa.array(_signed(f1)), pa.array(_signed(f2)),
-                        pa.array(own, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(hashes, pa.binary()),
+                        pa.array(own, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                        pa.array(longer, pa.binary()), pa.array(hashes, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "shingles"],
+                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "long_sketch", "shingles"],
                 )
 
     hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
@@ -239,41 +249,67 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return store(both.where(_near(bands)).select("x", "y"), "jaccard-pairs")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The stored pairs ``x, y`` whose sets link; a stored table.
+def _sketches_allow(num: int, den: int):
+    """Whether two sets can be linked, by their long sketches and sizes."""
+
+    def test(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
+        if not len(a) or not len(b):
+            return True
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        return int(np.bitwise_count(a ^ b).sum()) * (den + num) <= (size_a + size_b) * (den - num)
+
+    return test
+
+
+def _sets_link(num: int, den: int):
+    def test(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return den * both >= num * (size_a + size_b - both)
 
-    The pairs of an ``x`` are cut into slices. Its set is sent once to each slice, in front of the sets it is compared with.
+    return test
+
+
+def compared(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The stored pairs ``x, y`` whose values of ``column`` pass the test; a stored table.
+
+    The pairs of an ``x`` are cut into slices. Its value is sent once to each slice, in front of those it is compared with.
     """
-    num, den = bands.num, bands.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = np.empty(0, dtype=np.uint64)
+        a, size_a = np.empty(0, dtype=np.uint64), 0
         for batch in batches:
-            xs, ys, good = batch.column(0), batch.column(2), []
+            xs, ys, sizes, good = batch.column(0), batch.column(2), batch.column(3).to_pylist(), []
             for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column(3)[k].as_buffer(), dtype=np.uint64)
+                own = np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.uint64)
                 if not ys[k].is_valid:
-                    a = own.copy()
-                    continue
-                both = len(np.intersect1d(a, own, assume_unique=True))
-                if den * both >= num * (len(a) + len(own) - both):
+                    a, size_a = own.copy(), sizes[k]
+                elif test(a, size_a, own, sizes[k]):
                     good.append(k)
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([xs.take(at), ys.take(at)], names=["x", "y"])
 
     rows = store(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct(), "jaccard-wanted")
-    needed = store(sets.select("row", "shingles").join(rows, "row", "left_semi"), "jaccard-needed")
+    needed = store(sets.select("row", "n_shingles", column).join(rows, "row", "left_semi"), "jaccard-needed")
     per_x = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("rows"))
     slices = store(per_x.withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("int")), "jaccard-slices")
-    first = (
-        slices.join(needed.withColumnRenamed("row", "x"), "x")
-        .select("x", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("y"), "shingles")
-    )
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    first = slices.join(needed.withColumnRenamed("row", "x"), "x").select("x", every.alias("slice"), F.lit(None).cast("long").alias("y"), "n_shingles", column)
     after = join_hot(pairs, slices, ["x"], "rows").withColumn("slice", F.pmod(F.xxhash64("y"), F.col("slices")).cast("int"))
-    after = after.join(needed.withColumnRenamed("row", "y"), "y").select("x", "slice", "y", "shingles")
+    after = after.join(needed.withColumnRenamed("row", "y"), "y").select("x", "slice", "y", "n_shingles", column)
     together = first.unionByName(after).repartition("x", "slice").sortWithinPartitions("x", "slice", F.asc_nulls_first("y"))
-    links = store(together.mapInArrow(run, "x long, y long"), "jaccard-links")
+    passed = store(together.mapInArrow(run, "x long, y long"), "jaccard-passed")
     discard(rows, needed, slices)
+    return passed
+
+
+def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The stored pairs ``x, y`` whose sets link; a stored table. Sets are sent only where their long sketches allow it."""
+    allowed = compared(pairs, sets, "long_sketch", _sketches_allow(bands.num, bands.den))
+    links = compared(allowed, sets, "shingles", _sets_link(bands.num, bands.den))
+    discard(allowed)
     return links
 
 
