@@ -325,21 +325,26 @@ def _vocabulary(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids`` of every row's ``text``. ``vocabulary``: a path that every executor has,
-    or the name of a file of the installed tokenizers."""
-
+def _coded(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...], with_bytes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), pattern)
         for batch in batches:
             for group in groups(batch, len(keep)):
                 flat, offsets = codec.encode_all(text.as_py() or "" for text in group.column(len(keep)))
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([*group.columns[:-1], ids], names=[*keep, "ids"])
+                columns = [*group.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=pa.int32()))]
+                if with_bytes:
+                    columns.append(pa.array([codec.decode(flat[low:high]) for low, high in pairwise(offsets.tolist())], type=pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"][: len(columns)])
 
     read = docs.select(*(F.col(f"`{name}`") for name in keep), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*(read.schema[name] for name in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return read.mapInArrow(run, schema)
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return read.mapInArrow(run, T.StructType([*(read.schema[name] for name in keep), *more[: 1 + with_bytes]]))
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``ids`` of every row's ``text``. ``vocabulary``: a path that every executor has,
+    or the name of a file of the installed tokenizers."""
+    return _coded(docs, vocabulary, pattern, keep, False)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -360,5 +365,5 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``ids`` and ``decoded`` of every row."""
-    return decode(encode(docs, vocabulary, pattern, keep), vocabulary)
+    """The columns ``keep``, ``ids`` and ``decoded``, which is decoded from the ids, of every row; in one worker a task."""
+    return _coded(docs, vocabulary, pattern, keep, True)

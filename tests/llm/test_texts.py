@@ -55,6 +55,8 @@ def test_bpe_rows(spark):
     coded = bpe.round_trip(documents(spark, rows).drop("ids"), "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
     found = collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in coded.collect())
     assert found == collections.Counter((i, tuple(LIBRARY.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
+    again = bpe.decode(coded.select("doc_id", "ids"), "byte_bpe_50k.tiktoken").collect()
+    assert collections.Counter((r.doc_id, bytes(r.decoded)) for r in again) == collections.Counter((i, (t or "").encode()) for i, t in rows)
 
 
 def pages(spark, rows):
