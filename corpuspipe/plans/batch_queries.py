@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpuspipe import schemas
 from corpuspipe.functions import names
-from corpuspipe.operators import dedup, numbering, records, validation
+from corpuspipe.operators import append, dedup, numbering, records, validation
 from corpuspipe.operators.scale import number_in_order, pinned, sized, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
@@ -663,35 +664,135 @@ def list_split_chunks(spark, folder):
 # Appending and publishing: the resulting rows; the write protocol itself is tested on folders
 
 
-_FREE_SOURCES = f"""
-    SELECT n.world_id, n.source_id, n.book_number FROM ({_NEW_SOURCES}) n WHERE NOT EXISTS (
-        SELECT 1 FROM ({PUBLISHED}) p WHERE p.world_id = n.world_id AND (p.source_id = n.source_id OR p.book_number = n.book_number))"""
+# The world src1 takes published ids, src2 published numbers, src6 published paths; src3 and src4 repeat ids and numbers in
+# the batch, src5 has blank file names. All other worlds may be appended.
+_FAR = 20_000_000
+
+
+def _source_batch(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """All documents as published sources, a world for each ``source``, and once more as a batch that arrives."""
+    docs = roles.documents(spark, folder, "source")
+    published = roles.as_source_rows(docs.drop("parsed_text"))
+    world, number = F.col("source"), F.col("doc_id")
+    new = docs.select(
+        "world_id",
+        F.concat(
+            F.when(world == "src1", "doc-").otherwise("new-"), F.when(world == "src3", number % 7).otherwise(number)
+        ).alias("source_id"),
+        F.when((world == "src5") & (number % 2 == 0), " ").otherwise(names.base_name(F.col("source_path"))).alias("original_filename"),
+        F.concat(F.when(world == "src6", "sources/doc-").otherwise("sources/new-"), number).alias("stored_path"),
+        names.source_type(F.col("source_path")).alias("source_file_type"),
+        "source_hash",
+        F.when(world == "src2", number + 1).when(world == "src4", _FAR + number % 7).otherwise(_FAR + number).cast("int").alias("book_number"),
+        F.to_timestamp(F.lit(_MOMENT)).alias("committed_at"),
+    )
+    return published, new
+
+
+_SOURCE_BATCH = f"""
+    SELECT source AS world_id,
+           CASE WHEN source = 'src1' THEN 'doc-' ELSE 'new-' END || CASE WHEN source = 'src3' THEN doc_id % 7 ELSE doc_id END AS source_id,
+           CASE WHEN source = 'src5' AND doc_id % 2 = 0 THEN ' ' ELSE 'x' END AS original_filename,
+           CASE WHEN source = 'src6' THEN 'sources/doc-' ELSE 'sources/new-' END || doc_id AS stored_path,
+           CAST(CASE WHEN source = 'src2' THEN doc_id + 1 WHEN source = 'src4' THEN {_FAR} + doc_id % 7 ELSE {_FAR} + doc_id END AS INTEGER) AS book_number
+    FROM documents"""
+_SOURCE_TABLE = "SELECT source AS world_id, 'doc-' || doc_id AS source_id, 'sources/doc-' || doc_id AS stored_path, CAST(doc_id + 1 AS INTEGER) AS book_number FROM documents"
+
+
+def _key_rules_sql(new: str, table: str, kinds: list[tuple[str, str, str, str]]) -> str:
+    """UNION ALL of the repeated and the taken keys of each (kind, entity, expression, shown key)."""
+    return " UNION ALL ".join(
+        f"""SELECT world_id, '{entity}' AS entity, {shown} AS entity_key, '{kind}_repeated' AS rule, 'the key must be unique in the batch' AS message
+            FROM (SELECT world_id, {key} AS k FROM ({new}) GROUP BY 1, 2 HAVING count(*) > 1)
+            UNION ALL SELECT world_id, '{entity}', {shown}, '{kind}_taken', 'the table holds the key already'
+            FROM (SELECT DISTINCT world_id, {key} AS k FROM ({new}) INTERSECT SELECT DISTINCT world_id, {key} FROM ({table}))"""
+        for kind, entity, key, shown in kinds
+    )
+
+
+_SOURCE_BATCH_VIOLATIONS = (
+    _key_rules_sql(
+        _SOURCE_BATCH,
+        _SOURCE_TABLE,
+        [
+            ("source_id", "source", "source_id", "k"),
+            ("book_number", "source", "book_number", "CAST(k AS VARCHAR)"),
+            ("stored_path", "destination", "stored_path", "sha256(k)"),
+        ],
+    )
+    + f""" UNION ALL SELECT world_id, 'source', source_id, 'original_filename_blank', 'original_filename must not be blank'
+           FROM ({_SOURCE_BATCH}) WHERE original_filename = ' '"""
+)
 
 
 @query(
     "append_sources",
-    f"SELECT world_id, source_id, book_number FROM ({PUBLISHED}) UNION ALL {_FREE_SOURCES}",
+    f"""WITH bad AS (SELECT DISTINCT world_id FROM ({_SOURCE_BATCH_VIOLATIONS}))
+        SELECT world_id, source_id, book_number FROM ({_SOURCE_TABLE})
+        UNION ALL SELECT world_id, source_id, book_number FROM ({_SOURCE_BATCH}) WHERE world_id NOT IN (SELECT world_id FROM bad)""",
 )
 def append_sources(spark, folder):
-    """Published sources plus the new ones that clash with none of them."""
-    published = roles.published(spark, folder).select("world_id", "source_id", "book_number")
-    new = _new_sources(spark, folder)
-    clashing = dedup.source_conflicts(new, published).select("world_id", "source_id")
-    return published.unionByName(new.join(clashing, ["world_id", "source_id"], "left_anti"))
+    """The sources table after a batch: worlds that break a rule add nothing."""
+    published, new = _source_batch(spark, folder)
+    return append.append_sources(new, published).rows.select("world_id", "source_id", "book_number")
+
+
+@query("append_source_violations", _SOURCE_BATCH_VIOLATIONS)
+def append_source_violations(spark, folder):
+    published, new = _source_batch(spark, folder)
+    return append.append_sources(new, published).violations
+
+
+def _chunk_batch(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The chunks of all documents as published, and again as a batch: en reuses ids, fr positions, de repeats positions."""
+    world = F.col("world_id")
+    published = pinned(roles.published_chunks(spark, folder).select(*[field.name for field in schemas.CHUNKS]))
+    new = published.withColumns(
+        {
+            "chunk_id": F.when(world == "en", F.col("chunk_id")).otherwise(F.concat(F.lit("n-"), "chunk_id")),
+            "book_number": F.when(world == "fr", F.col("book_number")).otherwise(F.col("book_number") + _FAR),
+            "chunk_number": F.when(world == "de", (F.col("chunk_number") + 1) / 2).otherwise(F.col("chunk_number")).cast("int"),
+        }
+    )
+    return published, new
+
+
+_CHUNK_TABLE = "SELECT world_id, source_id || '-' || chunk_number AS chunk_id, book_number, chunk_number, chunk_text FROM cut_chunks"
+_CHUNK_BATCH = f"""
+    SELECT world_id, CASE WHEN world_id = 'en' THEN '' ELSE 'n-' END || source_id || '-' || chunk_number AS chunk_id,
+           CAST(CASE WHEN world_id = 'fr' THEN book_number ELSE book_number + {_FAR} END AS INTEGER) AS book_number,
+           CAST(CASE WHEN world_id = 'de' THEN (chunk_number + 1) // 2 ELSE chunk_number END AS INTEGER) AS chunk_number, chunk_text
+    FROM cut_chunks"""
+_CHUNK_BATCH_VIOLATIONS = (
+    _key_rules_sql(
+        _CHUNK_BATCH,
+        _CHUNK_TABLE,
+        [
+            ("chunk_id", "chunk", "chunk_id", "k"),
+            ("chunk_place", "chunk", "book_number || '/' || chunk_number", "k"),
+        ],
+    )
+    + f""" UNION ALL SELECT world_id, 'chunk', chunk_id, 'chunk_text_blank', 'chunk_text must not be blank'
+           FROM ({_CHUNK_BATCH}) WHERE {roles.strip_sql('chunk_text')} = ''"""
+)
 
 
 @query(
     "append_chunks",
-    f"""WITH RECURSIVE {roles.PUBLISHED_CHUNKS_SQL}
-        SELECT world_id, source_id || '-' || chunk_number AS chunk_id, book_number, chunk_number FROM cut_chunks
-        UNION ALL SELECT world_id, 'n-' || source_id || '-' || chunk_number, -book_number, chunk_number
-        FROM cut_chunks WHERE world_id NOT IN ('en', 'fr')""",
+    f"""WITH RECURSIVE {roles.PUBLISHED_CHUNKS_SQL}, bad AS (SELECT DISTINCT world_id FROM ({_CHUNK_BATCH_VIOLATIONS}))
+        SELECT world_id, chunk_id, book_number, chunk_number FROM ({_CHUNK_TABLE})
+        UNION ALL SELECT world_id, chunk_id, book_number, chunk_number FROM ({_CHUNK_BATCH}) WHERE world_id NOT IN (SELECT world_id FROM bad)""",
 )
 def append_chunks(spark, folder):
-    published = roles.published_chunk_keys(spark, folder).drop("source_id")
-    new = _new_chunks(published)
-    clashing = dedup.chunk_conflicts(new, published).select("world_id", "chunk_id")
-    return published.unionByName(new.join(clashing, ["world_id", "chunk_id"], "left_anti"))
+    """The chunks table after a batch: worlds that break a rule add nothing."""
+    published, new = _chunk_batch(spark, folder)
+    return append.append_chunks(new, published).rows.select("world_id", "chunk_id", "book_number", "chunk_number")
+
+
+@query("append_chunk_violations", f"WITH RECURSIVE {roles.PUBLISHED_CHUNKS_SQL} {_CHUNK_BATCH_VIOLATIONS}")
+def append_chunk_violations(spark, folder):
+    published, new = _chunk_batch(spark, folder)
+    return append.append_chunks(new, published).violations
 
 
 _FIRST_COPIES = """

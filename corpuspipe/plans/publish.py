@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from corpuspipe import schemas
 from corpuspipe.functions import names, text
-from corpuspipe.operators import catalog, dedup, numbering, records, validation
+from corpuspipe.operators import append, catalog, dedup, numbering, records, validation
 from corpuspipe.operators.chunking import SPLITTER_VERSION, split_texts
 from corpuspipe.operators.scale import sized
 
@@ -236,8 +236,12 @@ def _write_rows(
     numbered = _write(plan, root, "numbered", batch_id)
     if numbered.isEmpty():
         raise BatchRefused("every world of the batch is blocked or holds no new source")
-    if not dedup.source_conflicts(numbered, published).isEmpty():
+    refused = _write(_source_gate(source_rows(numbered, moment), published), root, "source_gate", batch_id)
+    if not refused.where(F.col("rule").isin("source_id_taken", "book_number_taken")).isEmpty():
         raise BatchConflict("source ids or book numbers are already taken")
+    if not refused.isEmpty():
+        refused.write.mode("append").parquet(_folder(root, "violations", batch_id))
+        numbered = _without_worlds(root, batch_id, numbered, refused, "numbered_sound")
     rows = source_rows(numbered, moment).sortWithinPartitions("world_id", "book_number")
     _write(rows, root, "sources", batch_id)
     watch = Observation()
@@ -248,6 +252,20 @@ def _write_rows(
     return numbered, chunks, watch.get["blank"]
 
 
+def _source_gate(rows: DataFrame, published: DataFrame) -> DataFrame:
+    """Broken rules of the source rows a batch is about to publish: fields, and keys that repeat or are taken."""
+    book = append.ledger(append.source_entries(rows, "new_rows"), append.source_entries(published, "held_rows"))
+    return append.source_rules(rows).unionByName(append.key_violations(book))
+
+
+def _without_worlds(root: str, batch_id: str, numbered: DataFrame, late: DataFrame, step: str) -> DataFrame:
+    worlds = late.select("world_id").distinct()
+    left = _write(numbered.join(worlds, "world_id", "left_anti"), root, step, batch_id)
+    if left.isEmpty():
+        raise BatchRefused("every world of the batch is blocked")
+    return left
+
+
 def _withdraw(
     root: str, batch_id: str, numbered: DataFrame, late: DataFrame, moment: Column
 ) -> DataFrame:
@@ -261,9 +279,7 @@ def _withdraw(
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for row in worlds.toLocalIterator():
         _delete(spark, f"{_folder(root, 'chunks', batch_id)}/world_id={escape(row.world_id)}")
-    left = _write(numbered.join(worlds, "world_id", "left_anti"), root, "numbered_left", batch_id)
-    if left.isEmpty():
-        raise BatchRefused("every world of the batch is blocked")
+    left = _without_worlds(root, batch_id, numbered, late, "numbered_left")
     rows = source_rows(left, moment).sortWithinPartitions("world_id", "book_number")
     _write(rows, root, "sources", batch_id)
     return left
@@ -296,16 +312,13 @@ def _publish(
     found = _write(found, root, "violations", batch_id)
 
     numbered, chunks, blank = _write_rows(root, batch_id, parsed, settings, published, found, moment, on_duplicate)
+    late = append.gate_violations(numbered, chunks)
     if blank:
-        # A blank chunk stops its world. It was counted while writing, so only a batch that has one pays
-        # for finding it.
+        # Blank chunks were counted while writing, so only a batch that has one pays for finding it.
         columns = [field.name for field in schemas.CHUNKS]
-        late = _write(
-            validation.chunk_violations(chunks.where(~text.is_usable(F.col("chunk_text"))).select(*columns)),
-            root,
-            "late_violations",
-            batch_id,
-        )
+        late = late.unionByName(validation.chunk_violations(chunks.where(~text.is_usable(F.col("chunk_text"))).select(*columns)))
+    late = _write(late, root, "late_violations", batch_id)
+    if not late.isEmpty():
         late.write.mode("append").parquet(_folder(root, "violations", batch_id))
         numbered = _withdraw(root, batch_id, numbered, late, moment)
     if lock:
@@ -320,7 +333,7 @@ def _publish(
         fresh = fresh.withColumn("last_used_at", moment).select(*[f.name for f in schemas.WORLDS])
         _write(fresh, root, "worlds", batch_id)
     _write_manifest(spark, root, batch_id, committed_at, lock, worlds is not None)
-    for step in ("staging", "numbered", "numbered_left", "late_violations"):
+    for step in ("staging", "numbered", "numbered_sound", "numbered_left", "source_gate", "late_violations"):
         _delete(spark, _folder(root, step, batch_id))
     return batch_summary(spark, root, batch_id)
 

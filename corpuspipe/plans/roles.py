@@ -82,14 +82,14 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_published(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as rows of ``sources``."""
-    return _source_rows(documents(spark, folder))
+    return as_source_rows(documents(spark, folder))
 
 
 def as_published(docs: DataFrame) -> DataFrame:
-    return _source_rows(docs.where(F.col("source") < FIRST_STAGED))
+    return as_source_rows(docs.where(F.col("source") < FIRST_STAGED))
 
 
-def _source_rows(docs: DataFrame) -> DataFrame:
+def as_source_rows(docs: DataFrame) -> DataFrame:
     texts = ["parsed_text"] if "parsed_text" in docs.columns else []
     return docs.select(
         "world_id",
