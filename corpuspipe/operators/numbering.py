@@ -9,7 +9,7 @@ from corpuspipe.operators.scale import number_in_order, sized
 
 def next_book_numbers(sources: DataFrame) -> DataFrame:
     """Per world the number after the highest one; gaps are never filled."""
-    return sources.groupBy("world_id").agg((F.max("book_number") + 1).cast("int").alias("next_book_number"))
+    return sources.groupBy("world_id").agg((F.max("book_number").cast("long") + 1).alias("next_book_number"))
 
 
 def assign_book_numbers(staged: DataFrame, sources: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def assign_book_numbers(staged: DataFrame, sources: DataFrame) -> DataFrame:
         numbered.join(sized(next_book_numbers(sources)), "world_id", "left")
         .withColumn(
             "book_number",
-            (F.coalesce("next_book_number", F.lit(1)) + F.col("_place") - 1).cast("int"),
+            F.coalesce("next_book_number", F.lit(1)) + F.col("_place") - 1,
         )
         .drop("_place", "next_book_number")
     )

@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 # total rows / HOT_ROWS such keys (10,000 keys for ten billion rows), which bounds the broadcast.
 HOT_ROWS = 1_000_000
 
-# Order numbers are INT, so a key has at most 2**31 / 2**16 = 32,768 blocks of at most 65,536 rows.
-ORDER_BLOCK_BITS = 16
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; set here only for local runs."""
@@ -86,28 +83,27 @@ def with_position(df: DataFrame, *order: Column | str, into: str = "position") -
 def number_in_order(
     df: DataFrame, keys: list[str], order: str, into: str, tie: str | None = None
 ) -> DataFrame:
-    """1-based number of every row inside its key, by an INT order column.
+    """1-based number of every row inside its key, by an order column of any type; LONG.
 
-    Same result as ``row_number`` over the key, but the order range is cut into blocks: each block is
-    numbered alone and starts after the rows of the blocks before it.
+    Same result as ``row_number`` over the key, but the rows are sorted into ranges over all keys, and a key that
+    goes on in further ranges starts there after its rows in the ones before. So neither a hot key nor many equal
+    orders (told apart by ``tie``) come to lie in one task.
     """
-    block = F.shiftright(F.col(order), ORDER_BLOCK_BITS)
-    blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(order, *([tie] if tie else []))
+    placed = in_ranges(df, *keys, order, *([tie] if tie else []))
     before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
+    # One row for each key and range that meet: as many as there are keys and ranges together.
     offsets = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        placed.groupBy(*keys, "_range")
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
+        .drop("_first", "_rows")
     )
     return (
-        blocked.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(into, (F.col("_offset") + F.col("_inside")).cast("int"))
-        .drop("_block", "_inside", "_offset")
+        placed.join(offsets, [*keys, "_range"])
+        .withColumn(into, F.col("_offset") + F.col("_row") + 1)
+        .drop("_range", "_row", "_offset")
     )
 
 

@@ -107,7 +107,7 @@ def _entries(spark, folder) -> DataFrame:
         SELECT * FROM e WHERE source < '{roles.FIRST_STAGED}'
         UNION ALL
         SELECT e.world_id, staging_entry_id, CAST(coalesce(base, 0) - 1 + row_number() OVER (
-                   PARTITION BY e.world_id ORDER BY source_order) AS INTEGER), source
+                   PARTITION BY e.world_id ORDER BY source_order) AS BIGINT), source
         FROM e LEFT JOIN (SELECT world_id, max(source_order) + 1 AS base FROM e
                           WHERE source < '{roles.FIRST_STAGED}' GROUP BY 1) b ON e.world_id = b.world_id
         WHERE source >= '{roles.FIRST_STAGED}'""",
@@ -154,7 +154,7 @@ def stage_replace(spark, folder):
 
 
 _ITEMS = f"""
-    SELECT world_id, CAST(row_number() OVER (PARTITION BY world_id ORDER BY NOT first, doc_id) - 1 AS INTEGER) AS position,
+    SELECT world_id, CAST(row_number() OVER (PARTITION BY world_id ORDER BY NOT first, doc_id) - 1 AS BIGINT) AS position,
            CASE WHEN source = 'src17' THEN 'other' WHEN first THEN 'committed' ELSE 'staged' END AS source_kind,
            CASE WHEN source = 'src16' THEN 'unknown-' || doc_id WHEN first THEN 'doc-' || doc_id ELSE 'entry-' || doc_id END AS source_id
     FROM (SELECT *, source < '{roles.FIRST_STAGED}' AND NOT (source = 'src1' AND world_id = 'fr') AS first FROM ({roles.BY_LANG}))"""
@@ -186,7 +186,7 @@ def reorder_violations(spark, folder):
     docs = roles.documents(spark, folder)
     source = F.col("source")
     first = (source < roles.FIRST_STAGED) & ~((source == "src1") & (F.col("world_id") == "fr"))
-    # Documents are numbered by the pair (not first, document); the pair is folded into one INT.
+    # Documents are numbered by the pair (not first, document); the pair is folded into one number.
     asked = docs.select(
         "world_id",
         "source_order",
@@ -195,7 +195,7 @@ def reorder_violations(spark, folder):
         .when(first, F.concat(F.lit("doc-"), "doc_id"))
         .otherwise(F.concat(F.lit("entry-"), "doc_id"))
         .alias("source_id"),
-        F.when(first, F.col("source_order")).otherwise(F.col("source_order") + (1 << 30)).cast("int").alias("_order"),
+        F.when(first, F.col("source_order")).otherwise(F.col("source_order") + (1 << 50)).alias("_order"),
     )
     items = (
         number_in_order(asked, ["world_id"], "_order", "_place")
@@ -362,13 +362,13 @@ def batch_duplicates(spark, folder):
 @query(
     "repeated_positions",
     f"""WITH RECURSIVE {roles.SPLIT_SQL}
-        SELECT world_id, CAST(CASE WHEN source = 'src15' THEN 1 ELSE source_order + 2 END AS INTEGER) AS book_number,
+        SELECT world_id, CAST(CASE WHEN source = 'src15' THEN 1 ELSE source_order + 2 END AS BIGINT) AS book_number,
                chunk_number, count(*) AS row_count
         FROM cut_chunks GROUP BY ALL HAVING count(*) > 1""",
 )
 def repeated_positions(spark, folder):
     """Chunks whose (book, chunk) position repeats because all of src15 took book number 1."""
-    number = F.when(F.col("source") == "src15", 1).otherwise(F.col("source_order") + 2).cast("int")
+    number = F.when(F.col("source") == "src15", 1).otherwise(F.col("source_order") + 2)
     chunks = roles.split_chunks(spark, folder).select("world_id", number.alias("book_number"), "chunk_number")
     return validation.batch_duplicates(chunks, ["world_id", "book_number", "chunk_number"])
 
@@ -395,13 +395,13 @@ def _new_sources(spark, folder) -> DataFrame:
         F.when(F.col("source") == "src15", F.concat(F.lit("doc-"), step))
         .otherwise(F.concat(F.lit("new-"), "doc_id"))
         .alias("source_id"),
-        (step + 1).cast("int").alias("book_number"),
+        (step + 1).alias("book_number"),
     )
 
 
 _NEW_SOURCES = f"""
     SELECT world_id, CASE WHEN source = 'src15' THEN 'doc-' || (doc_id - 1) ELSE 'new-' || doc_id END AS source_id,
-           CAST(CASE WHEN source IN ('src15', 'src16') THEN doc_id ELSE doc_id + 1 END AS INTEGER) AS book_number
+           CAST(CASE WHEN source IN ('src15', 'src16') THEN doc_id ELSE doc_id + 1 END AS BIGINT) AS book_number
     FROM ({roles.STAGED_SQL})"""
 
 
@@ -444,14 +444,14 @@ def chunk_conflicts(spark, folder):
 
 @query(
     "next_book_number",
-    f"SELECT world_id, CAST(max(book_number) + 1 AS INTEGER) AS next_book_number FROM ({roles.ALL_PUBLISHED_SQL}) GROUP BY 1",
+    f"SELECT world_id, CAST(max(book_number) + 1 AS BIGINT) AS next_book_number FROM ({roles.ALL_PUBLISHED_SQL}) GROUP BY 1",
 )
 def next_book_number(spark, folder):
     return numbering.next_book_numbers(roles.all_published(spark, folder))
 
 
 _NUMBERED = f"""
-    SELECT s.*, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY s.world_id ORDER BY source_order) AS INTEGER) AS book_number,
+    SELECT s.*, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY s.world_id ORDER BY source_order) AS BIGINT) AS book_number,
            sha256(s.world_id || '|' || source_hash) AS source_id,
            'sources/' || sha256(s.world_id || '|' || source_hash) || regexp_replace(lower(regexp_extract(source_path, '(\\.[^./]+)?$', 0)), '^$', '') AS stored_path
     FROM ({STAGED}) s LEFT JOIN (SELECT world_id, max(book_number) AS top FROM ({PUBLISHED}) GROUP BY 1) p
@@ -460,7 +460,7 @@ _NUMBERED = f"""
 
 # All documents as the first batch of their worlds.
 _FIRST_BATCH = f"""
-    SELECT *, CAST(row_number() OVER (PARTITION BY world_id ORDER BY source_order) AS INTEGER) AS book_number,
+    SELECT *, CAST(row_number() OVER (PARTITION BY world_id ORDER BY source_order) AS BIGINT) AS book_number,
            sha256(world_id || '|' || source_hash) AS source_id,
            'sources/' || sha256(world_id || '|' || source_hash) || regexp_replace(lower(regexp_extract(source_path, '(\\.[^./]+)?$', 0)), '^$', '') AS stored_path
     FROM ({TYPED.format(roles.BY_LANG)})"""
@@ -666,7 +666,7 @@ def list_split_chunks(spark, folder):
 
 # The world src1 takes published ids, src2 published numbers, src6 published paths; src3 and src4 repeat ids and numbers in
 # the batch, src5 has blank file names. All other worlds may be appended.
-_FAR = 20_000_000
+_FAR = 1 << 40
 
 
 def _source_batch(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -683,7 +683,7 @@ def _source_batch(spark, folder) -> tuple[DataFrame, DataFrame]:
         F.concat(F.when(world == "src6", "sources/doc-").otherwise("sources/new-"), number).alias("stored_path"),
         names.source_type(F.col("source_path")).alias("source_file_type"),
         "source_hash",
-        F.when(world == "src2", number + 1).when(world == "src4", _FAR + number % 7).otherwise(_FAR + number).cast("int").alias("book_number"),
+        F.when(world == "src2", number + 1).when(world == "src4", _FAR + number % 7).otherwise(_FAR + number).alias("book_number"),
         F.to_timestamp(F.lit(_MOMENT)).alias("committed_at"),
     )
     return published, new
@@ -694,9 +694,9 @@ _SOURCE_BATCH = f"""
            CASE WHEN source = 'src1' THEN 'doc-' ELSE 'new-' END || CASE WHEN source = 'src3' THEN doc_id % 7 ELSE doc_id END AS source_id,
            CASE WHEN source = 'src5' AND doc_id % 2 = 0 THEN ' ' ELSE 'x' END AS original_filename,
            CASE WHEN source = 'src6' THEN 'sources/doc-' ELSE 'sources/new-' END || doc_id AS stored_path,
-           CAST(CASE WHEN source = 'src2' THEN doc_id + 1 WHEN source = 'src4' THEN {_FAR} + doc_id % 7 ELSE {_FAR} + doc_id END AS INTEGER) AS book_number
+           CAST(CASE WHEN source = 'src2' THEN doc_id + 1 WHEN source = 'src4' THEN {_FAR} + doc_id % 7 ELSE {_FAR} + doc_id END AS BIGINT) AS book_number
     FROM documents"""
-_SOURCE_TABLE = "SELECT source AS world_id, 'doc-' || doc_id AS source_id, 'sources/doc-' || doc_id AS stored_path, CAST(doc_id + 1 AS INTEGER) AS book_number FROM documents"
+_SOURCE_TABLE = "SELECT source AS world_id, 'doc-' || doc_id AS source_id, 'sources/doc-' || doc_id AS stored_path, CAST(doc_id + 1 AS BIGINT) AS book_number FROM documents"
 
 
 def _key_rules_sql(new: str, table: str, kinds: list[tuple[str, str, str, str]]) -> str:
@@ -760,7 +760,7 @@ def _chunk_batch(spark, folder) -> tuple[DataFrame, DataFrame]:
 _CHUNK_TABLE = "SELECT world_id, source_id || '-' || chunk_number AS chunk_id, book_number, chunk_number, chunk_text FROM cut_chunks"
 _CHUNK_BATCH = f"""
     SELECT world_id, CASE WHEN world_id = 'en' THEN '' ELSE 'n-' END || source_id || '-' || chunk_number AS chunk_id,
-           CAST(CASE WHEN world_id = 'fr' THEN book_number ELSE book_number + {_FAR} END AS INTEGER) AS book_number,
+           CAST(CASE WHEN world_id = 'fr' THEN book_number ELSE book_number + {_FAR} END AS BIGINT) AS book_number,
            CAST(CASE WHEN world_id = 'de' THEN (chunk_number + 1) // 2 ELSE chunk_number END AS INTEGER) AS chunk_number, chunk_text
     FROM cut_chunks"""
 _CHUNK_BATCH_VIOLATIONS = (
@@ -799,7 +799,7 @@ _FIRST_COPIES = """
     SELECT * EXCLUDE (copy) FROM (SELECT *, row_number() OVER (PARTITION BY world_id, source_hash ORDER BY source_order) AS copy
         FROM ({})) WHERE copy = 1"""
 _NEW_WORLD = f"""
-    SELECT *, CAST(row_number() OVER (PARTITION BY world_id ORDER BY source_order) AS INTEGER) AS book_number,
+    SELECT *, CAST(row_number() OVER (PARTITION BY world_id ORDER BY source_order) AS BIGINT) AS book_number,
            sha256(world_id || '|' || source_hash) AS source_id FROM ({_FIRST_COPIES.format(
                "SELECT * FROM (" + roles.BY_SOURCE + ") WHERE source NOT IN ('src7', 'src8')")})"""
 
@@ -850,7 +850,7 @@ def publish_violations(spark, folder):
 
 
 _APPENDED = f"""
-    SELECT f.*, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY f.world_id ORDER BY source_order) AS INTEGER) AS book_number,
+    SELECT f.*, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY f.world_id ORDER BY source_order) AS BIGINT) AS book_number,
            sha256(f.world_id || '|' || source_hash) AS source_id,
            'sources/' || sha256(f.world_id || '|' || source_hash) || lower(regexp_extract(source_path, '(\\.[^./]+)?$', 0)) AS stored_path
     FROM ({_FIRST_COPIES.format(STAGED)}) f

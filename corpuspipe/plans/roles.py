@@ -36,7 +36,7 @@ def as_sources(docs: DataFrame, world: str) -> DataFrame:
     return docs.select(
         F.col(world).alias("world_id"),
         F.concat(F.lit("entry-"), "doc_id").alias("staging_entry_id"),
-        F.col("doc_id").cast("int").alias("source_order"),
+        F.col("doc_id").alias("source_order"),
         F.concat(F.lit("inbox/"), "source", F.lit("/doc"), "doc_id", ending).alias("source_path"),
         F.col("text").alias("parsed_text"),
         names.source_hash(F.encode("text", "UTF-8")).alias("source_hash"),
@@ -49,7 +49,7 @@ def as_sources(docs: DataFrame, world: str) -> DataFrame:
 
 DOCUMENTS_SQL = """
     SELECT {world} AS world_id, 'entry-' || doc_id AS staging_entry_id,
-           CAST(doc_id AS INTEGER) AS source_order,
+           doc_id AS source_order,
            'inbox/' || source || '/doc' || doc_id || CASE
                WHEN source = 'src7' THEN '.docx' WHEN source = 'src8' THEN ''
                WHEN lang = 'en' THEN '.txt' WHEN lang = 'fr' THEN '.EPUB' ELSE '.pdf' END AS source_path,

@@ -1,10 +1,11 @@
 """Declared schemas of the engine's tables."""
 
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 _TYPES = {
     "STRING": StringType(),
     "INT": IntegerType(),
+    "LONG": LongType(),
     "BOOLEAN": BooleanType(),
     "TIMESTAMP": TimestampType(),
 }
@@ -17,24 +18,24 @@ def _schema(columns: str) -> StructType:
 
 
 STAGED_SOURCES = _schema(
-    "world_id STRING, staging_entry_id STRING, source_order INT, source_path STRING, "
+    "world_id STRING, staging_entry_id STRING, source_order LONG, source_path STRING, "
     "source_file_type STRING, is_valid BOOLEAN, error_message STRING"
 )
 PARSED_SOURCES = _schema(
-    "world_id STRING, attempt_id STRING, staging_entry_id STRING, source_order INT, "
+    "world_id STRING, attempt_id STRING, staging_entry_id STRING, source_order LONG, "
     "source_file_type STRING, parsed_text STRING"
 )
 SPLIT_CHUNKS = _schema(
-    "world_id STRING, attempt_id STRING, staging_entry_id STRING, source_order INT, "
+    "world_id STRING, attempt_id STRING, staging_entry_id STRING, source_order LONG, "
     "source_file_type STRING, chunk_number INT, chunk_text STRING, overlap_text STRING, "
     "character_start_offset INT, character_end_offset INT, splitter_version STRING"
 )
 SOURCES = _schema(
     "world_id STRING, source_id STRING, original_filename STRING, stored_path STRING, "
-    "source_file_type STRING, source_hash STRING, book_number INT, committed_at TIMESTAMP"
+    "source_file_type STRING, source_hash STRING, book_number LONG, committed_at TIMESTAMP"
 )
 CHUNKS = _schema(
-    "world_id STRING, chunk_id STRING, source_id STRING, book_number INT, chunk_number INT, "
+    "world_id STRING, chunk_id STRING, source_id STRING, book_number LONG, chunk_number INT, "
     "chunk_text STRING, overlap_text STRING, character_start_offset INT, character_end_offset INT"
 )
 WORLDS = _schema(

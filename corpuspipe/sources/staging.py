@@ -98,11 +98,11 @@ def prepare_parsed(parsed: DataFrame, attempt_id: Column) -> tuple[DataFrame, Da
 
 def stage_append(entries: DataFrame, added: DataFrame) -> DataFrame:
     """Put new entries after the existing ones of their world; orders stay 0-based."""
-    last = entries.groupBy("world_id").agg((F.max("source_order") + 1).alias("_base"))
+    last = entries.groupBy("world_id").agg((F.max("source_order").cast("long") + 1).alias("_base"))
     placed = (
         number_in_order(added, ["world_id"], "source_order", "_place", tie="staging_entry_id")
         .join(sized(last), "world_id", "left")
-        .withColumn("source_order", (F.coalesce("_base", F.lit(0)) + F.col("_place") - 1).cast("int"))
+        .withColumn("source_order", F.coalesce("_base", F.lit(0)) + F.col("_place") - 1)
         .drop("_place", "_base")
     )
     return entries.unionByName(placed)
@@ -193,6 +193,6 @@ def reordered(entries: DataFrame, items: DataFrame) -> DataFrame:
     return (
         entries.drop("source_order")
         .join(placed.drop("position"), ["world_id", "staging_entry_id"])
-        .withColumn("source_order", (F.col("_place") - 1).cast("int"))
+        .withColumn("source_order", F.col("_place") - 1)
         .drop("_place")
     )

@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuspipe.operators import dedup, scale
 from corpuspipe.operators.numbering import assign_book_numbers
 from corpuspipe.operators.scale import in_ranges, join_counted, number_in_order, with_position
+from corpuspipe.sources import staging
 
 
 def skewed(spark, count=2000, seed=1):
@@ -20,8 +22,14 @@ def skewed(spark, count=2000, seed=1):
     return rows, spark.createDataFrame(rows, "world_id string, staging_entry_id string, source_order int, source_hash string")
 
 
-def test_number_in_order_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(scale, "ORDER_BLOCK_BITS", 4)
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_number_in_order_over_ranges(spark, many_ranges):
     rows, frame = skewed(spark)
     got = {r.staging_entry_id: r.n for r in number_in_order(frame, ["world_id"], "source_order", "n").collect()}
     expected, seen = {}, {}
@@ -31,6 +39,19 @@ def test_number_in_order_over_blocks(spark, monkeypatch):
     assert got == expected
 
 
+def test_numbers_beyond_32_bits_and_equal_orders(spark, many_ranges):
+    rows = [("far", f"e{k:05d}", (1 << 40) - k * (1 << 22)) for k in range(900)] + [("same", f"e{k:05d}", 5) for k in range(3_000)]
+    frame = spark.createDataFrame(rows, "world_id string, staging_entry_id string, source_order long").repartition(6)
+    old = spark.createDataFrame([("far", (1 << 33))], "world_id string, book_number long")
+    got = {(r.world_id, r.staging_entry_id): r.book_number for r in assign_book_numbers(frame, old).collect()}
+    assert got == {
+        **{("far", f"e{k:05d}"): (1 << 33) + 900 - k for k in range(900)},
+        **{("same", f"e{k:05d}"): k + 1 for k in range(3_000)},
+    }
+    added = staging.stage_append(frame.where("world_id = 'far'").limit(0), frame).collect()
+    assert {r.source_order for r in added if r.world_id == "same"} == set(range(3_000))
+
+
 def test_positions_follow_the_total_order(spark):
     rows, frame = skewed(spark)
     got = {r.staging_entry_id: r.position for r in with_position(frame, F.desc("world_id"), "source_order").collect()}
