@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe import schemas
 from corpuspipe.functions import names
-from corpuspipe.operators import append, dedup, numbering, records, validation
+from corpuspipe.operators import append, dedup, numbering, part_chunking, records, validation
 from corpuspipe.operators.scale import number_in_order, pinned, sized, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
@@ -623,6 +623,21 @@ def split_totals(spark, folder):
     )
 
 
+@query(
+    "chunks_of_parts",
+    f"""WITH RECURSIVE {roles.SPLIT_SQL}
+        SELECT world_id, staging_entry_id, CAST(chunk_number AS BIGINT) AS chunk_number, chunk_text, overlap_text,
+               CAST(character_start_offset AS BIGINT) AS character_start_offset, CAST(character_end_offset AS BIGINT) AS character_end_offset
+        FROM cut_chunks""",
+)
+def chunks_of_parts(spark, folder):
+    """The chunks of all documents, each of which arrives as parts of 900 characters, like a source too large for one value."""
+    docs = roles.documents(spark, folder).select("world_id", "staging_entry_id", "parsed_text")
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("parsed_text") - 1, F.lit(0)), F.lit(900))
+    parts = docs.select("*", F.explode(starts).alias("part")).withColumn("parsed_text", F.expr("substring(parsed_text, part + 1, 900)"))
+    return part_chunking.chunks_of_parts(parts, ["world_id", "staging_entry_id"], roles.SMALL, segment_chars=1_500)
+
+
 # Listings of sources and chunks
 
 
