@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.llm import grams
 from corpuspipe.llm.blocks import ASKED, SEVERAL, known_with_another_mark, messages, owners_of, pack_blocks, shares
-from corpuspipe.llm.common import boxed, discard, join_hot, keep_columns, store, unboxed
+from corpuspipe.llm.common import batches_of, boxed, discard, join_hot, keep_columns, store, unboxed
 from corpuspipe.llm.components import components
 from corpuspipe.llm.packing import pack, pack_sorted, unpack_rows, unpack_sorted
 
@@ -58,7 +58,10 @@ CHECK_WORDS = 16
 # Words of the long sketch for each so many n-grams; a set no larger than the short sketch is good for has none.
 LONG_WORDS = 32
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>, long_sketch binary, shingles binary"
+# Rows of a batch in which values are compared: a value may have some hundred kilobytes.
+COMPARED_ROWS = 256
+
+SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>, long_sketch binary, block string, place int"
 
 
 class Bands:
@@ -164,9 +167,8 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _distinct_keys(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct_keys(sets: Sets, keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a block in order, the mark of the set that has each (or SEVERAL), and where it is SEVERAL."""
-    keys, texts = sets.keys(bands)
     mark = (sets.fingerprints()[0][texts] >> np.uint64(32)) | np.uint64(1)
     order = np.lexsort((mark, keys))
     keys, mark = keys[order], mark[order]
@@ -176,14 +178,14 @@ def _distinct_keys(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np
     return keys[first], np.where(several, SEVERAL, mark[first]), several
 
 
-def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
-    """Stored rows of ``SETS`` and ``row``: keys, sketch and set only of documents that share a key."""
-    blocks = pack_blocks(read, "jaccard-blocks")
+def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
+    """Stored rows of ``SETS`` and ``row``: keys and sketches only of documents that share a key, and where each text is."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in zip(*batch.columns):
-                values, marks, _ = _distinct_keys(Sets(unpack_rows(rows.as_py()).column(1), n), bands)
+                sets = Sets(unpack_rows(rows.as_py()).column(1), n)
+                values, marks, _ = _distinct_keys(sets, *sets.keys(bands))
                 yield messages(
                     [(owner, name.as_py(), pack_sorted(values[a:b]), pack(marks[a:b])) for owner, a, b in shares(values, 64, owners)],
                     ASKED,
@@ -191,12 +193,12 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, lists in zip(*batch.columns):
+            for name, packed, lists in zip(*batch.columns):
                 rows = unpack_rows(packed.as_py())
                 sets = Sets(rows.column(1), n)
                 keys, texts = sets.keys(bands)
                 f1, f2 = sets.fingerprints()
-                values, _, several = _distinct_keys(sets, bands)
+                values, _, several = _distinct_keys(sets, keys, texts)
                 known = np.unique(np.concatenate([values[several], *(unpack_sorted(data) for data in lists.as_py() or ())]))
                 shared: dict[int, list[int]] = {}
                 if len(known):
@@ -209,24 +211,48 @@ def documents_with_keys(read: DataFrame, n: int, bands: Bands, owners: int) -> D
                 own = [signed[shared[t]].tolist() if t in shared else None for t in range(size)]
                 sketches = [sets.check_sketch(t).view(np.int64) if t in shared else None for t in range(size)]
                 longer = [sets.long_sketch(t) if t in shared else None for t in range(size)]
-                hashes = [sets.hashes[sets.bounds[t] : sets.bounds[t + 1]].tobytes() if t in shared else None for t in range(size)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), pa.array(sets.sizes), pa.array(_signed(f1)), pa.array(_signed(f2)),
                         pa.array(own, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
-                        pa.array(longer, pa.binary()), pa.array(hashes, pa.binary()),
+                        pa.array(longer, pa.binary()), pa.array([name.as_py()] * size), pa.array(np.arange(size, dtype=np.int32)),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "long_sketch", "shingles"],
+                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "long_sketch", "block", "place"],
                 )
 
     hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
-    joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("rows", "hits")
+    joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("block", "rows", "hits")
     told = joined.mapInArrow(tell, SETS).withColumn("row", F.monotonically_increasing_id())
     told = store(told, "jaccard-sets")
-    discard(blocks, hits)
+    discard(hits)
     return told
 
 
+def sets_of(blocks: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``row, n_shingles, shingles`` of the stored ``rows``, made from their texts again; a stored table.
+
+    The list of rows has one short row for each block, so blocks are not moved while the planner can broadcast it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, wanted in zip(*batch.columns):
+                wanted = wanted.as_py()
+                texts = unpack_rows(packed.as_py()).column(1).take(pa.array([one["place"] for one in wanted], pa.int32()))
+                made = Sets(texts, n)
+                values = [made.hashes[low:high].tobytes() for low, high in zip(made.bounds[:-1].tolist(), made.bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([one["row"] for one in wanted], pa.int64()), pa.array(made.sizes), pa.array(values, pa.binary())],
+                    names=["row", "n_shingles", "shingles"],
+                )
+
+    places = sets.select("row", "block", "place").join(rows, "row", "left_semi")
+    listed = store(places.groupBy("block").agg(F.collect_list(F.struct("place", "row")).alias("wanted")), "jaccard-places")
+    made = store(blocks.join(listed, "block").select("rows", "wanted").mapInArrow(run, "row long, n_shingles long, shingles binary"), "jaccard-needed")
+    discard(listed)
+    return made
+
+
 def _difference_bound(a, b, bands: Bands):
     """The largest symmetric difference that linked sets of these sizes have."""
     return F.floor((a + b) * F.lit(bands.den - bands.num) / F.lit(bands.den + bands.num))
@@ -272,8 +298,8 @@ def _sets_link(num: int, den: int):
     return test
 
 
-def compared(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
-    """The stored pairs ``x, y`` whose values of ``column`` pass the test; a stored table.
+def compared(pairs: DataFrame, fetch, column: str, test) -> DataFrame:
+    """The stored pairs ``x, y`` whose values of ``column``, which ``fetch`` gets for stored rows, pass the test; a stored table.
 
     The pairs of an ``x`` are cut into slices. Its value is sent once to each slice, in front of those it is compared with.
     """
@@ -292,7 +318,7 @@ def compared(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
             yield pa.RecordBatch.from_arrays([xs.take(at), ys.take(at)], names=["x", "y"])
 
     rows = store(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct(), "jaccard-wanted")
-    needed = store(sets.select("row", "n_shingles", column).join(rows, "row", "left_semi"), "jaccard-needed")
+    needed = fetch(rows)
     per_x = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("rows"))
     slices = store(per_x.withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("int")), "jaccard-slices")
     every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
@@ -300,15 +326,20 @@ def compared(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     after = join_hot(pairs, slices, ["x"], "rows").withColumn("slice", F.pmod(F.xxhash64("y"), F.col("slices")).cast("int"))
     after = after.join(needed.withColumnRenamed("row", "y"), "y").select("x", "slice", "y", "n_shingles", column)
     together = first.unionByName(after).repartition("x", "slice").sortWithinPartitions("x", "slice", F.asc_nulls_first("y"))
-    passed = store(together.mapInArrow(run, "x long, y long"), "jaccard-passed")
+    with batches_of(pairs.sparkSession, COMPARED_ROWS):
+        passed = store(together.mapInArrow(run, "x long, y long"), "jaccard-passed")
     discard(rows, needed, slices)
     return passed
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The stored pairs ``x, y`` whose sets link; a stored table. Sets are sent only where their long sketches allow it."""
-    allowed = compared(pairs, sets, "long_sketch", _sketches_allow(bands.num, bands.den))
-    links = compared(allowed, sets, "shingles", _sets_link(bands.num, bands.den))
+def verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The stored pairs ``x, y`` whose sets link; a stored table. Sets are made and sent only where their long sketches allow it."""
+
+    def sketches(rows: DataFrame) -> DataFrame:
+        return store(sets.select("row", "n_shingles", "long_sketch").join(rows, "row", "left_semi"), "jaccard-needed")
+
+    allowed = compared(pairs, sketches, "long_sketch", _sketches_allow(bands.num, bands.den))
+    links = compared(allowed, lambda rows: sets_of(blocks, sets, rows, n), "shingles", _sets_link(bands.num, bands.den))
     discard(allowed)
     return links
 
@@ -322,7 +353,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     read = keep_columns(docs, doc_id="long", text="string")
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bands = Bands(num, den)
-    told = documents_with_keys(read, n, bands, owners_of(spark, size))
+    blocks = pack_blocks(read, "jaccard-blocks")
+    told = documents_with_keys(blocks, n, bands, owners_of(spark, size))
     narrow = told.select("doc_id", "n_shingles", "f1", "f2", "row")
     classes = store(
         narrow.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("row"), F.min("doc_id").alias("class_id")),
@@ -349,7 +381,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .select("x", (F.col("low") + F.col("high") - F.col("x")).alias("y"))
     )
     near = near_pairs(star, sets, bands)
-    links = verified(near, sets, bands)
+    links = verified(near, sets, blocks, n, bands)
     part_of = components(links)
     discard(centres, near, links)
 
@@ -382,8 +414,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         .distinct(),
         "jaccard-across",
     )
-    more = verified(across, sets, bands)
-    discard(open_members, across)
+    more = verified(across, sets, blocks, n, bands)
+    discard(open_members, across, blocks)
     label = {side: part_of.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")) for side in ("x", "y")}
     merged = components(
         more.join(label["x"], "x", "left")
