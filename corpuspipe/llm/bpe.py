@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuspipe.llm.grams import groups
+from corpuspipe.llm.packing import release_memory
 
 # Characters of a text, bytes of a pretoken and ids of a list that are worked on without halving.
 LEAF_CHARS = 32_768
@@ -45,6 +46,9 @@ HEAP_BYTES = 128
 CACHED = 200_000
 CACHED_LENGTH = 40
 
+# Bytes of text whose numbers and ids are held at a time.
+CODED_BYTES = 1 << 20
+
 NO_MERGE = 1 << 62
 
 
@@ -327,9 +331,10 @@ def _vocabulary(path: str) -> str:
 
 def _coded(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...], with_bytes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         codec = _codec(_vocabulary(vocabulary), pattern)
         for batch in batches:
-            for group in groups(batch, len(keep)):
+            for group in groups(batch, len(keep), CODED_BYTES):
                 flat, offsets = codec.encode_all(text.as_py() or "" for text in group.column(len(keep)))
                 columns = [*group.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=pa.int32()))]
                 if with_bytes:

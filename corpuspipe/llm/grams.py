@@ -183,13 +183,13 @@ def gram_starts(bounds: np.ndarray, n: int) -> np.ndarray:
     return inside
 
 
-def groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts together have about GROUP_BYTES."""
+def groups(batch: pa.RecordBatch, column: int, size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts together have about ``size`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, before + GROUP_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(at, end - at)
         at = end
