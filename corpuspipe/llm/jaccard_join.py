@@ -51,11 +51,16 @@ SPARE = (2, 3)
 # Pairs of a centre that one slice of them holds.
 SLICE = 1_000
 
-# Bits of a part of a band's sketch, and words of the short sketch that candidates are checked with.
+# Bits of a part of a band's sketch.
 PART_BITS = 1 << 12
+
+# Words of the short sketch that candidates are checked with: the few do for sets of up to SMALL_SET n-grams, since unrelated
+# sets of that size differ in more of their bits than links may. A short sketch goes with every row of a key.
+FEW_WORDS = 4
 CHECK_WORDS = 16
+SMALL_SET = 384
 
-# Words of the long sketch for each so many n-grams; a set no larger than the short sketch is good for has none.
+# N-grams for each word of the long sketch; a set whose short sketch is as long has none.
 LONG_WORDS = 32
 
 # Rows of a batch in which values are compared: a value may have some hundred kilobytes.
@@ -151,16 +156,22 @@ class Sets:
             texts.append(owner[strong])
         return np.concatenate(keys), np.concatenate(texts)
 
-    def check_sketch(self, text: int, words: int = CHECK_WORDS) -> np.ndarray:
+    def sketch(self, text: int, words: int) -> np.ndarray:
         """A parity sketch of so many words, a power of two. Its halves' xor is the sketch of half the length."""
         own = self.hashes[self.bounds[text] : self.bounds[text + 1]]
         bits = np.bincount((grams.mixed(own ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
         return np.packbits((bits & 1).astype(np.uint8)).view(np.uint64)
 
+    def check_words(self, text: int) -> int:
+        return FEW_WORDS if self.sizes[text] <= SMALL_SET else CHECK_WORDS
+
+    def check_sketch(self, text: int) -> np.ndarray:
+        return self.sketch(text, self.check_words(text))
+
     def long_sketch(self, text: int) -> bytes:
         """A sketch that grows with the set; empty where the short one will do."""
         words = 1 << max(0, int(self.sizes[text]) // LONG_WORDS - 1).bit_length()
-        return self.check_sketch(text, words).tobytes() if words > CHECK_WORDS else b""
+        return self.sketch(text, words).tobytes() if words > self.check_words(text) else b""
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -258,11 +269,30 @@ def _difference_bound(a, b, bands: Bands):
     return F.floor((a + b) * F.lit(bands.den - bands.num) / F.lit(bands.den + bands.num))
 
 
+def _distance():
+    """Bits in which the check sketches of ``a`` and ``b`` differ; where one is the shorter, the other is folded to its length."""
+    a, b = F.col("a.sketch"), F.col("b.sketch")
+
+    def differing(one, other, words: int):
+        return reduce(lambda x, y: x + y, (F.bit_count(one(k).bitwiseXOR(other(k))) for k in range(words)))
+
+    def word(sketch):
+        return lambda k: F.get(sketch, F.lit(k))
+
+    def folded(sketch):
+        whole = F.size(sketch) == CHECK_WORDS
+        return lambda k: F.when(
+            whole, reduce(lambda x, y: x.bitwiseXOR(y), (F.get(sketch, F.lit(at)) for at in range(k, CHECK_WORDS, FEW_WORDS)))
+        ).otherwise(F.get(sketch, F.lit(k)))
+
+    return F.when((F.size(a) == CHECK_WORDS) & (F.size(b) == CHECK_WORDS), differing(word(a), word(b), CHECK_WORDS)).otherwise(
+        differing(folded(a), folded(b), FEW_WORDS)
+    )
+
+
 def _near(bands: Bands):
     """Whether ``a`` and ``b`` can be linked, by their check sketches and sizes."""
-    distance = reduce(
-        lambda x, y: x + y, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(CHECK_WORDS))
-    )
+    distance = _distance()
     a, b = F.col("a.n_shingles"), F.col("b.n_shingles")
     return (F.least(a, b) * bands.den >= F.greatest(a, b) * bands.num) & (distance <= _difference_bound(a, b, bands))
 
@@ -364,13 +394,11 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     owned = sets.select("row", "keys").join(classes.select("row"), "row", "left_semi")
     members = store(owned.select(F.explode("keys").alias("key"), "row"), "jaccard-members")
 
-    # First round: a star in every key.
-    draw = F.xxhash64("key", "row")
+    # First round: a star in every key. A row's draw is its number under the key's mask, which gives the number back.
+    mask = F.xxhash64("key")
+    drawn = members.groupBy("key").agg(F.min(F.col("row").bitwiseXOR(mask)).alias("low"), F.max(F.col("row").bitwiseXOR(mask)).alias("high"))
     centres = store(
-        members.groupBy("key")
-        .agg(F.min(F.struct(draw.alias("draw"), "row")).alias("centre"), F.min("row").alias("low"), F.max("row").alias("high"))
-        .where("low < high")
-        .select("key", F.col("centre.row").alias("centre")),
+        drawn.where("low < high").select("key", F.col("low").bitwiseXOR(mask).alias("centre")),
         "jaccard-centres",
     )
     star = (
