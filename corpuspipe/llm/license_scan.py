@@ -1,13 +1,14 @@
 """License scans: phrases, and short notices with a bounded number of edits.
 
-A text is lower-cased (A-Z) and cut into words; everything is searched on the words' hashes in numpy and
-confirmed on the words themselves. A notice may be found with up to ``k`` character errors. It is cut into
+A text is lower-cased (A-Z) and cut into words; phrases are found by the words' 64-bit hashes in numpy, and so are the
+seeds of notices, which are confirmed on the words themselves. A notice may be found with up to ``k`` character errors. It is cut into
 ``2k + 1`` runs of words: one error touches at most two neighbouring words, so one run is left exact. Runs found
 in a text are the seeds. Around a seed all but ``2k`` words of the notice must be there, for the same reason; then
 the ``regex`` library looks for the notice with at most ``k`` errors and gives the errors and the span.
 
 Defined results: a null text is empty: no words, no labels, score 0. Places that overlap all count in the
-base search. Of overlapping notices of one label the one with fewest errors is reported. Repeated rows give
+base search. Of overlapping notices of one label the one with fewest errors is reported, and none that lies inside a longer
+notice of another label. Repeated rows give
 repeated rows; other columns are ignored.
 """
 
@@ -40,6 +41,26 @@ NOTICES = (
     ("licensed under a creative commons attribution", "cc-by"),
     ("subject to the terms of the mozilla public license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib"),
+    ("use of this source code is governed by a bsd style license", "bsd"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("licensed under the gnu lesser general public license", "lgpl"),
+    ("it under the terms of the gnu lesser general public license", "lgpl"),
+    ("licensed under the gnu affero general public license", "agpl"),
+    ("it under the terms of the gnu affero general public license", "agpl"),
+    ("it under the terms of the gnu general public license as published by", "gpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("subject to the terms and conditions of the common development and distribution license", "cddl"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    ("this font software is licensed under the sil open font license", "ofl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights", "cc0"),
+    ("licensed under a creative commons attribution sharealike", "cc-by-sa"),
+    ("licensed under a creative commons attribution noncommercial", "cc-by-nc"),
+    ("you can redistribute it and or modify it under the same terms as perl itself", "artistic"),
+    ("psf hereby grants licensee a nonexclusive royalty free world wide license", "psf"),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose without fee", "postgresql"),
 )
 
 FOLD = str.maketrans(UPPER, LOWER)
@@ -127,6 +148,18 @@ class Scanner:
         return sorted(places)
 
 
+def outermost(hits: list[dict]) -> list[dict]:
+    """Hits in order of place, without those that lie inside a longer one: its notice says more."""
+    kept, reach, widest = [], -1, None
+    for hit in sorted(hits, key=lambda h: (h["first_word"], -h["last_word"], h["errors"], h["notice"])):
+        span = hit["first_word"], hit["last_word"]
+        if span[1] > reach or span == widest:
+            kept.append(hit)
+        if span[1] > reach:
+            reach, widest = span[1], span
+    return kept
+
+
 def _scan(group: pa.RecordBatch, scanner: Scanner) -> pa.RecordBatch:
     found = grams.words(group.column(1), LETTERS, places=True)
     bounds, starts, ends = found.bounds, found.starts, found.ends
@@ -159,11 +192,15 @@ def _scan(group: pa.RecordBatch, scanner: Scanner) -> pa.RecordBatch:
         }
         best.setdefault((text, each.label), []).append(hit)
     for (text, _), hits in best.items():
-        taken: list[dict] = []
+        # Words of the text that a better hit has: a hit asks for its own words only, however many hits there are.
+        taken, used = [], bytearray(int(bounds[text + 1] - bounds[text]))
         for hit in sorted(hits, key=lambda h: (h["errors"], h["first_word"] - h["last_word"], h["first_word"], h["notice"])):
-            if all(hit["last_word"] < other["first_word"] or hit["first_word"] > other["last_word"] for other in taken):
+            first, after = hit["first_word"], hit["last_word"] + 1
+            if used.find(1, first, after) < 0:
+                used[first:after] = b"\x01" * (after - first)
                 taken.append(hit)
-        notices[text] += sorted(taken, key=lambda h: h["first_word"])
+        notices[text] += taken
+    notices = [outermost(hits) for hits in notices]
     return pa.RecordBatch.from_arrays(
         [
             group.column(0),
