@@ -7,7 +7,8 @@ the item there, word by word, by Smith-Waterman. So no copy at the level is pass
 anyway propose few pairs. The score is the share of the best score possible, so copies with edits or gaps score high.
 
 The test items are the stated query set. They are taken in passes of at most ``words_per_pass`` words, which
-bounds what tasks are given; a larger set takes more passes over the texts, not more memory. Texts never move.
+bounds what tasks are given; a larger set takes more passes over the texts, not more memory. Texts never move. An item of
+any length is aligned in memory of the square root of its length, times the stretch of text.
 
 Defined results: null and empty texts hold nothing. An item with fewer than ``n`` words is found nowhere. Repeated
 rows, of documents or items, are reported each. Of several places of an item in a document the best is reported, the
@@ -16,6 +17,7 @@ first among equals. ``seeds`` is the number of seeds found there. Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,30 +167,50 @@ def choose_seeds(items: Items, docs_with: np.ndarray) -> Seeds:
     return Seeds(items.values[numbers], np.append(first, len(kept)), item[kept], place[kept], hits - left_out)
 
 
+def _next_row(row: np.ndarray, word: np.uint64, text: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The row of one more word of the item; a gap along the row is a running maximum."""
+    below = np.zeros_like(row)
+    np.maximum(row[1:] + GAP, row[:-1] + np.where(text == word, MATCH, MISMATCH).astype(row.dtype), out=below[1:])
+    np.maximum(below, 0, out=below)
+    return np.maximum.accumulate(below - slope) + slope
+
+
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int, int]:
     """Best local alignment of two word sequences: score, matches, and the first and last word of text and item.
 
-    Row by row in numpy: a gap along the row is a running maximum.
+    Only every k-th row is kept, k the root of the item's length; the way back makes the rows between two of them again. So an
+    item of m words takes about 2 * sqrt(m) rows at once instead of m.
     """
     m, n = len(item), len(text)
-    slope = np.arange(n + 1, dtype=np.int64) * GAP
-    table = np.zeros((m + 1, n + 1), dtype=np.int64)
-    same = item[:, None] == text[None, :]
-    for i in range(1, m + 1):
-        row = np.maximum(table[i - 1, 1:] + GAP, table[i - 1, :-1] + np.where(same[i - 1], MATCH, MISMATCH))
-        table[i, 1:] = np.maximum(row, 0)
-        table[i] = np.maximum.accumulate(table[i] - slope) + slope
-    end = int(table.argmax())
-    i, j = divmod(end, n + 1)
-    score, last_item, last_text, matches = int(table[i, j]), i - 1, j - 1, 0
-    while table[i, j] > 0:
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
-            matches += bool(same[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
+    slope = np.arange(n + 1, dtype=np.int32) * np.int32(GAP)
+    every = math.isqrt(m) + 1
+    row = np.zeros(n + 1, dtype=np.int32)
+    kept = [row]
+    score = i = j = 0
+    for number in range(1, m + 1):
+        row = _next_row(row, item[number - 1], text, slope)
+        if number % every == 0:
+            kept.append(row)
+        top = int(row.argmax())
+        if row[top] > score:
+            score, i, j = int(row[top]), number, top
+    last_item, last_text, matches = i - 1, j - 1, 0
+    value = score
+    while value > 0:
+        base = (i - 1) // every * every
+        rows = [kept[base // every]]
+        for number in range(base, i):
+            rows.append(_next_row(rows[-1], item[number], text, slope))
+        while value > 0 and i > base:
+            above, same = rows[i - base - 1], item[i - 1] == text[j - 1]
+            if value == above[j - 1] + (MATCH if same else MISMATCH):
+                matches += bool(same)
+                i, j = i - 1, j - 1
+            elif value == above[j] + GAP:
+                i -= 1
+            else:
+                j -= 1
+            value = int(rows[i - base][j])
     return score, matches, j, last_text, i, last_item
 
 

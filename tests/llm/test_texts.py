@@ -6,6 +6,8 @@ import hashlib
 import json
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuspipe.llm import bpe, decontaminate, license_scan, main_text, quality, url_filter, warc
+from corpuspipe.llm import bpe, decontaminate, license_scan, main_text, quality, queries, url_filter, warc
+
+SMALL = "/root/testdata/sf0.001"
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -209,6 +213,61 @@ def test_notice_found_with_every_single_edit():
             assert any(hit["label"] == label and hit["errors"] <= 1 for hit in hits), (text, hits)
 
 
+def test_many_notices_in_one_text():
+    """The time of a text grows with its notices, not with their square; the longer notice stands for one inside it."""
+    import pyarrow as pa
+
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    text = "licensed under a creative commons attribution sharealike then released under the mit license now " * 10_000
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    began = time.monotonic()
+    hits = license_scan._scan(batch, scanner).column(3).to_pylist()[0]
+    assert time.monotonic() - began < 60
+    assert [hit["label"] for hit in hits] == ["cc-by-sa", "mit"] * 10_000
+    assert [hit["first_word"] for hit in hits] == [14 * k + at for k in range(10_000) for at in (0, 8)]
+
+
+def test_licence_query_against_brute_force(spark, tmp_path):
+    """The query's own columns, on documents of the test table and planted notices with errors."""
+    import regex
+
+    rnd = random.Random(6)
+    rows = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect() if len(r.text) < 1_500]
+    rows = [(r.doc_id, r.text) for r in rows]
+    for number, (text, _) in enumerate(license_scan.NOTICES):
+        broken = list(text)
+        for _ in range(rnd.randrange(4)):
+            broken[rnd.randrange(len(broken))] = rnd.choice("qxz")
+        rows.append((100_000 + number, f"So it was. {''.join(broken).title()}! And then on"))
+    rows += [(200_000, None), (200_001, "")]
+    documents(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    shapes = [license_scan.notice(*each) for each in license_scan.NOTICES]
+    patterns = [[regex.compile(rf"\b(?:{' '.join(n.words)}){{e<={k}}}\b") for k in range(n.errors + 1)] for n in shapes]
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        own = word.findall((text or "").translate(FOLD))
+        places = [
+            (k, label)
+            for phrase, label in license_scan.PHRASES
+            for k in range(len(own))
+            if own[k : k + len(phrase.split())] == phrase.split()
+        ]
+        joined, errors = " ".join(own), {}
+        for number, each in enumerate(patterns):
+            if each[-1].search(joined):
+                errors[number] = next(k for k, pattern in enumerate(each) if pattern.search(joined))
+        got, base = found[doc_id], {label for _, label in places}
+        assert (got.n_words, got.n_base, got.base_labels) == (len(own), len(places), ",".join(sorted(base)))
+        assert (got.first_word, got.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        inside = {"cc-by"} if {"cc-by-sa", "cc-by-nc"} & {shapes[n].label for n in errors} else set()
+        assert got.labels == ",".join(sorted(base | ({shapes[n].label for n in errors} - inside))), (doc_id, errors)
+        if places or len(errors) < 2:
+            best = max([1 - k / len(license_scan.NOTICES[n][0]) for n, k in errors.items()], default=0.0)
+            assert got.score == pytest.approx(1.0 if places else best)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if(a<b){"</p>"}</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="page with-sidebar"><article><h1>Title &amp; more</h1><p>First <b>bold</b>face<br>next<p>Second&nbsp;part &lt;tag&gt;
@@ -277,6 +336,43 @@ def test_alignment_matches_the_plain_table():
             assert item[item_first] == text[first] and item[item_last] == text[last] and 0 < matches <= last - first + 1
 
 
+def whole_table(item, text):
+    """Alignment with all rows kept: the reference for the one that keeps few."""
+    m, n = len(item), len(text)
+    slope, table = -np.arange(n + 1), np.zeros((m + 1, n + 1), dtype=np.int64)
+    same = item[:, None] == text[None, :]
+    for i in range(1, m + 1):
+        table[i, 1:] = np.maximum(np.maximum(table[i - 1, 1:] - 1, table[i - 1, :-1] + np.where(same[i - 1], 2, -1)), 0)
+        table[i] = np.maximum.accumulate(table[i] - slope) + slope
+    i, j = divmod(int(table.argmax()), n + 1)
+    score, ends, matches = int(table[i, j]), (j - 1, i - 1), 0
+    while table[i, j] > 0:
+        if table[i, j] == table[i - 1, j - 1] + (2 if same[i - 1, j - 1] else -1):
+            matches, i, j = matches + bool(same[i - 1, j - 1]), i - 1, j - 1
+        elif table[i, j] == table[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return score, matches, j, ends[0], i, ends[1]
+
+
+def test_alignment_in_little_memory_is_the_whole_table():
+    pick = np.random.default_rng(5)
+    for _ in range(300):
+        item, text = (pick.integers(0, 5, pick.integers(1, 60)).astype(np.uint64) for _ in range(2))
+        assert decontaminate.smith_waterman(item, text) == whole_table(item, text)
+    item = pick.integers(0, 10**6, 6_000).astype(np.uint64)
+    copy = np.delete(item, pick.integers(0, 6_000, 300))
+    copy[pick.integers(0, len(copy), 300)] = 7
+    text = np.concatenate([pick.integers(0, 10**6, 5_000).astype(np.uint64), copy, pick.integers(0, 10**6, 5_000).astype(np.uint64)])
+    tracemalloc.start()
+    found = decontaminate.smith_waterman(item, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # the whole table has 6,000 x 16,000 numbers
+    assert found[0] > 2 * 6_000 * 0.8 and abs(found[2] - 5_000) < 10
+
+
 def test_leaks_are_found_and_clean_texts_are_not(spark):
     rnd = random.Random(9)
     vocabulary = [f"v{rnd.randrange(10**5)}" for _ in range(3_000)]
