@@ -335,10 +335,10 @@ def upsert_assets(assets: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
-def register_assets(assets: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Add uploaded files (``upload_id, asset_type, original_filename, file_hash, full_font_name``)."""
+def uploaded_assets(uploads: DataFrame) -> DataFrame:
+    """The rows uploaded files get (``upload_id, asset_type, original_filename, file_hash, full_font_name``)."""
     folder = F.when(F.col("asset_type") == "image", "images").otherwise("fonts")
-    rows = uploads.select(
+    return uploads.select(
         F.col("upload_id").alias("asset_id"),
         "asset_type",
         names.default_display_name(F.col("asset_type"), F.col("original_filename")).alias("display_name"),
@@ -350,7 +350,11 @@ def register_assets(assets: DataFrame, uploads: DataFrame) -> DataFrame:
         "full_font_name",
         "original_filename",
     )
-    return assets.unionByName(rows.join(assets.select("asset_id"), "asset_id", "left_anti"))
+
+
+def register_assets(assets: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Add uploaded files whose id is new; ``uploads.upload_outcomes`` is the gate before it and names the others."""
+    return assets.unionByName(uploaded_assets(uploads).join(assets.select("asset_id"), "asset_id", "left_anti"))
 
 
 def fallback_asset(asset_type: Column) -> Column:

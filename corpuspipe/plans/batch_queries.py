@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe import schemas
 from corpuspipe.functions import names
 from corpuspipe.operators import append, dedup, numbering, part_chunking, records, validation
-from corpuspipe.operators.scale import number_in_order, pinned, sized, with_position
+from corpuspipe.operators.scale import checkpoint_folder, number_in_order, pinned, sized, with_position
 from corpuspipe.plans import publish, roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import staging
@@ -848,6 +851,48 @@ def publish_new_world(spark, folder):
     return publish.plan_chunks(spread(parsed, "staging_entry_id"), numbered, settings)
 
 
+def _published(spark, folder):
+    """A first batch of all documents, published as a job would: one world per ``source``, duplicates skipped."""
+    root = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    parsed = roles.documents(spark, folder, "source").select(
+        "world_id", "staging_entry_id", "source_order", "source_path",
+        names.source_type(F.col("source_path")).alias("source_file_type"), "source_hash", "parsed_text",
+    )
+    moment = datetime.datetime.fromisoformat(_MOMENT)
+    counts = publish.publish_new_worlds(
+        spark, root, "first", parsed, roles.settings(spark, folder), moment, on_duplicate="skip"
+    )
+    return root, counts
+
+
+@query(
+    "publish_counts",
+    "WITH RECURSIVE "
+    + roles.chunks_sql(
+        f"""SELECT d.world_id, d.source_id, d.book_number, d.parsed_text, s.chunk_size, s.max_lookback_size, s.overlap_size
+            FROM ({_NEW_WORLD}) d JOIN ({roles.SETTINGS_SQL}) s ON d.world_id = s.world_id""",
+        "world_id, source_id, book_number",
+        "chunk_size",
+        "max_lookback_size",
+        "overlap_size",
+    )
+    + " SELECT world_id, count(DISTINCT source_id) AS source_count, count(*) AS chunk_count FROM cut_chunks GROUP BY world_id",
+)
+def publish_counts(spark, folder):
+    """Sources and chunks of each world of a published batch."""
+    return _published(spark, folder)[1]
+
+
+@query(
+    "publish_settings",
+    f"""SELECT world_id, chunk_size, max_lookback_size, overlap_size, '1' AS splitter_version, true AS is_locked
+        FROM ({roles.SETTINGS_SQL}) WHERE world_id NOT IN ('src7', 'src8')""",
+)
+def publish_settings(spark, folder):
+    """Settings as a published batch locks them: always with the current version, whatever the caller gave."""
+    return publish.read_published(spark, _published(spark, folder)[0], "splitter_settings")
+
+
 @query(
     "publish_violations",
     f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY world_id, source_hash ORDER BY source_order) AS copy FROM ({roles.BY_SOURCE}))

@@ -8,11 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
 from corpuspipe.functions import names, text
-from corpuspipe.operators import validation
+from corpuspipe.operators import uploads, validation
 from corpuspipe.operators.chunking import Settings, next_split_index, split_texts
 from corpuspipe.operators.scale import sized
 from corpuspipe.plans import roles
@@ -332,6 +332,42 @@ def upload_precheck(spark, folder):
     return validation.upload_violations(files)
 
 
+@query(
+    "register_outcomes",
+    """SELECT 'doc-' || doc_id AS upload_id, CASE WHEN lang NOT IN ('en', 'fr', 'de') OR source = 'src6' THEN 'refused' ELSE 'registered' END AS outcome,
+           CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'suffix_not_allowed' WHEN source = 'src6' THEN 'file_not_whole' ELSE '' END AS rules
+       FROM documents""",
+)
+def register_outcomes(spark, folder):
+    """Documents as the middle of images and fonts; those of src6 lack their last bytes."""
+    lang, body = F.col("lang"), F.encode("text", "UTF-8")
+    size = F.octet_length(body)
+
+    def big(number: Column) -> Column:
+        return F.unhex(F.lpad(F.hex(number), 8, "0"))
+
+    turned = F.lpad(F.hex(size + 12), 8, "0")
+    little = F.unhex(F.concat(*[F.substring(turned, at, 2) for at in (7, 5, 3, 1)]))
+    png = F.concat(
+        F.unhex(F.lit("89504E470D0A1A0A0000000D49484452" + "00" * 17)), big(size), F.unhex(F.lit("49444154")), body,
+        F.unhex(F.lit("000000000000000049454E44AE426082")),
+    )
+    webp = F.concat(F.unhex(F.lit("52494646")), little, F.unhex(F.lit("5745425056503820")), F.unhex(F.lit("00000000")), body)
+    woff2 = F.concat(F.unhex(F.lit("774F463200010000")), big(size + 48), F.unhex(F.lit("0001" + "00" * 34)), body)
+    whole = F.when(lang == "en", png).when(lang == "fr", webp).otherwise(woff2)
+    content = F.when(F.col("source") == "src6", whole.substr(F.lit(1), F.octet_length(whole) - 1)).otherwise(whole)
+    ending = F.when(lang == "en", ".PNG").when(lang == "fr", ".webp").when(lang == "de", ".woff2").otherwise(".pdf")
+    files = read_table(spark, folder, "documents").select(
+        F.concat(F.lit("doc-"), "doc_id").alias("upload_id"),
+        F.when(lang.isin("en", "fr"), "image").otherwise("font").alias("asset_type"),
+        F.concat(F.lit("file"), ending).alias("original_filename"),
+        F.concat(F.lit("sha256:"), F.sha2(content, 256)).alias("file_hash"),
+        F.lit(None).cast("string").alias("full_font_name"),
+        content.alias("content"),
+    )
+    return uploads.upload_outcomes(roles.assets(spark, folder), files)
+
+
 @query(
     "parsed_sources",
     f"""SELECT world_id, 'attempt-' || world_id AS attempt_id, staging_entry_id, source_order,
