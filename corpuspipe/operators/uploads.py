@@ -89,15 +89,19 @@ def _whole_woff2(content: Column) -> Column:
 
 def is_whole(kind: Column, content: Column) -> Column:
     """Is the frame of the file whole? ``kind`` is its suffix; false for kinds that are not known and for null contents."""
-    return F.coalesce(
-        F.when(kind == ".png", _whole_png(content))
-        .when(kind.isin(".jpg", ".jpeg"), _whole_jpeg(content))
-        .when(kind == ".webp", _whole_riff(content))
-        .when(kind.isin(".otf", ".ttf"), _whole_sfnt(content))
-        .when(kind == ".woff", _whole_woff(content))
-        .when(kind == ".woff2", _whole_woff2(content)),
-        F.lit(False),
-    )
+
+    def judged(data: Column) -> Column:
+        return (
+            F.when(kind == ".png", _whole_png(data))
+            .when(kind.isin(".jpg", ".jpeg"), _whole_jpeg(data))
+            .when(kind == ".webp", _whole_riff(data))
+            .when(kind.isin(".otf", ".ttf"), _whole_sfnt(data))
+            .when(kind == ".woff", _whole_woff(data))
+            .when(kind == ".woff2", _whole_woff2(data))
+        )
+
+    # As a variable of a function the bytes are taken from their row once; a column would be copied at each step of a walk.
+    return F.coalesce(F.get(F.transform(F.array(content), judged), 0), F.lit(False))
 
 
 def upload_outcomes(assets: DataFrame, uploads: DataFrame) -> DataFrame:
