@@ -11,7 +11,8 @@ the whole. Both levels of byte-level BPE work this way:
 * a pretoken. A token sequence is the encoding of its bytes exactly if each two neighbours are the encoding of
   their own bytes. A window is final once its first and last token fit the tokens outside it.
 
-Leaves are small, so no step is quadratic in a text. Decoding concatenates the bytes of tokens up a tree.
+Leaves are small, so no step is quadratic in a text. The short words that a group of texts holds are leaves of their
+own, encoded together before the texts: each round merges the lowest pair of every word. Decoding concatenates the bytes of tokens up a tree.
 
 Defined results: a null text is empty and has no tokens; an unknown id fails the decoding. Texts have any
 length; a text is one row and is encoded by one task. Repeated rows give repeated rows.
@@ -24,7 +25,7 @@ import heapq
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -39,6 +40,12 @@ LEAF_CHARS = 32_768
 LEAF_BYTES = 3
 LEAF_IDS = 1 << 20
 
+# Pretokens of at most so many bytes are merged together with others, a merge of each in a round.
+ROUND_BYTES = 24
+
+# Fewer new words than this are encoded where they stand.
+LEAST_WORDS = 64
+
 # Windows of more bytes are merged with a heap.
 HEAP_BYTES = 128
 
@@ -74,7 +81,7 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         # The libraries differ in what a bare \s is; the Unicode property is what the ranks were made with.
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.space = regex.compile(r"\p{White_Space}")
+        self.blanks = frozenset(regex.findall(r"\p{White_Space}", "".join(map(chr, range(0x3001)))))
         self.first_border = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
         self.last_border = regex.compile(r"(?r)(?<=\P{White_Space})(?=\p{White_Space})")
         # Encoded words of the texts at hand: number of a word, and tokens and sizes by number.
@@ -84,6 +91,7 @@ class Codec:
         self.stretches: dict[bytes, list[int]] = {}
         self.windows: dict[tuple[int, int], list[int]] = {}
         size = max(self.bytes_of) + 1
+        self.byte_ranks = np.array([ranks.get(bytes([value]), -1) for value in range(256)], dtype=np.int64)
         self.byte_sizes = np.zeros(size, dtype=np.int64)
         for rank, token in self.bytes_of.items():
             self.byte_sizes[rank] = len(token)
@@ -183,6 +191,60 @@ class Codec:
                 self.stretches[data] = ids
         return ids
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return _pairs(self.ranks)
+
+    def pair_costs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of tokens side by side as one token; NO_MERGE where they are none."""
+        keys = left << 32 | right
+        pair_keys, pair_ranks = self.pairs
+        at = np.minimum(np.searchsorted(pair_keys, keys), len(pair_keys) - 1)
+        return np.where(pair_keys[at] == keys, pair_ranks[at], NO_MERGE)
+
+    def merged_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces one after another and how many each has; every round does for each piece what ``merged`` does."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ids = self.byte_ranks[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        if len(ids) and ids.min() < 0:
+            raise KeyError("A byte is not in the vocabulary.")
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        costs = np.full(len(ids), NO_MERGE, dtype=np.int64)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        costs[inside] = self.pair_costs(ids[inside], ids[inside + 1])
+        done_ids, done_owners = [], []
+        while len(ids):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            counts = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(costs, first)
+            active = np.repeat(least != NO_MERGE, counts)
+            if not active.all():
+                done_ids.append(ids[~active])
+                done_owners.append(owner[~active])
+                least, counts = least[least != NO_MERGE], counts[least != NO_MERGE]
+                ids, owner, costs = ids[active], owner[active], costs[active]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(costs == np.repeat(least, counts))
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]  # the leftmost of each piece
+            ids[at] = costs[at]
+            costs[at] = NO_MERGE
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            at -= np.arange(len(at))
+            ids, owner, costs = ids[kept], owner[kept], costs[kept]
+            right = at[at + 1 < len(ids)]
+            right = right[owner[right] == owner[right + 1]]
+            costs[right] = self.pair_costs(ids[right], ids[right + 1])
+            left = at[at > 0] - 1
+            left = left[owner[left] == owner[left + 1]]
+            costs[left] = self.pair_costs(ids[left], ids[left + 1])
+        if not done_ids:
+            return ids, sizes
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owners)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(pieces))
+
     def encoded_piece(self, piece: str) -> list[int]:
         data = piece.encode()
         whole = self.ranks.get(data)
@@ -205,6 +267,43 @@ class Codec:
             self.numbers[word] = number
         return number
 
+    def learn_words(self, texts: list[str]) -> None:
+        """Give the new short words of some texts their numbers; a space and a word is a stretch between borders."""
+        known, blanks, found = self.numbers, self.blanks, set()
+        for text in texts:
+            if len(text) <= CODED_BYTES:
+                found.update(text.split(" ")[1:])
+        found.discard("")
+        new = [word for word in found if word not in known and len(word) <= CACHED_LENGTH and word[-1] not in blanks]
+        if len(new) < LEAST_WORDS:
+            return
+        pieces = self.pattern.findall(" " + " ".join(new))
+        # The word of each piece, by the places where they start.
+        ends = np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1)
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        owner = np.searchsorted(ends, np.cumsum(lengths) - lengths, side="right")
+        different = {piece: number for number, piece in enumerate(dict.fromkeys(pieces))}
+        which = np.fromiter(map(different.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        coded = list(map(str.encode, different))
+        whole = np.fromiter((self.ranks.get(data, -1) for data in coded), dtype=np.int64, count=len(coded))
+        long = [at for at in np.flatnonzero(whole < 0).tolist() if len(coded[at]) > ROUND_BYTES]
+        apart = np.zeros(len(coded), dtype=bool)
+        apart[long] = True
+        short = np.flatnonzero((whole < 0) & ~apart)
+        alone = np.flatnonzero(whole >= 0)
+        merged, counts = self.merged_together([coded[at] for at in short.tolist()])
+        lists = [self.encoded_bytes(coded[at]) for at in long]
+        # Tokens of the different pieces: those of one token, those merged together, the long ones.
+        order = np.concatenate([alone, short, np.array(long, dtype=np.int64)])
+        flat = np.concatenate([whole[alone], merged, np.array(list(chain.from_iterable(lists)), dtype=np.int64)]).astype(np.int32)
+        sizes, starts = np.zeros(len(coded), dtype=np.int64), np.zeros(len(coded), dtype=np.int64)
+        sizes[order] = np.concatenate([np.ones(len(alone), dtype=np.int64), counts, np.array(list(map(len, lists)), dtype=np.int64)])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        first = len(self.sizes)
+        self.tokens.frombytes(gathered(flat, starts[which], sizes[which]).tobytes())
+        self.sizes.frombytes(np.bincount(owner, weights=sizes[which], minlength=len(new)).astype(np.int32).tobytes())
+        known.update(zip(new, range(first, first + len(new))))
+
     def encoded_leaf(self, text: str) -> list[int]:
         """A text cut at single spaces; those after white space are no borders and stay inside their stretch."""
         first, *words = text.split(" ")
@@ -228,7 +327,7 @@ class Codec:
         return found
 
     def _closed(self, word: str) -> bool:
-        return word != "" and not self.space.match(word[-1])
+        return word != "" and word[-1] not in self.blanks
 
     def _number(self, words: list[str]) -> int:
         if len(words) == 2 and words[0] == "" and self._closed(words[1]):
@@ -280,6 +379,8 @@ class Codec:
         if len(self.numbers) > CACHED or len(self.tokens) > 16 * CACHED:
             self.numbers.clear()
             self.tokens, self.sizes = array("i"), array("i")
+        texts = list(texts)
+        self.learn_words(texts)
         lists = [np.array(self.numbered(text), dtype=np.int64) for text in texts]
         sizes = np.array(self.sizes, dtype=np.int64)
         tokens = np.array(self.tokens, dtype=np.int32)
@@ -309,6 +410,20 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
+def _pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens that are a token together, as ascending numbers, and its rank."""
+    keys, values = [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left = ranks.get(token[:cut])
+            if left is not None and (right := ranks.get(token[cut:])) is not None:
+                keys.append(left << 32 | right)
+                values.append(rank)
+    keys, values = np.array([-1, *keys], dtype=np.int64), np.array([NO_MERGE, *values], dtype=np.int64)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file: a base64 token and its rank on each line."""
     with open(path, "rb") as lines:

@@ -49,6 +49,19 @@ def test_long_stretches_without_borders():
         assert codec.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_words_of_a_group_are_encoded_together():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abtheé中😀 's1.\n\x85\t") for _ in range(rnd.randint(0, 30))) for _ in range(3_000)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(200)]
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    ids, offsets = codec.encode_all(texts)
+    assert [ids[low:high].tolist() for low, high in zip(offsets, offsets[1:])] == [LIBRARY.encode_ordinary(text) for text in texts]
+    pieces = [piece.encode() for piece in {text[:12] for text in texts} if piece]
+    merged, counts = codec.merged_together(pieces)
+    assert counts.sum() == len(merged)
+    assert [part.tolist() for part in np.split(merged, np.cumsum(counts)[:-1])] == [codec.merged(piece) for piece in pieces]
+
+
 def test_unknown_ids_fail():
     with pytest.raises(ValueError):
         bpe.Codec(RANKS, public_tokenizers.PATTERN).decode(np.array([60_000]))
