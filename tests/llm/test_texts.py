@@ -184,6 +184,20 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.resample(documents(spark, []), marks).count() == 0
 
 
+def test_quality_counts_every_target_row(spark):
+    import inspect
+
+    marks = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.target_ids(marks).count() == 60_000 and "target_rows" not in inspect.signature(quality.resample).parameters
+    halves = spark.createDataFrame([("a b", 0), ("a c", 1), ("a", None), ("a", 1)], "text string, target_half int")
+    rows = [tuple(row)[1:] for row in quality.feature_counts(halves, 1 << 12).collect()]
+    assert sum(raw for raw, _, _ in rows) == 8 and (4, 1, 2) in rows
+    values = spark.createDataFrame([(float(k * k),) for k in range(100)], "x double")
+    for share in (0.0, 0.0001, 0.3, 1.0):
+        assert quality.quantile(values, "x", share) == pytest.approx(values.agg(F.percentile("x", share)).first()[0])
+    assert quality.quantile(values.limit(0), "x", 0.5) is None
+
+
 def test_licences_against_brute_force(spark):
     extra = [
         "Released under the MIT License.", "released under teh mit license", "MIT license apache LICENSE general public license",
