@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuspipe.llm.grams import groups
-from corpuspipe.llm.packing import release_memory
+from corpuspipe.sources.pieces import release_memory
 
 # Characters of a text, bytes of a pretoken and ids of a list that are worked on without halving.
 LEAF_CHARS = 32_768

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import struct
 
 import numpy as np
@@ -40,13 +39,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-def release_memory() -> None:
-    """Give back what earlier steps of this worker have freed, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def pack_rows(batch: pa.RecordBatch) -> bytes:
     """Whole rows, compressed."""
     sink = pa.BufferOutputStream()

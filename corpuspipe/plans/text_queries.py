@@ -7,7 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
@@ -19,6 +19,7 @@ from corpuspipe.plans import roles
 from corpuspipe.plans.registry import query
 from corpuspipe.sources import readers, staging
 from corpuspipe.sources.html import block_rows, html_blocks
+from corpuspipe.sources.pieces import mapped
 from corpuspipe.sources.tables import read_table, spread
 
 BLANK = roles.BLANK_SQL
@@ -219,31 +220,31 @@ def decode_text(spark, folder):
     )
 
 
-@F.pandas_udf(BinaryType())
-def _as_epub(titles: pd.Series, texts: pd.Series) -> pd.Series:
+def _built(title: str, body: str) -> bytes:
     """A small EPUB whose manifest names the text before the title and whose spine turns them round."""
-
-    def build(title: str, body: str) -> bytes:
-        out = io.BytesIO()
-        page = "<html><head><title>x</title></head><body><{0}>{1}</{0}></body></html>"
-        with zipfile.ZipFile(out, "w") as archive:
-            archive.writestr(
-                "META-INF/container.xml",
-                '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>',
-            )
-            kind = 'media-type="application/xhtml+xml"'
-            archive.writestr(
-                "OPS/book.opf",
-                f'<package><manifest><item id="b" href="text.xhtml" {kind}/>'
-                '<item id="i" href="cover.png" media-type="image/png"/>'
-                f'<item id="a" href="title.xhtml" {kind}/></manifest>'
-                '<spine><itemref idref="a"/><itemref idref="i"/><itemref idref="b"/></spine></package>',
-            )
-            archive.writestr("OPS/title.xhtml", page.format("h1", html.escape(title)))
-            archive.writestr("OPS/text.xhtml", page.format("p", html.escape(body)))
-        return out.getvalue()
-
-    return pd.Series([build(t, b) for t, b in zip(titles, texts)])
+    out = io.BytesIO()
+    page = "<html><head><title>x</title></head><body><{0}>{1}</{0}></body></html>"
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr(
+            "META-INF/container.xml",
+            '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>',
+        )
+        kind = 'media-type="application/xhtml+xml"'
+        archive.writestr(
+            "OPS/book.opf",
+            f'<package><manifest><item id="b" href="text.xhtml" {kind}/>'
+            '<item id="i" href="cover.png" media-type="image/png"/>'
+            f'<item id="a" href="title.xhtml" {kind}/></manifest>'
+            '<spine><itemref idref="a"/><itemref idref="i"/><itemref idref="b"/></spine></package>',
+        )
+        archive.writestr("OPS/title.xhtml", page.format("h1", html.escape(title)))
+        archive.writestr("OPS/text.xhtml", page.format("p", html.escape(body)))
+    return out.getvalue()
+
+
+@F.arrow_udf(BinaryType())
+def _as_epub(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from mapped(batches, _built, pa.binary())
 
 
 def _epubs(spark, folder) -> DataFrame:

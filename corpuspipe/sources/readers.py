@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
@@ -19,6 +19,7 @@ from corpuspipe.functions.text import BLOCK_JOINER, DOCUMENT_JOINER
 from corpuspipe.operators.scale import in_ranges, pinned
 from corpuspipe.operators.validation import violations
 from corpuspipe.sources.html import read_blocks
+from corpuspipe.sources.pieces import mapped, pieces, release_memory
 
 # A text is one value, and Spark's values end at 2 GiB.
 MAX_TEXT_BYTES = 1 << 30
@@ -50,17 +51,16 @@ def text_encoding(content: Column) -> Column:
     return F.coalesce(found, F.lit(DEFAULT_ENCODING))
 
 
-@F.pandas_udf(StringType())
-def _decode_wide(contents: pd.Series, encodings: pd.Series) -> pd.Series:
-    def decode(content, encoding):
-        if content is None:
-            return None
-        try:
-            return bytes(content).decode(encoding)
-        except UnicodeDecodeError:
-            return None
+def _decoded(encoding: str, content: bytes | None) -> str | None:
+    try:
+        return None if content is None else content.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
 
-    return pd.Series([decode(c, e) for c, e in zip(contents, encodings)], dtype=object)
+@F.arrow_udf(StringType())
+def _decode_wide(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from mapped(batches, _decoded, pa.string())
 
 
 def decode_text(files: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def decode_text(files: DataFrame) -> DataFrame:
     body = F.when(F.col("encoding") == "utf-8-sig", F.substring(content, 4, 2_147_483_647)).otherwise(content)
     wide = F.col("encoding").isin("utf-16", "utf-32")
     decoded = files.withColumn("encoding", text_encoding(content)).withColumn(
-        "_wide", _decode_wide(F.when(wide, content), F.col("encoding"))
+        "_wide", _decode_wide(F.col("encoding"), F.when(wide, content))
     )
     return (
         decoded.withColumn(
@@ -212,35 +212,53 @@ def epub_documents(files: DataFrame, key: str = "path") -> DataFrame:
     """One row per document of every EPUB (``key, spine_index, html, error``); a broken file gives one
     row with an error."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch[key], batch["content"]):
-                try:
-                    rows = [(name, i, html, None) for i, html in enumerate(read_spine(bytes(content)))]
-                except EpubError as error:
-                    rows = [(name, None, None, str(error))]
-                frame = pd.DataFrame(rows, columns=[key, "spine_index", "html", "error"], dtype=object)
-                yield frame
+            kind = batch.schema.field(0).type
+            for at, contents in _numbered(batch.column(1)):
+                rows = []
+                for place, content in enumerate(contents, at):
+                    try:
+                        rows += [(place, i, html, None) for i, html in enumerate(read_spine(bytes(content)))]
+                    except EpubError as error:
+                        rows.append((place, None, None, str(error)))
+                places, *columns = zip(*rows) if rows else ((), (), (), ())
+                names = batch.column(0).take(pa.array(places, pa.int64()))
+                arrays = [names, *(pa.array(column, to) for column, to in zip(columns, (pa.int32(), pa.string(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([(key, kind), *_SPINE]))
+                del rows, places, columns, arrays
+            release_memory()
 
     key_type = files.schema[key].dataType.simpleString()
-    return files.select(key, "content").mapInPandas(
+    return files.select(key, "content").mapInArrow(
         read, f"{key} {key_type}, spine_index int, html string, error string"
     )
 
 
-@F.pandas_udf(StringType())
-def _epub_text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def read(content) -> str | None:
-        if content is None:
-            return None
-        try:
-            documents = (BLOCK_JOINER.join(read_blocks(html)) for html in read_spine(bytes(content)))
-            return DOCUMENT_JOINER.join(document for document in documents if document.strip())
-        except EpubError:
-            return None
+_SPINE = (("spine_index", pa.int32()), ("html", pa.string()), ("error", pa.string()))
+
+
+def _numbered(column: pa.Array) -> Iterator[tuple[int, list]]:
+    """Pieces of a column, each with the place where it starts."""
+    at = 0
+    for (values,) in pieces((column,)):
+        yield at, values
+        at += len(values)
+
+
+def _read_text(content: bytes | None) -> str | None:
+    if content is None:
+        return None
+    try:
+        documents = (BLOCK_JOINER.join(read_blocks(html)) for html in read_spine(content))
+        return DOCUMENT_JOINER.join(document for document in documents if document.strip())
+    except EpubError:
+        return None
+
 
-    for batch in contents:
-        yield batch.map(read)
+@F.arrow_udf(StringType())
+def _epub_text(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from mapped(((content,) for content in contents), _read_text, pa.string())
 
 
 def epub_text(content: Column) -> Column:
