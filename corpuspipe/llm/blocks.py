@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuspipe.llm import grams
 from corpuspipe.llm.common import shuffle_partitions, store
 from corpuspipe.llm.packing import pack_rows, pack_sorted, unpack, unpack_sorted
+from corpuspipe.sources.pieces import released, released_group
 
 # Bytes of text for each owner of hashes: what one task sorts at a time.
 OWNED_BYTES = 8 << 20
@@ -56,6 +57,7 @@ def shares(values: np.ndarray, bits: int, owners: int) -> list[tuple[int, int, i
 def pack_blocks(docs: DataFrame, label: str) -> DataFrame:
     """Stored blocks of ``doc_id, text`` rows: ``block`` (name) and ``rows`` (packed)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in grams.groups(batch, 1):
@@ -73,6 +75,7 @@ def _bits(data: bytes, count: int) -> np.ndarray:
 def _answered(read_marks, wanted):
     """The function an owner runs: which hashes of two blocks or more are ``wanted``, told to each of them."""
 
+    @released_group
     def answer(table: pa.Table) -> pa.Table:
         blocks_of = table.column("block").to_pylist()
         lists = [unpack_sorted(value.as_py()) for value in table.column("hashes")]

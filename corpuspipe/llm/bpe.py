@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuspipe.llm.grams import groups
-from corpuspipe.sources.pieces import release_memory
+from corpuspipe.sources.pieces import released
 
 # Characters of a text, bytes of a pretoken and ids of a list that are worked on without halving.
 LEAF_CHARS = 32_768
@@ -445,8 +445,8 @@ def _vocabulary(path: str) -> str:
 
 
 def _coded(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...], with_bytes: bool) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         codec = _codec(_vocabulary(vocabulary), pattern)
         for batch in batches:
             for group in groups(batch, len(keep), CODED_BYTES):
@@ -471,6 +471,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """All columns and ``decoded`` (bytes) of every row's ``ids``; null ids give no bytes."""
     at = encoded.columns.index("ids")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_vocabulary(vocabulary), r"\s+")
         for batch in batches:

@@ -37,6 +37,10 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+# Rows of a batch of texts: one of ten thousand takes tens of megabytes, on both sides and again while it grows.
+TEXT_ROWS = 1_000
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Steps that are stored inside exchange batches of at most so many rows with Python."""

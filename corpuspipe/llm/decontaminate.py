@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuspipe.llm import grams
-from corpuspipe.llm.common import boxed, keep_columns, store, unboxed
+from corpuspipe.llm.common import TEXT_ROWS, batches_of, boxed, keep_columns, store, unboxed
+from corpuspipe.sources.pieces import released
 
 N = 3
 LEAST_SCORE = 0.6
@@ -38,7 +39,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 WINDOW_WORDS = 8_192
 
 # Seed hits of documents, times the items they lead to, that are handled at once (one document may have more).
-HITS = 1 << 21
+HITS = 1 << 18
 
 LETTERS = grams.alphabet(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -132,6 +133,7 @@ def read_items(ids: list[int], texts: list[str | None], n: int, least_score: flo
 def document_counts(docs: DataFrame, values: np.ndarray, lengths: list[int]) -> np.ndarray:
     """In how many documents each n-gram stands."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, counts = Lookup(values), np.zeros(len(values), dtype=np.int64)
         for batch in batches:
@@ -149,8 +151,9 @@ def document_counts(docs: DataFrame, values: np.ndarray, lengths: list[int]) ->
     total = np.zeros(len(values), dtype=np.int64)
     if len(values):
         counted = docs.select("text").mapInArrow(run, "number long, docs long").groupBy("number").agg(F.sum("docs").alias("docs"))
-        for row in counted.toLocalIterator():
-            total[row["number"]] = row["docs"]
+        with batches_of(docs.sparkSession, TEXT_ROWS):
+            for row in counted.toLocalIterator():
+                total[row["number"]] = row["docs"]
     return total
 
 
@@ -279,6 +282,7 @@ def aligned(docs: DataFrame, items: Items, seeds: Seeds, least_score: float) ->
     ids, words, plans, lengths = items.ids, items.words, items.plans, items.lengths
     edits = np.array([plan.edits for plan in plans], dtype=np.int64)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(seeds.values)
         names = [field.split()[0] for field in FOUND.split(", ")]
@@ -334,7 +338,9 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns."""
-    leaks = store(find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct(), "leaks")
+    found = find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct()
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        leaks = store(found, "leaks")
     rows = boxed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     return unboxed(rows.join(leaks, same, "left_anti"))

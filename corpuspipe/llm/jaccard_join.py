@@ -41,6 +41,7 @@ from corpuspipe.llm.blocks import ASKED, SEVERAL, known_with_another_mark, messa
 from corpuspipe.llm.common import batches_of, boxed, discard, join_hot, keep_columns, store, unboxed
 from corpuspipe.llm.components import components
 from corpuspipe.llm.packing import pack, pack_sorted, unpack_rows, unpack_sorted
+from corpuspipe.sources.pieces import released
 
 # Width of the bands: each reaches to this multiple of its start, or as far as partners do.
 BAND_RATIO = 1.5
@@ -61,6 +62,9 @@ LONG_WORDS = 32
 # Rows of a batch in which values are compared: a value may have some hundred kilobytes.
 COMPARED_ROWS = 256
 
+# Blocks of a batch: a packed block may have some megabytes.
+BLOCK_ROWS = 4
+
 SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>, long_sketch binary, block string, place int"
 
 
@@ -181,6 +185,7 @@ def _distinct_keys(sets: Sets, keys: np.ndarray, texts: np.ndarray) -> tuple[np.
 def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
     """Stored rows of ``SETS`` and ``row``: keys and sketches only of documents that share a key, and where each text is."""
 
+    @released
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in zip(*batch.columns):
@@ -191,6 +196,7 @@ def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) ->
                     ASKED,
                 )
 
+    @released
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, packed, lists in zip(*batch.columns):
@@ -220,10 +226,12 @@ def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) ->
                     names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch", "long_sketch", "block", "place"],
                 )
 
-    hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
+    with batches_of(blocks.sparkSession, BLOCK_ROWS):
+        hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
     joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("block", "rows", "hits")
     told = joined.mapInArrow(tell, SETS).withColumn("row", F.monotonically_increasing_id())
-    told = store(told, "jaccard-sets")
+    with batches_of(blocks.sparkSession, BLOCK_ROWS):
+        told = store(told, "jaccard-sets")
     discard(hits)
     return told
 
@@ -234,6 +242,7 @@ def sets_of(blocks: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> Data
     The list of rows has one short row for each block, so blocks are not moved while the planner can broadcast it.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, wanted in zip(*batch.columns):
@@ -248,7 +257,8 @@ def sets_of(blocks: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> Data
 
     places = sets.select("row", "block", "place").join(rows, "row", "left_semi")
     listed = store(places.groupBy("block").agg(F.collect_list(F.struct("place", "row")).alias("wanted")), "jaccard-places")
-    made = store(blocks.join(listed, "block").select("rows", "wanted").mapInArrow(run, "row long, n_shingles long, shingles binary"), "jaccard-needed")
+    with batches_of(blocks.sparkSession, BLOCK_ROWS):
+        made = store(blocks.join(listed, "block").select("rows", "wanted").mapInArrow(run, "row long, n_shingles long, shingles binary"), "jaccard-needed")
     discard(listed)
     return made
 
@@ -304,6 +314,7 @@ def compared(pairs: DataFrame, fetch, column: str, test) -> DataFrame:
     The pairs of an ``x`` are cut into slices. Its value is sent once to each slice, in front of those it is compared with.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, size_a = np.empty(0, dtype=np.uint64), 0
         for batch in batches:

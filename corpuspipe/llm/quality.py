@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuspipe.llm import grams
-from corpuspipe.llm.common import boxed, keep_columns, store, unboxed
+from corpuspipe.llm.common import TEXT_ROWS, batches_of, boxed, keep_columns, store, unboxed
 from corpuspipe.operators.scale import BROADCAST_ROWS, with_position
+from corpuspipe.sources.pieces import released
 
 BUCKETS = 1 << 12
 TARGET_RECALL = 0.9999
@@ -68,6 +69,7 @@ def target_ids(labels: DataFrame) -> DataFrame:
 def feature_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """Occurrences of each feature in all texts and in those whose ``target_half`` is 0 and 1."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((3, buckets), dtype=np.int64)
         for batch in batches:
@@ -101,6 +103,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     not the document's, of every row."""
     buckets = ratios.shape[1]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in grams.groups(batch, 0):
@@ -151,8 +154,9 @@ def resample(
     marked = read.join(known, F.col("doc_id") == F.col("target_id"), "left").select(
         "text", F.when(F.col("target_id").isNotNull(), half_of(F.col("doc_id"))).alias("target_half")
     )
-    ratios = log_ratios(feature_counts(marked, buckets), buckets)
-    weighed = store(log_weights(read, ratios), "quality-weights")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        ratios = log_ratios(feature_counts(marked, buckets), buckets)
+        weighed = store(log_weights(read, ratios), "quality-weights")
     level = quantile(weighed.join(known, F.col("doc_id") == F.col("target_id")), "unseen_weight", 1 - target_recall)
     size = weighed.where(F.col("log_weight") >= level).count() if level is not None else weighed.count()
     keyed = weighed.drop("unseen_weight").withColumn(

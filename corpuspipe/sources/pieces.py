@@ -20,6 +20,31 @@ def release_memory() -> None:
         trim(0)
 
 
+def released(work: Callable) -> Callable:
+    """``work`` over the batches of a task, in a worker that keeps nothing freed before it starts nor after it ends.
+
+    Workers stay for later tasks, and those that wait count in an executor's memory like the ones that run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        yield from work(batches)
+        release_memory()
+
+    return run
+
+
+def released_group(work: Callable) -> Callable:
+    """``work`` over the table of a group; what it has freed is given back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        done = work(table)
+        release_memory()
+        return done
+
+    return run
+
+
 def pieces(columns: tuple[pa.Array, ...]) -> Iterator[tuple[list, ...]]:
     """The values of consecutive rows; the last column, of texts or bytes, says where a piece is full."""
     sizes = pc.fill_null(pc.binary_length(columns[-1]), 0).to_pylist()

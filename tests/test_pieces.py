@@ -27,3 +27,23 @@ def test_epubs_over_many_pieces(spark, monkeypatch):
     assert {r.path for r in found if r.error} == {n for n in range(0, 60, 10)}
     texts = dict(files.select("path", readers.epub_text(files.content)).collect())
     assert all(texts[n] == (f"{n}\n\nz" if n % 5 else None) for n in texts) and len(texts) == 54
+
+
+def test_freed_memory_is_given_back_around_a_task(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pieces, "release_memory", lambda: seen.append("given back"))
+
+    class Held:
+        def __del__(self):
+            seen.append("freed")
+
+    def work(batches):
+        held = Held()
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    assert list(pieces.released(work)(iter("ab"))) == ["a", "b"]
+    assert seen == ["given back", "a", "b", "freed", "given back"]
+    assert pieces.released_group(lambda table: (Held(), table)[1])("c") == "c"
+    assert seen[5:] == ["freed", "given back"]
