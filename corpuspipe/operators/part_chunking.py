@@ -12,7 +12,6 @@ Parts with the same number are taken in the order of their texts. Keys that are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,76 +38,129 @@ def chunk_end(text: str, start: int, settings: Settings) -> int:
     return start + settings.chunk_size
 
 
-def exits(text: str, after: str, settings: Settings) -> tuple[list[int], list[int]]:
-    """For each entry into a segment the entry into the next one, and the chunks that start on the way.
+def _same_end(text: str, low: int, high: int, settings: Settings) -> Iterator[tuple[int, int]]:
+    """Stretches of starts from ``low`` to ``high`` whose chunks end at one place: first start and that place.
 
-    Chains of chunks that meet go on as one, so there are never more than there are entries.
+    A later start never has an earlier end: what it could end at lies in the earlier start's window too, or behind that.
+    So a stretch is found by doubling steps and halving the last one.
+    """
+    while low < high:
+        reached, inside, beyond, step = chunk_end(text, low, settings), low, high, 1
+        while inside + step < high:
+            if chunk_end(text, inside + step, settings) != reached:
+                beyond = inside + step
+                break
+            inside, step = inside + step, 2 * step
+        while beyond - inside > 1:
+            middle = (inside + beyond) // 2
+            if chunk_end(text, middle, settings) == reached:
+                inside = middle
+            else:
+                beyond = middle
+        yield low, reached
+        low = beyond
+
+
+def exits(text: str, after: str, entries: int, settings: Settings) -> tuple[list[int], list[int], list[int]]:
+    """For the entries 0, 1, ... into a segment the entry into the next one, and the chunks that start on the way.
+
+    Entries in a row with the same answer are one: its first entry, the exit and the count. Chains of chunks that meet
+    go on as one, so there are few.
+    """
+    whole = text + after
+    inner = min(entries, len(text))
+    stretches = list(_same_end(whole, 0, inner, settings))
+    known: dict[int, tuple[int, int]] = {}  # place -> exit from there, and the chunks that start on the way
+    firsts, ends, counts = [], [], []
+    for first, place in stretches:
+        way = []
+        while place < len(text) and place not in known:
+            way.append(place)
+            place = chunk_end(whole, place, settings)
+        end, count = known[place] if place < len(text) else (place - len(text), 0)
+        for passed in reversed(way):
+            count += 1
+            known[passed] = end, count
+        if not firsts or (ends[-1], counts[-1]) != (end, count + 1):
+            firsts.append(first)
+            ends.append(end)
+            counts.append(count + 1)
+    # A short segment is passed over by the entries behind it.
+    for entry in range(inner, entries):
+        firsts.append(entry)
+        ends.append(entry - len(text))
+        counts.append(0)
+    return firsts, ends, counts
+
+
+def _segments(parts: DataFrame, keys: list[str], part: str, text_column: str, joiner: str, size: int, settings: Settings) -> DataFrame:
+    """Consecutive parts joined to segments of about ``size`` characters, ``k`` = 0, 1, ... of ``n`` in each source; stored.
+
+    Each has the characters that its chunks look at, some ``after`` it and some before it (``tail``). Of any two segments that
+    follow each other, one and the next together are longer than that, so a part gives them to two segments on either side.
     """
-    whole, entries = text + after, range(settings.chunk_size)
-    active = {entry: entry for entry in entries}  # place -> the chain that is there
-    joined: dict[int, tuple[int, int]] = {}  # chain -> the one it met, and how many more chunks it has had
-    steps, ends = [0] * len(entries), [0] * len(entries)
-    queue = list(entries)
-    while queue:
-        place = heapq.heappop(queue)
-        chain = active.pop(place)
-        if place >= len(text):
-            ends[chain] = place - len(text)
-            continue
-        steps[chain] += 1
-        reached = chunk_end(whole, place, settings)
-        if reached in active:
-            joined[chain] = active[reached], steps[chain] - steps[active[reached]]
-        else:
-            active[reached] = chain
-            heapq.heappush(queue, reached)
-    for chain in entries:
-        way, more = chain, 0
-        while way in joined:
-            way, extra = joined[way]
-            more += extra
-        ends[chain], steps[chain] = ends[way], steps[way] + more if way != chain else steps[chain]
-    return ends, steps
-
-
-def _segments(parts: DataFrame, keys: list[str], part: str, text_column: str, joiner: str, size: int) -> DataFrame:
-    """Consecutive parts joined to segments of about ``size`` characters, ``k`` = 0, 1, ... in each source; stored."""
-    in_order = Window.partitionBy(*keys).orderBy(part, "hash")
     own = F.coalesce(F.col(text_column), F.lit(""))
-    held = parts.select(*keys, part, own.alias("text")).withColumn("hash", F.xxhash64("text"))
+    held = parts.select(*keys, part, own.alias("text"))
+    held = held.select("*", F.xxhash64("text").alias("hash"), F.char_length("text").cast("long").alias("chars"))
     held = pinned(held.withColumn("row", F.monotonically_increasing_id()))
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    number = F.row_number().over(in_order)
     # One short row for each part.
-    sizes = held.select(*keys, part, "hash", "row", F.char_length("text").alias("chars")).withColumn("first", number == 1)
-    sizes = sizes.withColumn("chars", F.col("chars").cast("long") + F.when(F.col("first"), 0).otherwise(len(joiner)))
+    in_order = Window.partitionBy(*keys).orderBy(part, "hash", "row")
+    sizes = held.select(*keys, part, "hash", "row", "chars").withColumn("first", F.row_number().over(in_order) == 1)
+    sizes = sizes.withColumn("chars", F.col("chars") + F.when(F.col("first"), 0).otherwise(len(joiner)))
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    placed = placed.withColumn("block", F.floor(F.col("start") / size)).select(
-        "row", "first", "start", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("block")) - 1).alias("k")
-    )
+    placed = placed.withColumn("block", F.floor(F.col("start") / size))
+    blocks = Window.partitionBy(*keys).orderBy("block")
+    placed = placed.withColumn("k", (F.dense_rank().over(blocks) - 1).cast("long"))
+    source, numbered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("k")
+    here = numbered.rangeBetween(0, 0)
+    end = F.col("start") + F.col("chars")
+    placed = placed.select(
+        "row", "first", "start", end.alias("end"), "k",
+        (F.max("k").over(source) + 1).alias("n"),
+        F.min("start").over(here).alias("low"),
+        F.min("start").over(numbered.rangeBetween(-1, -1)).alias("low_before"),
+        F.max(end).over(here).alias("high"),
+        F.max(end).over(numbered.rangeBetween(1, 1)).alias("high_after"),
+    )
     whole = F.concat(F.when(F.col("first"), "").otherwise(joiner), F.col("text"))
-    joined = held.join(placed, "row").groupBy(*keys, "k").agg(
-        F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct(part, "hash", "row", whole.alias("text")))).alias("held")
-    )
-    return pinned(joined.select(*keys, "k", "start", F.array_join("held.text", "").alias("text")))
-
-
-def _beside(segments: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """Each segment with the characters that its chunks look at: some ``after`` it, and some before it (``tail``).
-
-    Of any two segments that follow each other, one and the next together are longer than what is looked at.
-    """
-    edges = segments.select(
-        *keys, "k", F.left("text", F.lit(settings.chunk_size + 1)).alias("head"), F.right("text", F.lit(settings.overlap_size)).alias("end")
+    joined = held.select(*keys, "row", "text").join(placed, "row").withColumn("text", whole)
+
+    def given(to: Column, kind: int, text: Column) -> Column:
+        return F.struct(to.alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def head(to: Column, low: Column) -> Column:
+        wanted = F.lit(settings.chunk_size + 1) + low - F.col("start")
+        return F.when((to >= 0) & (wanted > 0), given(to, 1, F.left("text", wanted.cast("int"))))
+
+    def tail(to: Column, high: Column) -> Column:
+        wanted = F.lit(settings.overlap_size) - (high - F.col("end"))
+        return F.when((to < F.col("n")) & (wanted > 0), given(to, 2, F.right("text", wanted.cast("int"))))
+
+    k = F.col("k")
+    pieces = F.array_compact(
+        F.array(
+            given(k, 0, F.col("text")),
+            head(k - 1, F.col("low")),
+            head(k - 2, F.col("low_before")),
+            tail(k + 1, F.col("high")),
+            tail(k + 2, F.col("high_after")),
+        )
     )
-    order = Window.partitionBy(*keys).orderBy("k")
-    seen = edges.select(
-        *keys,
-        "k",
-        F.left(F.concat(*(F.lead("head", n, "").over(order) for n in (1, 2))), F.lit(settings.chunk_size + 1)).alias("after"),
-        F.right(F.concat(*(F.lag("end", n, "").over(order) for n in (2, 1))), F.lit(settings.overlap_size)).alias("tail"),
+    rows = joined.select(*keys, "n", "start", "low", F.explode(pieces).alias("piece")).select(*keys, "n", "start", "low", "piece.*")
+
+    def text(kind: int) -> Column:
+        chosen = F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "text")))
+        return F.array_join(F.transform(F.array_sort(chosen), lambda one: one["text"]), "")
+
+    made = rows.groupBy(*keys, "k").agg(
+        F.max("n").alias("n"),
+        F.min(F.when(F.col("kind") == 0, F.col("low"))).alias("start"),
+        text(0).alias("text"),
+        F.left(text(1), F.lit(settings.chunk_size + 1)).alias("after"),
+        F.right(text(2), F.lit(settings.overlap_size)).alias("tail"),
     )
-    return _rejoined(segments, seen, [*keys, "k"])
+    return pinned(made)
 
 
 def _rejoined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -122,69 +174,96 @@ def _rejoined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return joined.join(other, condition).drop(*(f"{name}__" for name in on))
 
 
-def _maps(segments: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """``keys, k, exits, counts`` of all segments; stored."""
-    kept = segments.select(*keys, "k").schema
+_MAP = ("firsts", "exits", "counts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                ends, counts = exits(one.column(len(kept))[0].as_py(), one.column(len(kept) + 1)[0].as_py(), settings)
-                columns = [pa.array([ends], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], *columns], names=[*kept.names, "exits", "counts"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["exits array<bigint>", "counts array<bigint>"])
-    return pinned(segments.select(*keys, "k", "text", "after").mapInArrow(run, schema))
+def _maps(segments: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    """``keys, k, n`` and the map (``firsts, exits, counts``) of all segments of sources that have several.
 
+    A first segment is entered at its beginning only, and none asks where a last one is left, so that has no map.
+    """
+    kept = segments.select(*keys, "k", "n").schema
+    width = len(kept)
 
-def _composed(members: Column, settings: Settings) -> Column:
-    """The map of consecutive maps, as pairs of exit and count."""
-    start = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(settings.chunk_size - 1).cast("long")), lambda x: F.struct(x.alias("exit"), F.lit(0).cast("long").alias("n")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [
+                exits(text.as_py(), after.as_py(), settings.chunk_size if k.as_py() else 1, settings)
+                for k, text, after in zip(batch.column(width - 2), batch.column(width), batch.column(width + 1))
+            ]
+            columns = [pa.array([one[n] for one in made], pa.list_(pa.int64())) for n in range(len(_MAP))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=[*kept.names, *_MAP])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{name} array<bigint>" for name in _MAP])
+    last = F.col("k") == F.col("n") - 1
+    mapped = segments.where(~last).select(*keys, "k", "n", "text", "after").mapInArrow(run, schema)
+    none = [F.array().cast("array<bigint>").alias(name) for name in _MAP]
+    return mapped.unionByName(segments.where(last & (F.col("n") > 1)).select(*keys, "k", "n", *none))
+
+
+def _answer(member: Column, entry: Column, name: str) -> Column:
+    """What a map says of an entry; nothing where it has no answer."""
+    return F.get(member[name], F.size(F.filter(member["firsts"], lambda first: first <= entry)) - 1)
+
+
+def _composed(members: Column) -> Column:
+    """The map of consecutive maps, as triples: the entries that the first one takes as one stay one."""
+    first = F.get(members, F.lit(0))
+    start = F.transform(
+        F.arrays_zip(first["firsts"], first["exits"], first["counts"]),
+        lambda run: F.struct(run["firsts"].alias("first"), run["exits"].alias("exit"), run["counts"].alias("n")),
+    )
 
     def follow(so_far: Column, member: Column) -> Column:
         return F.transform(
             so_far,
             lambda at: F.struct(
-                F.get(member["exits"], at["exit"].cast("int")).alias("exit"),
-                (at["n"] + F.get(member["counts"], at["exit"].cast("int"))).alias("n"),
+                at["first"].alias("first"),
+                _answer(member, at["exit"], "exits").alias("exit"),
+                (at["n"] + _answer(member, at["exit"], "counts")).alias("n"),
             ),
         )
 
-    return F.aggregate(members, start, follow)
+    return F.aggregate(F.slice(members, 2, FAN), start, follow)
+
 
+def _entries(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, k, entry, before``: where each segment's first chunk starts in it, and how many chunks come before.
 
-def _entries(maps: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """``keys, k, entry, before``: where each segment's first chunk starts in it, and how many chunks come before."""
+    A source goes up the tree until one node holds it, so most are done on the lowest level.
+    """
     levels = []
     while True:
-        member = F.struct("k", "exits", "counts")
-        level = pinned(
-            maps.groupBy(*keys, F.floor(F.col("k") / FAN).alias("up")).agg(F.array_sort(F.collect_list(member)).alias("members"))
-        )
+        members = F.array_sort(F.collect_list(F.struct("k", *_MAP))).alias("members")
+        nodes = F.ceil(F.max("n") / FAN).alias("n")
+        level = pinned(maps.groupBy(*keys, F.floor(F.col("k") / FAN).alias("up")).agg(members, nodes))
         levels.append(level)
-        if not level.where("up > 0").limit(1).count():
+        if not level.where("n > 1").limit(1).count():
             break
-        both = level.select(*keys, F.col("up").alias("k"), _composed(F.col("members"), settings).alias("both"))
-        maps = both.select(*keys, "k", F.col("both.exit").alias("exits"), F.col("both.n").alias("counts"))
+        inner = F.when(F.col("up") < F.col("n") - 1, _composed(F.col("members")))
+        both = level.where("n > 1").select(*keys, F.col("up").alias("k"), "n", F.coalesce(inner, F.array()).alias("both"))
+        maps = both.select(
+            *keys, "k", "n", F.col("both.first").alias("firsts"), F.col("both.exit").alias("exits"), F.col("both.n").alias("counts")
+        )
     zero = F.lit(0).cast("long")
-    known = levels[-1].select(*keys, F.col("up").alias("k"), zero.alias("entry"), zero.alias("before"))
+    known = None
     for level in reversed(levels):
         first = F.struct(F.col("entry"), F.col("before"), F.array().cast("array<struct<k:bigint,entry:bigint,before:bigint>>").alias("told"))
 
         def tell(state: Column, member: Column) -> Column:
-            at = state["entry"].cast("int")
             return F.struct(
-                F.get(member["exits"], at).alias("entry"),
-                (state["before"] + F.get(member["counts"], at)).alias("before"),
+                _answer(member, state["entry"], "exits").alias("entry"),
+                (state["before"] + _answer(member, state["entry"], "counts")).alias("before"),
                 F.concat(
                     state["told"], F.array(F.struct(member["k"].cast("long").alias("k"), state["entry"].alias("entry"), state["before"].alias("before")))
                 ).alias("told"),
             )
 
-        asked = _rejoined(level.withColumnRenamed("up", "k"), known, [*keys, "k"])
-        told = asked.select(*keys, F.inline(F.aggregate("members", first, tell, lambda state: state["told"])))
-        known = told
+        asked = level.where("n = 1").select(*keys, "members", zero.alias("entry"), zero.alias("before"))
+        if known is not None:
+            deeper = _rejoined(level.where("n > 1").withColumnRenamed("up", "k"), known, [*keys, "k"])
+            asked = asked.unionByName(deeper.select(*keys, "members", "entry", "before"))
+        known = asked.select(*keys, F.inline(F.aggregate("members", first, tell, lambda state: state["told"])))
     return known
 
 
@@ -203,9 +282,12 @@ def chunks_of_parts(
     """
     size = max(segment_chars, settings.chunk_size + 1, settings.overlap_size + 1)
     named = parts.select(*keys, part, text_column)
-    segments = pinned(_beside(_segments(named, keys, part, text_column, joiner, size), keys, settings))
-    entries = _entries(_maps(segments, keys, settings), keys, settings)
-    placed = _rejoined(segments, entries, [*keys, "k"])
+    segments = _segments(named, keys, part, text_column, joiner, size, settings)
+    entries = _entries(_maps(segments, keys, settings), keys)
+    # A source of one segment is entered at its beginning; its text is not moved again.
+    zero = F.lit(0).cast("long")
+    placed = _rejoined(segments.where("n > 1"), entries, [*keys, "k"])
+    placed = placed.unionByName(segments.where("n = 1").select("*", zero.alias("entry"), zero.alias("before")))
     skipped = F.expr("left(text, cast(entry AS INT))")
     rest = placed.where(F.col("entry") < F.char_length("text")).select(
         *keys,

@@ -44,3 +44,41 @@ def test_equal_to_the_whole_text(spark, monkeypatch, settings, segment, fan):
 
 def test_no_parts(spark):
     assert part_chunking.chunks_of_parts(spark.createDataFrame([], "s string, part long, parsed_text string"), ["s"], Settings(5, 0, 2)).count() == 0
+
+
+def every_entry(text, after, entries, settings):
+    """The map of a segment, each entry followed alone."""
+    out = []
+    for place in range(entries):
+        count = 0
+        while place < len(text):
+            place, count = part_chunking.chunk_end(text + after, place, settings), count + 1
+        out.append((place - len(text), count))
+    return out
+
+
+@pytest.mark.parametrize("settings", [Settings(20, 8, 5), Settings(7, 0, 0), Settings(50, 49, 9), Settings(1, 0, 3), Settings(12, 30, 2)])
+def test_maps_have_an_entry_for_each_stretch(settings):
+    for text in texts(3).values():
+        for size in (3, 130, len(text)):
+            own, after = text[:size], text[size : size + settings.chunk_size + 1]
+            for entries in (1, settings.chunk_size):
+                firsts, ends, counts = part_chunking.exits(own, after, entries, settings)
+                sizes = [b - a for a, b in zip(firsts, [*firsts[1:], entries])]
+                spread = [(end, count) for end, count, size in zip(ends, counts, sizes) for _ in range(size)]
+                assert spread == every_entry(own, after, entries, settings)
+
+
+def test_maps_are_small():
+    """Lists of one number for each entry were 600 long, six times the text of a segment of 1,500 characters."""
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) + rnd.choice(["", "", ".", ","]) for _ in range(900))
+    firsts, _, _ = part_chunking.exits(text[:1800], text[1800:2401], 600, Settings(600, 200, 50))
+    assert len(firsts) < 40
+
+
+def test_equal_first_parts_with_a_joiner(spark):
+    rows = [("s", 1, "ab"), ("s", 1, "ab"), ("s", 2, "c")]
+    parts = spark.createDataFrame(rows, "s string, part long, parsed_text string").repartition(3)
+    found = part_chunking.chunks_of_parts(parts, ["s"], Settings(50, 0, 0), joiner="--", segment_chars=51).collect()
+    assert [row["chunk_text"] for row in found] == ["ab--ab--c"]
