@@ -18,7 +18,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpuspipe.operators.scale import in_ranges
@@ -79,6 +79,7 @@ _RESULT = (
     "status string, phase string, staged_work_remaining boolean"
 )
 _RESULT_COLUMNS = [column.split()[0] for column in _RESULT.split(", ")]
+_ResultRow = Row(*_RESULT_COLUMNS)
 
 # A state and a phase as one number: place of the state times _WIDTH, plus place of the phase from 1, or 0 where a
 # stretch of events leaves the phase alone.
@@ -287,7 +288,7 @@ class _Attempts(StatefulProcessor):
         code = (self.code.get() or (_FRESH,))[0]
         return STATES[code // _WIDTH], PHASES[code % _WIDTH - 1]
 
-    def _advance(self, attempt: str | None, events: list[tuple]) -> pd.DataFrame:
+    def _advance(self, attempt: str | None, events: list[tuple]) -> list[Row]:
         # One event after the other: most attempts have few, for which whole columns would cost more.
         (state, phase), rows = self._known(), []
         for _, event, action, new_phase in sorted(events, key=_in_order):
@@ -297,28 +298,24 @@ class _Attempts(StatefulProcessor):
         self.code.update((STATES.index(state) * _WIDTH + 1 + PHASES.index(phase), last))
         if self.keep_millis is not None:
             self.handle.registerTimer(last + self.keep_millis)
-        return pd.DataFrame(rows, columns=_RESULT_COLUMNS)
+        return rows
 
-    def _late(self, attempt: str | None, events: list[tuple]) -> pd.DataFrame:
+    def _late(self, attempt: str | None, events: list[tuple]) -> list[Row]:
         state, phase = self._known()
-        rows = [_result_row(attempt, event, action, state, phase, LATE_EVENT) for _, event, action, _ in events]
-        return pd.DataFrame(rows, columns=_RESULT_COLUMNS)
+        return [_result_row(attempt, event, action, state, phase, LATE_EVENT) for _, event, action, _ in events]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed, early, late = timerValues.getCurrentWatermarkInMs(), [], []
-        for batch in rows:
-            for micros, event_id, action, phase in zip(
-                batch["micros"], batch["event_id"], batch["action"], batch["phase"]
-            ):
-                event = int(micros), None if pd.isna(event_id) else int(event_id), action, phase
-                (late if 0 < passed and _millis(event) <= passed else early).append(event)
+        for row in rows:
+            event = row["micros"], row["event_id"], row["action"], row["phase"]
+            (late if 0 < passed and _millis(event) <= passed else early).append(event)
         if early:
             self.waiting.appendValue(_columns(early))
             self.handle.registerTimer(min(map(_millis, early)))
         if late:
-            yield self._late(key[0], late)
+            yield from self._late(key[0], late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         events = [event for columns in self.waiting.get() for event in zip(*columns)]
         due = [event for event in events if _millis(event) <= passed]
@@ -329,17 +326,17 @@ class _Attempts(StatefulProcessor):
         elif due:
             self.waiting.clear()
         if due:
-            yield self._advance(key[0], due)
+            yield from self._advance(key[0], due)
         elif not left and self.keep_millis is not None:
             known = self.code.get()
             if known and known[1] + self.keep_millis <= passed:
                 self.code.clear()
 
 
-def _result_row(attempt: str | None, event: int | None, action: str | None, state: str, phase: str, outcome: str) -> tuple:
+def _result_row(attempt: str | None, event: int | None, action: str | None, state: str, phase: str, outcome: str) -> Row:
     status = "stopping" if state == "closing" else state
     shown = "finish" if action == "finish_with_work" else action
-    return attempt, event, shown, outcome, status, phase, state in _WORK_LEFT
+    return _ResultRow(attempt, event, shown, outcome, status, phase, state in _WORK_LEFT)
 
 
 @contextmanager
@@ -373,7 +370,7 @@ def fold_attempt_stream(
     return (
         timed.select("attempt_id", micros, "event_id", "action", "phase")
         .groupBy("attempt_id")
-        .transformWithStateInPandas(processor, _RESULT, "Append", "EventTime")
+        .transformWithState(processor, _RESULT, "Append", "EventTime")
     )
 
 

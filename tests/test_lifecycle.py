@@ -170,3 +170,12 @@ def test_late_events_and_dropped_state(spark, tmp_path):
     assert found[4] == ("b", "accepted", "running", "parsing")
     assert found[6] == ("a", "invalid", "idle", "not_started")
     assert set(found) == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_large_ids_beside_null_ids(spark, tmp_path):
+    """An event without an id leaves the ids of its attempt whole, also those that no double holds."""
+    start = datetime.datetime(2026, 1, 1)
+    large = (1 << 53) + 1
+    rows = [("a", start, None, "start", None), ("a", start + datetime.timedelta(minutes=1), large, "phase", "parsing")]
+    found = run_stream(spark, tmp_path, [rows], delay="1 hour")
+    assert {(r.event_id, r.outcome) for r in found.collect()} == {(None, "accepted"), (large, "accepted")}
