@@ -231,7 +231,7 @@ def _run_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fresh[0] = begun = True
         rows, code = _outcomes(batch, entered, fresh)
         current = batch["attempt_id"].iloc[-1]
-        yield rows
+        yield rows.assign(_no_id=batch["_no_id"].to_numpy())
 
 
 def fold_attempts(events: DataFrame) -> DataFrame:
@@ -247,7 +247,10 @@ def fold_attempts(events: DataFrame) -> DataFrame:
     # At most two rows per range, so the table is bounded by the number of shuffle partitions.
     entries = F.broadcast(entries.select(F.col("attempt_id").alias("_attempt"), F.col("_range").alias("_part"), "_entered"))
     same = F.col("attempt_id").eqNullSafe(F.col("_attempt")) & (F.col("_range") == F.col("_part"))
-    return placed.join(entries, same, "left").mapInPandas(_run_ranges, _RESULT)
+    # Pandas has a column with nulls as doubles, which do not hold every id.
+    known = placed.join(entries, same, "left").withColumn("_no_id", F.col("event_id").isNull()).fillna(0, ["event_id"])
+    folded = known.mapInPandas(_run_ranges, f"{_RESULT}, _no_id boolean")
+    return folded.withColumn("event_id", F.when(~F.col("_no_id"), F.col("event_id"))).drop("_no_id")
 
 
 LATE_EVENT = "late_event"

@@ -179,3 +179,5 @@ def test_large_ids_beside_null_ids(spark, tmp_path):
     rows = [("a", start, None, "start", None), ("a", start + datetime.timedelta(minutes=1), large, "phase", "parsing")]
     found = run_stream(spark, tmp_path, [rows], delay="1 hour")
     assert {(r.event_id, r.outcome) for r in found.collect()} == {(None, "accepted"), (large, "accepted")}
+    folded = fold_attempts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.event_id, r.outcome) for r in folded} == {(None, "accepted"), (large, "accepted")}
