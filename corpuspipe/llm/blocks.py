@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuspipe.llm import grams
 from corpuspipe.llm.common import shuffle_partitions, store
-from corpuspipe.llm.packing import pack_rows, pack_sorted, unpack, unpack_sorted
+from corpuspipe.llm.packing import pack, pack_rows, pack_sorted, unpack, unpack_sorted
 from corpuspipe.sources.pieces import released, released_group
 
 # Bytes of text for each owner of hashes: what one task sorts at a time.
@@ -26,6 +26,7 @@ SEVERAL = np.uint64(0)
 
 ASKED = "owner int, block string, hashes binary, flags binary"
 HITS = "block string, hits binary"
+COUNTED_HITS = "block string, hits binary, counts binary"
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
@@ -72,8 +73,11 @@ def _bits(data: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=count).astype(np.uint64)
 
 
-def _answered(read_marks, wanted):
-    """The function an owner runs: which hashes of two blocks or more are ``wanted``, told to each of them."""
+def _answered(read_marks, wanted, schema: str):
+    """The function an owner runs: which hashes of two blocks or more are ``wanted``, told to each of them.
+
+    Where the schema has ``counts``, they say how many blocks asked about each hash.
+    """
 
     @released_group
     def answer(table: pa.Table) -> pa.Table:
@@ -87,11 +91,15 @@ def _answered(read_marks, wanted):
         first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         sizes = np.diff(np.append(first, len(values)))
         hit = np.repeat((sizes > 1) & wanted(values, marks, first), sizes)
-        values, owner_of = values[hit], owner_of[hit]
+        values, owner_of, counts = values[hit], owner_of[hit], np.repeat(sizes, sizes)[hit]
         by_block = np.argsort(owner_of, kind="stable")
         cuts = np.searchsorted(owner_of[by_block], np.arange(len(lists) + 1))
-        rows = [(blocks_of[k], pack_sorted(values[by_block[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        return pa.Table.from_batches([messages(rows, HITS)])
+        shares_of = [(blocks_of[k], by_block[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        if schema == COUNTED_HITS:
+            rows = [(name, pack_sorted(values[at]), pack(counts[at])) for name, at in shares_of]
+        else:
+            rows = [(name, pack_sorted(values[at])) for name, at in shares_of]
+        return pa.Table.from_batches([messages(rows, schema)])
 
     return answer
 
@@ -105,11 +113,11 @@ def known_elsewhere(asked: DataFrame) -> DataFrame:
     def flagged(values: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.logical_or.reduceat(marks > 0, first)
 
-    return asked.groupBy("owner").applyInArrow(_answered(_bits, flagged), HITS)
+    return asked.groupBy("owner").applyInArrow(_answered(_bits, flagged, HITS), HITS)
 
 
 def known_with_another_mark(asked: DataFrame) -> DataFrame:
-    """``block, hits``: the hashes of each block that another block asked about too, with another mark.
+    """``block, hits, counts``: the hashes of each block that another block asked about too, with another mark.
 
     ``flags`` holds a packed number for each hash, its mark; SEVERAL differs from any mark, itself included.
     """
@@ -118,4 +126,6 @@ def known_with_another_mark(asked: DataFrame) -> DataFrame:
         low, high = np.minimum.reduceat(marks, first), np.maximum.reduceat(marks, first)
         return (low != high) | (low == SEVERAL)
 
-    return asked.groupBy("owner").applyInArrow(_answered(lambda data, count: unpack(data), differing), HITS)
+    return asked.groupBy("owner").applyInArrow(
+        _answered(lambda data, count: unpack(data), differing, COUNTED_HITS), COUNTED_HITS
+    )

@@ -12,15 +12,22 @@ part's value: of the parts that two partners agree in, the strongest has ``e`` w
 do not meet in empty parts, nor in parts of one common n-gram. Sparse parts are never written out: a part's key is the xor
 of a hash of each bit that is set.
 
+Any order of the parts' values will do for that, and one part of them all may be left out by one order and another by the next:
+of the ``e``, a share is left out by how many blocks have the key (and more by a set whose partners differ in less than the
+band allows). So a set that shares no more keys than those goes at once, and texts that only meet by chance, or in passages
+that many have, seldom become rows.
+
 Equal sets are one class from the start. Blocks of documents find out which keys other sets have (see ``blocks``;
 a key goes with a mark of its set, so that copies do not count), and only these become rows. Candidates of a key are
 checked by a short second sketch and then on the sets themselves:
 
-1. each class with one of its key, drawn by hash; the links make components;
-2. where a key still joins several components, all pairs across components that pass the sketch.
+1. each class with the smallest row of its key; the links make components;
+2. where a key still joins several components without that row, all pairs across components that pass the sketch.
 
-A pair inside a component adds nothing, so no link between components is missed, and a large group of near copies
-gives a star of pairs instead of all of them.
+A pair inside a component adds nothing, nor does a pair that the first round compared, so no link between components is
+missed, and a large group of near copies gives a star of pairs instead of all of them. Keys of the same sets give the same
+pairs, so one key stands for all of them. One order of rows gives the keys of a family few centres between them; a centre
+drawn for each key would give nearly all pairs of a family.
 
 Defined results: null and empty texts have an empty set, link with nothing and are their own component. A text with
 fewer words than ``n`` has its whole sequence as its one n-gram. A null id never names a component unless all
@@ -40,7 +47,7 @@ from corpuspipe.llm import grams
 from corpuspipe.llm.blocks import ASKED, SEVERAL, known_with_another_mark, messages, owners_of, pack_blocks, shares
 from corpuspipe.llm.common import batches_of, boxed, discard, join_hot, keep_columns, store, unboxed
 from corpuspipe.llm.components import components
-from corpuspipe.llm.packing import pack, pack_sorted, unpack_rows, unpack_sorted
+from corpuspipe.llm.packing import pack, pack_sorted, unpack, unpack_rows, unpack_sorted
 from corpuspipe.sources.pieces import released
 
 # Width of the bands: each reaches to this multiple of its start, or as far as partners do.
@@ -49,6 +56,9 @@ BAND_RATIO = 1.5
 # Parts a sketch has beyond the differences allowed and one, as a share of those (numerator, denominator).
 SPARE = (2, 3)
 
+# Spare parts of a band, as a share of the same, that are not left out as weak: they are left out because many blocks have them.
+FREQUENT = (1, 3)
+
 # Pairs of a centre that one slice of them holds.
 SLICE = 1_000
 
@@ -82,13 +92,23 @@ class Bands:
         # A pair of the band: the larger set in it, the smaller in it or in the band before.
         self.used = 2 * largest * (den - num) // (den + num) + 1
         self.spare = self.used * SPARE[0] // SPARE[1]
+        self.weak = np.maximum(self.spare - self.used * FREQUENT[0] // FREQUENT[1], 0)
         self.parts = self.used + self.spare
-        self.starts = starts
+        self.starts, self.largest = starts, largest
         self.least = -(-starts * num // den)  # smallest set that can be a partner in the band
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
+    def frequent(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """How many of the keys that sets of these sizes share in a band may be left out, beside the weak parts.
+
+        Partners of the band agree in all parts but as many as they may differ in, which is less for small sets than for the band.
+        """
+        partner = np.minimum(self.largest[band], sizes * self.den // self.num)
+        differ = (sizes + partner) * (self.den - self.num) // (self.den + self.num)
+        return self.parts[band] - self.weak[band] - differ - 1
+
 
 class Sets:
     """Distinct n-grams of the texts of a block, in order text by text."""
@@ -120,9 +140,9 @@ class Sets:
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
         return self.summed(grams.mixed(self.hashes)), self.summed(grams.mixed(self.hashes ^ np.uint64(0x5851F42D4C957F2D)))
 
-    def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the parts of all sketches but the weakest, and the text each belongs to."""
-        keys, texts = [], []
+    def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the parts of all sketches but the weakest, the text each belongs to, and the band of its sketch."""
+        keys, texts, bands_of = [], [], []
         band = bands.of(self.sizes)
         for shift in (0, 1):
             of = np.minimum(band + shift, len(bands.starts) - 1)
@@ -150,10 +170,11 @@ class Sets:
             place = (of[owner] * np.int64(1 << 40) + part).astype(np.uint64)
             key = grams.mixed(value ^ grams.mixed(place))
             order = np.lexsort((key, strength, owner))
-            strong = order[part >= bands.spare[of[owner]]]  # the parts of a text stay together, weakest first
+            strong = order[part >= bands.weak[of[owner]]]  # the parts of a text stay together, weakest first
             keys.append(key[strong])
             texts.append(owner[strong])
-        return np.concatenate(keys), np.concatenate(texts)
+            bands_of.append(of[owner[strong]])
+        return np.concatenate(keys), np.concatenate(texts), np.concatenate(bands_of)
 
     def check_sketch(self, text: int, words: int = CHECK_WORDS) -> np.ndarray:
         """A parity sketch of so many words, a power of two. Its halves' xor is the sketch of half the length."""
@@ -182,6 +203,20 @@ def _distinct_keys(sets: Sets, keys: np.ndarray, texts: np.ndarray) -> tuple[np.
     return keys[first], np.where(several, SEVERAL, mark[first]), several
 
 
+def _without_frequent(
+    keys: np.ndarray, texts: np.ndarray, band: np.ndarray, known: np.ndarray, counts: np.ndarray, frequent: np.ndarray
+) -> np.ndarray:
+    """Where the keys are that a sketch keeps: its known ones but as many as ``frequent`` says, with the largest counts (ties: largest key)."""
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    shared = np.flatnonzero(known[at] == keys)
+    order = shared[np.lexsort((keys[shared], counts[at[shared]], band[shared], texts[shared]))]
+    new = np.append(True, (texts[order][1:] != texts[order][:-1]) | (band[order][1:] != band[order][:-1]))[: len(order)]
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(order)))
+    left = np.repeat(first + sizes, sizes) - np.arange(len(order))  # this one and those after it in its sketch
+    return order[left > frequent[order]]
+
+
 def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
     """Stored rows of ``SETS`` and ``row``: keys and sketches only of documents that share a key, and where each text is."""
 
@@ -190,7 +225,7 @@ def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) ->
         for batch in batches:
             for name, rows in zip(*batch.columns):
                 sets = Sets(unpack_rows(rows.as_py()).column(1), n)
-                values, marks, _ = _distinct_keys(sets, *sets.keys(bands))
+                values, marks, _ = _distinct_keys(sets, *sets.keys(bands)[:2])
                 yield messages(
                     [(owner, name.as_py(), pack_sorted(values[a:b]), pack(marks[a:b])) for owner, a, b in shares(values, 64, owners)],
                     ASKED,
@@ -202,15 +237,19 @@ def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) ->
             for name, packed, lists in zip(*batch.columns):
                 rows = unpack_rows(packed.as_py())
                 sets = Sets(rows.column(1), n)
-                keys, texts = sets.keys(bands)
+                keys, texts, band = sets.keys(bands)
                 f1, f2 = sets.fingerprints()
                 values, _, several = _distinct_keys(sets, keys, texts)
-                known = np.unique(np.concatenate([values[several], *(unpack_sorted(data) for data in lists.as_py() or ())]))
+                told = [(unpack_sorted(one["hits"]), unpack(one["counts"])) for one in lists.as_py() or ()]
+                known = np.concatenate([values[several], *(hits for hits, _ in told)])
+                counts = np.concatenate([np.ones(int(several.sum()), dtype=np.uint64), *(counts for _, counts in told)])
+                order = np.lexsort((counts, known))
+                known, counts = known[order], counts[order]
+                last = np.append(known[1:] != known[:-1], True)[: len(known)]  # a key of several own sets may be told as well
                 shared: dict[int, list[int]] = {}
                 if len(known):
-                    at = np.searchsorted(known, keys)
-                    at[at == len(known)] = 0
-                    for index in np.flatnonzero(known[at] == keys).tolist():
+                    frequent = bands.frequent(sets.sizes[texts], band)
+                    for index in _without_frequent(keys, texts, band, known[last], counts[last], frequent).tolist():
                         shared.setdefault(int(texts[index]), []).append(index)
                 signed = _signed(keys)
                 size = rows.num_rows
@@ -228,7 +267,7 @@ def documents_with_keys(blocks: DataFrame, n: int, bands: Bands, owners: int) ->
 
     with batches_of(blocks.sparkSession, BLOCK_ROWS):
         hits = store(known_with_another_mark(blocks.mapInArrow(ask, ASKED)), "jaccard-hits")
-    joined = blocks.join(hits.groupBy("block").agg(F.collect_list("hits").alias("hits")), "block", "left").select("block", "rows", "hits")
+    joined = blocks.join(hits.groupBy("block").agg(F.collect_list(F.struct("hits", "counts")).alias("hits")), "block", "left").select("block", "rows", "hits")
     told = joined.mapInArrow(tell, SETS).withColumn("row", F.monotonically_increasing_id())
     with batches_of(blocks.sparkSession, BLOCK_ROWS):
         told = store(told, "jaccard-sets")
@@ -355,6 +394,20 @@ def verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, n: int, bands
     return links
 
 
+def _one_of_equal_groups(members: DataFrame, *more) -> DataFrame:
+    """Of keys (of two rows or more) that have the same rows, the smallest one: ``key`` and the aggregates ``more``."""
+    prints = [F.bit_xor(F.xxhash64(F.lit(salt), "row")).alias(f"print_{salt}") for salt in (1, 2)]
+    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *prints, *more).where("rows > 1")
+    names = [name for name in groups.columns if name not in ("key", "rows", "print_1", "print_2")]
+    return groups.groupBy("rows", "print_1", "print_2").agg(F.min("key").alias("key"), *(F.first(name).alias(name) for name in names))
+
+
+def _starred(members: DataFrame) -> DataFrame:
+    """``key, row, centre`` of the keys to compare: one of those with the same rows, with its smallest row."""
+    centres = _one_of_equal_groups(members, F.min("row").alias("centre")).select("key", "centre")
+    return members.join(centres, "key")
+
+
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of every row: ``doc_id, n_shingles, class_id, component_id``.
 
@@ -375,41 +428,30 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     owned = sets.select("row", "keys").join(classes.select("row"), "row", "left_semi")
     members = store(owned.select(F.explode("keys").alias("key"), "row"), "jaccard-members")
 
-    # First round: a star in every key. A row's draw is its number under the key's mask, which gives the number back.
-    mask = F.xxhash64("key")
-    drawn = members.groupBy("key").agg(F.min(F.col("row").bitwiseXOR(mask)).alias("low"), F.max(F.col("row").bitwiseXOR(mask)).alias("high"))
-    centres = store(
-        drawn.where("low < high").select("key", F.col("low").bitwiseXOR(mask).alias("centre")),
-        "jaccard-centres",
-    )
-    star = (
-        members.join(centres, "key")
-        .where("row <> centre")
-        .groupBy(F.least("row", "centre").alias("low"), F.greatest("row", "centre").alias("high"))
-        .agg(F.min("centre").alias("x"))
-        .select("x", (F.col("low") + F.col("high") - F.col("x")).alias("y"))
-    )
+    # First round: a star in every key.
+    starred = store(_starred(members), "jaccard-starred")
+    star = starred.where("row <> centre").select(F.col("centre").alias("x"), F.col("row").alias("y")).distinct()
     near = near_pairs(star, sets, bands)
     links = verified(near, sets, blocks, n, bands)
     part_of = components(links)
-    discard(centres, near, links)
+    discard(members, near, links)
 
-    # Second round: across the components that a key still joins.
+    # Second round: across the components that a key still joins. Its centre has met the others.
     labelled = store(
-        members.join(part_of.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")),
+        starred.where("row <> centre")
+        .select("key", "row")
+        .join(part_of.withColumnRenamed("node", "row"), "row", "left")
+        .withColumn("component", F.coalesce("component", "row")),
         "jaccard-labelled",
     )
     mixed = store(
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("key"),
+        _one_of_equal_groups(labelled, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"),
         "jaccard-mixed",
     )
     open_members = store(
         labelled.join(mixed, "key", "left_semi").join(sets.select("row", "n_shingles", "sketch"), "row"), "jaccard-open"
     )
-    discard(members, labelled, mixed)
+    discard(starred, labelled, mixed)
     across = store(
         open_members.alias("a")
         .join(

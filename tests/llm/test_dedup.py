@@ -6,7 +6,7 @@ import random
 
 from cases import FOLD, documents, hard_rows, shingles, words
 
-from corpuspipe.llm import exact_dedup, substring_dedup
+from corpuspipe.llm import exact_dedup, jaccard_join, substring_dedup
 from corpuspipe.llm.jaccard_join import Bands, jaccard_components, without_near_copies
 
 
@@ -106,6 +106,63 @@ def test_bands_hold_all_partners():
             assert bands.used[of_large] > (large + large) * (den - num) // (den + num)
 
 
+def passages(seed, size):
+    """Texts of ``size`` words and others that differ in one to a ninth of them, beside texts that share a third of them."""
+    rnd = random.Random(seed)
+    fresh = lambda count: [f"n{rnd.randrange(10**9)}" for _ in range(count)]
+    out = []
+    for _ in range(3):
+        base = fresh(size)
+        out.append(base)
+        for changed in {1, size // 40, size // 20, size // 12, size // 9}:
+            at = rnd.randrange(size - changed)
+            out.append(base[:at] + fresh(changed) + base[at + changed :])
+            out.append(base[: size - changed])
+        for _ in range(12):
+            at = rnd.randrange(size - size // 3)
+            out.append(fresh(size // 3) + base[at : at + size // 3] + fresh(size // 3))
+    return [" ".join(text) for text in out]
+
+
+def test_left_out_keys_lose_no_link(spark):
+    rows = [(k, text) for k, text in enumerate(text for size in (12, 45, 90, 180, 400) for text in passages(size, size))]
+    for n, num, den in ((3, 90, 100), (5, 80, 100)):
+        docs = documents(spark, rows).repartition(7)
+        found = jaccard_components(docs, n, num, den).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, n, num, den)
+
+
+def test_pairs_of_stars_grow_with_the_rows(spark, monkeypatch):
+    base = [f"b{k}" for k in range(300)]  # a family of 1,770 pairs, each text with a few words of its own
+    rows = [(k, " ".join(base + [f"r{k}x{j}" for j in range(6)])) for k in range(60)]
+    compared = []
+    near = jaccard_join.near_pairs
+
+    def counted(pairs, sets, bands):
+        compared.append(pairs.count())
+        return near(pairs, sets, bands)
+
+    monkeypatch.setattr(jaccard_join, "near_pairs", counted)
+    found = jaccard_components(documents(spark, rows).repartition(4), 5, 80, 100).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 5, 80, 100)
+    assert compared[0] <= 4 * len(rows)
+
+
+def test_texts_that_share_a_passage_only_send_no_keys(spark, monkeypatch):
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(120)] + passage + [f"z{k}x{j}" for j in range(120)])) for k in range(30)]
+    with_keys = []
+    near = jaccard_join.near_pairs
+
+    def counted(pairs, sets, bands):
+        with_keys.append(sets.count())
+        return near(pairs, sets, bands)
+
+    monkeypatch.setattr(jaccard_join, "near_pairs", counted)
+    assert {r.component_id for r in jaccard_components(documents(spark, rows), 5, 80, 100).collect()} == set(range(30))
+    assert with_keys == [0]
+
+
 def test_without_near_copies(spark):
     rows = [(k, text) for k, text in enumerate(family(20, 3))] + [(50, None), (51, ""), (52, "alone here")]
     docs = documents(spark, rows)
